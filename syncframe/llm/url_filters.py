@@ -61,7 +61,7 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
 
 def url_filter(
     pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
-    min_support: float = 0.001, min_confidence: float = 0.6,
+    min_support: float = 0.01, min_confidence: float = 0.6,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, mined (true if an association rule matched).
 
