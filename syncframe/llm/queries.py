@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from syncframe.llm.exact_dedup import exact_dedup
 from syncframe.llm.mixing import curriculum_mix
+from syncframe.llm.ngram_join import ngram_jaccard_join
+from syncframe.llm.packing import pack_documents
 from syncframe.llm.quality_rules import line_first_rules
 from syncframe.llm.sharding import shard_documents
 from syncframe.llm.url_filters import url_filter, url_parts
@@ -26,6 +28,21 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark, sf_dir):
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed public tokenizer's file is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
+
+
 def op6_sharding(spark, sf_dir):
     shards = shard_documents(table(spark, sf_dir, "documents"), shards=8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,7 +70,7 @@ def op9_url_filters(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op6_sharding, op7_mixing, op8_quality_rules, op9_url_filters)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_ngram_join, op4_packing, op6_sharding, op7_mixing, op8_quality_rules, op9_url_filters)}
 
 
 OP2 = r"""
