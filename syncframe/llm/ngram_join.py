@@ -5,21 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from syncframe.llm.arrow import record_batch, runs, small_batches, texts_of
+from syncframe.llm.arrow import record_batch, small_batches, texts_of
 from syncframe.llm.common import Workspace, text_of
 from syncframe.llm.components import connected_components
 from syncframe.llm.shingles import set_key, shingle_sets
+from syncframe.llm.sketch import cells_for, hashed_counts, usual
 
 #: The similarity that links, as whole numbers: 5 * intersection >= 4 * union.
 TOP, BOTTOM = 4, 5
 #: The most prefix tokens that a document may ask for.
 MOST = 4
-BLOCK = 1 << 14
 
 
 def required(n: int) -> int:
@@ -38,34 +37,10 @@ def _sets_table(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_levels(docs: DataFrame, cells: int, tasks: int) -> np.ndarray:
     """For each of ``cells`` hash cells 0, or the power of two by which its count of shingles stands out.
 
-    Each task counts all its documents into one array; arrays are added block by block.  A cell's
-    count is never less than a shingle's true frequency, so level 0 also bounds that frequency."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, np.int64)
-        for batch in batches:
-            texts = texts_of(batch["text"])
-            for begin, end in runs(texts):
-                for hashes in shingle_sets(texts[begin:end]):
-                    np.add.at(counts, hashes & np.uint64(cells - 1), 1)
-        schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-        size = min(BLOCK, cells)
-        if counts.any():
-            for block in range(0, cells, size):
-                yield record_batch(schema, [[block // size], [counts[block : block + size].astype("<u4").tobytes()]])
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in rows["counts"])
-        return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
-
-    blocks = docs.coalesce(tasks).mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
-    totals = np.zeros(cells, np.int64)
-    for block, counts in blocks.collect():
-        size = len(counts) // 8
-        totals[block * size : (block + 1) * size] = np.frombuffer(counts, np.int64)
-    mean = totals.mean()
-    usual = mean + 5 * np.sqrt(mean) + 8
-    return np.where(totals <= usual, 0, np.ceil(np.log2(np.maximum(totals - mean, 1)))).astype(np.uint8)
+    A cell's count is never less than a shingle's true frequency, so level 0 also bounds that frequency."""
+    totals = hashed_counts(docs, shingle_sets, cells, tasks)
+    stands_out = np.ceil(np.log2(np.maximum(totals - totals.mean(), 1)))
+    return np.where(totals <= usual(totals), 0, stands_out).astype(np.uint8)
 
 
 def prefix_length(n: int, hot: np.ndarray, check: float = 20.0) -> int:
@@ -177,8 +152,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = work.save(docs.mapInArrow(_sets_table, "doc_id long, n long, k1 long, k2 long"), "sets")
     nodes = work.save(sets.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
     shingles = sets.agg(F.sum("n")).first()[0] or 0
-    cells = 1 << int(np.clip(np.ceil(np.log2(max(shingles, 1) / 64)), 12, 24))
-    levels = frequency_levels(docs, cells, tasks)
+    levels = frequency_levels(docs, cells_for(shingles), tasks)
     prefixes = docs.mapInArrow(_prefixes(levels), "doc_id long, tokens array<long>, meta array<long>")
     prefixes = prefixes.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     buckets = work.save(_buckets(prefixes), "buckets")

@@ -13,6 +13,7 @@ from syncframe.llm.ngram_join import ngram_jaccard_join
 from syncframe.llm.packing import pack_documents
 from syncframe.llm.quality_rules import line_first_rules
 from syncframe.llm.sharding import shard_documents
+from syncframe.llm.suffix_dedup import suffix_dedup
 from syncframe.llm.url_filters import url_filter, url_parts
 
 URL_RULES = [
@@ -69,8 +70,12 @@ def op9_url_filters(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages"), labelled_urls(spark, sf_dir), URL_RULES)
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_ngram_join, op4_packing, op6_sharding, op7_mixing, op8_quality_rules, op9_url_filters)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_ngram_join, op4_packing, op6_sharding, op7_mixing, op8_quality_rules, op9_url_filters, op10_suffix_dedup)}
 
 
 OP2 = r"""

@@ -1,0 +1,59 @@
+"""Hashed frequency tables over whole corpora: bounded in size, added up from one array per task."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from syncframe.llm.arrow import record_batch, runs, texts_of
+
+BLOCK = 1 << 14
+
+
+def cells_for(total: int, load: int = 64) -> int:
+    """As many cells, a power of two from 2^12 to 2^24, as give about ``load`` values a cell."""
+    return 1 << int(np.clip(np.ceil(np.log2(max(total, 1) / load)), 12, 24))
+
+
+def hashed_counts(docs: DataFrame, values: Callable[[list[bytes]], Iterable[np.ndarray]], cells: int, tasks: int) -> np.ndarray:
+    """How many of the 64-bit ``values`` of all texts fall into each cell (their low bits).
+
+    A cell's count is never less than the true frequency of a value in it.  At most ``tasks`` arrays, a
+    block of each at a time, are added up on the executors; the driver gets ``cells`` numbers."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(cells, np.int64)
+        for batch in batches:
+            texts = texts_of(batch["text"])
+            for begin, end in runs(texts):
+                found = [x for x in values(texts[begin:end]) if len(x)]
+                if found:
+                    cell, n = np.unique(np.concatenate(found) & np.uint64(cells - 1), return_counts=True)
+                    counts[cell.astype(np.int64)] += n
+        schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+        size = min(BLOCK, cells)
+        if counts.any():
+            for block in range(0, cells, size):
+                yield record_batch(schema, [[block // size], [counts[block : block + size].astype("<u4").tobytes()]])
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in rows["counts"])
+        return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
+
+    schema = "block int, counts binary"
+    blocks = docs.select("text").coalesce(tasks).mapInArrow(count, schema).groupBy("block").applyInPandas(add, schema)
+    totals = np.zeros(cells, np.int64)
+    for block, counts in blocks.collect():
+        size = len(counts) // 8
+        totals[block * size : (block + 1) * size] = np.frombuffer(counts, np.int64)
+    return totals
+
+
+def usual(totals: np.ndarray) -> float:
+    """The count that cells without a frequent value hardly exceed."""
+    mean = float(totals.mean())
+    return mean + 5 * np.sqrt(mean) + 8
