@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syncframe.llm.exact_dedup import exact_dedup
+from syncframe.llm.line_dedup import line_dedup
 from syncframe.llm.mixing import curriculum_mix
 from syncframe.llm.ngram_join import ngram_jaccard_join
 from syncframe.llm.packing import pack_documents
+from syncframe.llm.quality_classifier import quality_scores
 from syncframe.llm.quality_rules import line_first_rules
 from syncframe.llm.sharding import shard_documents
 from syncframe.llm.suffix_dedup import suffix_dedup
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark, sf_dir):
+    cleaned = line_dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "removed_chars", F.sha2("cleaned_text", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,6 +51,10 @@ def op4_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark, sf_dir):
     shards = shard_documents(table(spark, sf_dir, "documents"), shards=8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -74,8 +85,21 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_ngram_join, op4_packing, op6_sharding, op7_mixing, op8_quality_rules, op9_url_filters, op10_suffix_dedup)}
+    """One query per operator, and the pipeline."""
+    return {
+        f.__name__: f
+        for f in (
+            op1_line_dedup, op2_exact_dedup, op3_ngram_join, op4_packing, op5_quality_classifier, op6_sharding,
+            op7_mixing, op8_quality_rules, op9_url_filters, op10_suffix_dedup, pipeline,
+        )
+    }
 
 
 OP2 = r"""
