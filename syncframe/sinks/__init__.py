@@ -13,3 +13,101 @@ def exposition(counters: DataFrame, prefix: str = "server") -> DataFrame:
     pairs = F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("long"))])).alias("name", "value")
     line = F.format_string(f"# TYPE {prefix}_%s %s\n{prefix}_%s %d", "name", "type", "name", "value")
     return counters.select(pairs).withColumn("type", kind).select("name", "type", "value", line.alias("line"))
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """(ts, type, path, msg) as JSON lines with milliseconds."""
+    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts")
+    events.select(F.to_json(F.struct(ts, "type", "path", "msg")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_receipt(report: DataFrame, digest: DataFrame, path: str, direction: str, peer: str, ts: str) -> None:
+    """One JSON document for a transfer report (files, bytes, skipped, errors) and a manifest digest."""
+    said = report.crossJoin(digest).select(
+        F.lit(ts).alias("ts"), F.lit(direction).alias("direction"), F.lit(peer).alias("peer"), "files", "bytes", "skipped", "errors",
+        F.col("digest").alias("manifest_sha256"), (F.col("errors") == 0).alias("ok"),
+    )
+    said.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_spec(files: DataFrame, chunks: DataFrame, spec_id: DataFrame, path: str, artifact: str) -> None:
+    """The descriptor of an artifact: (path, size, mode, sha), (path, idx, sha) and its id."""
+    lists = chunks.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sha"))), lambda x: x["sha"]).alias("chunks"))
+    entry = F.struct("path", "size", F.col("mode").cast("long").alias("mode"), F.col("sha").alias("sha256"), "chunks")
+    entries = files.join(lists, "path", "left").agg(F.array_sort(F.collect_list(entry)).alias("file_entries"), F.sum("size").alias("total_bytes"))
+    doc = entries.crossJoin(spec_id).select(F.lit(2).alias("version"), F.lit(artifact).alias("artifact"), F.col("spec_hash").alias("manifest_sha"), "file_entries", "total_bytes")
+    doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_sidecars(chunks: DataFrame, files: DataFrame, path: str) -> None:
+    """Resume states of files (path, nonce, size, mtime_ns, chunk_size) from their chunks (path, idx, mark)."""
+    marks = chunks.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "mark"))), lambda x: x["mark"]).alias("hashes"))
+    when = F.struct(F.expr("mtime_ns div 1000000000").alias("sec"), F.expr("mtime_ns % 1000000000").alias("nsec"))
+    bits = F.transform("hashes", lambda m: (m != "").cast("int"))
+    byte = lambda k: F.aggregate(
+        F.transform(F.slice(bits, k * 8 + 1, F.lit(8)), lambda b, i: F.call_function("shiftleft", b, i)), F.lit(0), lambda a, b: a + b
+    )
+    count = F.expr("(size(hashes) + 7) div 8").cast("int")
+    packed = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.lpad(F.hex(byte(k)), 2, "0")), "")
+    have = F.base64(F.unhex(F.when(count > 0, packed).otherwise("")))
+    doc = files.join(marks, "path").select(
+        F.lit(1).alias("version"), "path", "nonce", F.col("size").alias("srcSize"), when.alias("srcMtime"), F.col("chunk_size").alias("chunkSize"),
+        F.size("hashes").cast("long").alias("chunkCount"), "hashes", have.alias("have"),
+    )
+    doc.write.mode("overwrite").json(path)
+
+
+def apply_mirror(kept: DataFrame, sent: DataFrame, path: str) -> None:
+    """The chunk table of the destination after a mirror, as a dataset."""
+    kept.unionByName(sent).write.mode("overwrite").parquet(path)
+
+
+def assemble_files(chunks: DataFrame, wanted: DataFrame, dest: str) -> DataFrame:
+    """(path, ok, got_sha): files written under ``dest``, a folder that all executors share, from (path, idx, off, payload,
+    sha) and checked against (path, sha) of ``wanted``.
+
+    A file's chunks go in order through one task that writes and hashes as it reads, so memory holds one chunk; a
+    chunk that fails its hash, or a whole file that does, leaves no file."""
+    whole = wanted.select("path", F.col("sha").alias("want"))
+    rows = chunks.join(whole, "path").select("path", "idx", "off", "payload", "sha", "want").repartition("path").sortWithinPartitions("path", "idx")
+
+    def write(batches):
+        import hashlib
+        import os
+
+        import pyarrow as pa
+
+        path = part = file = sha = want = None
+        sound, done = True, []
+
+        def finish():
+            nonlocal file
+            if file is None:
+                return
+            file.close()
+            file = None
+            got = sha.hexdigest()
+            if sound and got == want:
+                os.replace(part, os.path.join(dest, path))
+            else:
+                os.remove(part)
+            done.append((path, sound and got == want, got))
+
+        for batch in batches:
+            for p, _, off, payload, mark, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != path or file is None:
+                    finish()
+                    path, want, sha, sound = p, w, hashlib.sha256(), True
+                    full = os.path.join(dest, p)
+                    os.makedirs(os.path.dirname(full), exist_ok=True)
+                    part = f"{full}.fs-part-{os.getpid()}"
+                    file = open(part, "wb")  # noqa: SIM115
+                sound &= hashlib.sha256(payload).hexdigest() == mark and file.tell() == off
+                file.write(payload)
+                sha.update(payload)
+        finish()
+        columns = list(zip(*done, strict=True)) if done else [[], [], []]
+        kinds = [pa.string(), pa.bool_(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "ok", "got_sha"])
+
+    return rows.mapInArrow(write, "path string, ok boolean, got_sha string")
