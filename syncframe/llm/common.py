@@ -15,7 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 class Workspace:
     """Tables written once to the shared checkpoint folder and read back, so that a lost executor
-    costs a re-read and not a recomputation.  ``drop`` frees what no later step reads."""
+    costs a re-read and not a recomputation.  What a table was shuffled from is freed once the table
+    is written, and ``drop`` frees tables that no later step reads: disk follows the largest step
+    and not the sum of all."""
+
+    FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -23,7 +27,15 @@ class Workspace:
         self.root = f"{base or tempfile.mkdtemp(prefix='spark-')}/corpus-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        before = self.spark.conf.get(self.FREE, None)
+        self.spark.conf.set(self.FREE, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(self.FREE)
+            else:
+                self.spark.conf.set(self.FREE, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -34,11 +34,11 @@ def _sets_table(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(schema, [batch["doc_id"], [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]])
 
 
-def frequency_levels(docs: DataFrame, cells: int, tasks: int) -> np.ndarray:
+def frequency_levels(work: Workspace, docs: DataFrame, cells: int, tasks: int) -> np.ndarray:
     """For each of ``cells`` hash cells 0, or the power of two by which its count of shingles stands out.
 
     A cell's count is never less than a shingle's true frequency, so level 0 also bounds that frequency."""
-    totals = hashed_counts(docs, shingle_sets, cells, tasks)
+    totals = hashed_counts(work, docs, shingle_sets, cells, tasks)
     stands_out = np.ceil(np.log2(np.maximum(totals - totals.mean(), 1)))
     return np.where(totals <= usual(totals), 0, stands_out).astype(np.uint8)
 
@@ -152,10 +152,12 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = work.save(docs.mapInArrow(_sets_table, "doc_id long, n long, k1 long, k2 long"), "sets")
     nodes = work.save(sets.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
     shingles = sets.agg(F.sum("n")).first()[0] or 0
-    levels = frequency_levels(docs, cells_for(shingles), tasks)
+    levels = frequency_levels(work, docs, cells_for(shingles), tasks)
     prefixes = docs.mapInArrow(_prefixes(levels), "doc_id long, tokens array<long>, meta array<long>")
     prefixes = prefixes.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    prefixes = work.save(prefixes, "prefixes")
     buckets = work.save(_buckets(prefixes), "buckets")
+    work.drop("prefixes")
     texts = work.save(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
     near = lambda n, m: f"{BOTTOM} * least({n}, {m}) >= {TOP} * greatest({n}, {m})"
@@ -166,6 +168,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     placed = buckets.drop("hub", "hub_n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = work.save(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    work.drop("buckets")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     open_lists = work.save(placed.join(mixed, "token", "left_semi"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
@@ -180,6 +183,6 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = work.save(links.unionByName(_similar(work.save(crossing, "crossing"), texts)), "all-links")
     groups = connected_components(work, links, "last")
     named = work.save(nodes.join(groups, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id")), "named")
-    work.drop("buckets", "texts", "placed", "open", "crossing", "to-hubs")
+    work.drop("texts", "placed", "open", "crossing", "to-hubs")
     own = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))
     return sets.where("n > 0 and doc_id is not null").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(own)

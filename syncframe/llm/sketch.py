@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from syncframe.llm.arrow import record_batch, runs, texts_of
+from syncframe.llm.common import Workspace
 
 BLOCK = 1 << 14
 
@@ -19,7 +20,7 @@ def cells_for(total: int, load: int = 64) -> int:
     return 1 << int(np.clip(np.ceil(np.log2(max(total, 1) / load)), 12, 24))
 
 
-def hashed_counts(docs: DataFrame, values: Callable[[list[bytes]], Iterable[np.ndarray]], cells: int, tasks: int) -> np.ndarray:
+def hashed_counts(work: Workspace, docs: DataFrame, values: Callable[[list[bytes]], Iterable[np.ndarray]], cells: int, tasks: int) -> np.ndarray:
     """How many of the 64-bit ``values`` of all texts fall into each cell (their low bits).
 
     A cell's count is never less than the true frequency of a value in it.  At most ``tasks`` arrays, a
@@ -45,11 +46,12 @@ def hashed_counts(docs: DataFrame, values: Callable[[list[bytes]], Iterable[np.n
         return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
 
     schema = "block int, counts binary"
-    blocks = docs.select("text").coalesce(tasks).mapInArrow(count, schema).groupBy("block").applyInPandas(add, schema)
+    blocks = work.save(docs.select("text").coalesce(tasks).mapInArrow(count, schema).groupBy("block").applyInPandas(add, schema), "blocks")
     totals = np.zeros(cells, np.int64)
     for block, counts in blocks.collect():
         size = len(counts) // 8
         totals[block * size : (block + 1) * size] = np.frombuffer(counts, np.int64)
+    work.drop("blocks")
     return totals
 
 

@@ -161,7 +161,7 @@ def suffix_dedup(
 
     grams = lambda texts: (rows[3] for rows in marked_windows(texts, length))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    totals = hashed_counts(docs, grams, cells_for(2 * total // (length - GRAM + 1)), tasks)
+    totals = hashed_counts(work, docs, grams, cells_for(2 * total // (length - GRAM + 1)), tasks)
     frequent = totals > usual(totals)
 
     def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
