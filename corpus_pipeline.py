@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syncframe.llm.common import Workspace
+from syncframe.llm.common import Workspace, order_key
 from syncframe.llm.line_dedup import line_dedup
 from syncframe.llm.mixing import curriculum_mix
 from syncframe.llm.ngram_join import ngram_jaccard_join
@@ -18,41 +18,46 @@ from syncframe.llm.quality_classifier import quality_scores
 from syncframe.llm.queries import tokenizer_path
 
 
-def _on_id(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
-    """Documents with an operator's decisions beside them: one row of decisions per id, under names that
-    start with ``op_``, so that columns of the documents cannot clash."""
-    named = decisions.select([F.col(c).alias(f"op_{c}") for c in decisions.columns]).dropDuplicates(["op_doc_id"])
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("op_doc_id")), how)
+def _beside(docs: DataFrame, decisions: DataFrame, how: str) -> tuple[DataFrame, str]:
+    """Documents with an operator's decisions beside them, one row of decisions per id, and the mark in front of the
+    decisions' names, which no column of the documents starts with."""
+    mark = "op_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark = f"_{mark}"
+    named = decisions.select([F.col(c).alias(mark + c) for c in decisions.columns]).dropDuplicates([f"{mark}doc_id"])
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col(f"{mark}doc_id")), how), mark
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(scores.where("predicted = 0").select(F.col("doc_id").alias("op_doc_id")), F.col("doc_id").eqNullSafe(F.col("op_doc_id")), "left_anti")
+    return _beside(docs, scores.where("predicted = 0").select("doc_id"), "left_anti")[0]
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier document has; those with no line left go."""
     cleaned = line_dedup(docs).where("n_removed > 0").select("doc_id", "n_lines", "n_removed", "cleaned_text")
-    joined = _on_id(docs, cleaned, "left").where("op_n_removed is null or op_n_removed < op_n_lines")
-    text = F.coalesce("op_cleaned_text", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("op_n_removed").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}
+    joined, op = _beside(docs, cleaned, "left")
+    joined = joined.where(f"{op}n_removed is null or {op}n_removed < {op}n_lines")
+    text = F.coalesce(f"{op}cleaned_text", "text")
+    changed = {"text": text, "n_chars": F.when(F.col(f"{op}n_removed").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}
     return joined.select([changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest id; documents without words stay."""
     groups = ngram_jaccard_join(docs).where("component_id <> doc_id")
-    return docs.join(groups.select(F.col("doc_id").alias("op_doc_id")), F.col("doc_id") == F.col("op_doc_id"), "left_anti")
+    return _beside(docs, groups.select("doc_id"), "left_anti")[0]
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of their training positions."""
-    plan = curriculum_mix(docs).select("doc_id", "repeats", "position", "last_position")
-    taken = _on_id(docs, plan).withColumn("op_copy", F.explode(F.expr("sequence(1, greatest(op_repeats, 1))"))).where("op_repeats > 0")
-    share = (F.col("op_copy") - 1) / F.greatest(F.col("op_repeats") - 1, F.lit(1))
-    at = F.col("op_position") + share * (F.col("op_last_position") - F.col("op_position"))
-    return taken.orderBy(at, F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").select(docs.columns)
+    plan = curriculum_mix(docs).select("doc_id", "repeats", "position", "last_position").where("repeats > 0")
+    taken, op = _beside(docs, plan, "inner")
+    taken = taken.withColumn(f"{op}copy", F.explode(F.sequence(F.lit(1), F.col(f"{op}repeats"))))
+    share = (F.col(f"{op}copy") - 1) / F.greatest(F.col(f"{op}repeats") - 1, F.lit(1))
+    at = F.col(f"{op}position") + share * (F.col(f"{op}last_position") - F.col(f"{op}position"))
+    return taken.orderBy(at, order_key("doc_id"), "doc_id").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

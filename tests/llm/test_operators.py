@@ -1,0 +1,388 @@
+"""The corpus operators on awkward rows, and against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from syncframe.llm import packing, queries, sharding, suffix_dedup
+from syncframe.llm.exact_dedup import exact_dedup
+from syncframe.llm.line_dedup import line_dedup, patience_blocks
+from syncframe.llm.mixing import curriculum_mix
+from syncframe.llm.ngram_join import ngram_jaccard_join
+from syncframe.llm.quality_classifier import isotonic, quality_scores
+from syncframe.llm.quality_rules import line_first_rules
+from syncframe.llm.tokens import TokenCache
+from syncframe.llm.url_filters import url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(seed, n):
+    chance = random.Random(seed)
+    return " ".join(f"{chance.choice(WORDS)}{chance.randrange(50)}" for _ in range(n))
+
+
+def corpus(seed=1, n=60):
+    """Originals, exact copies, near copies, shared passages and lines, odd texts."""
+    chance = random.Random(seed)
+    passage = prose(999, 60)
+    texts = []
+    for k in range(n):
+        kind = k % 6
+        if kind == 1 and texts:
+            text = chance.choice(texts)
+        elif kind == 2 and texts:
+            words = chance.choice(texts).split(" ")
+            words[chance.randrange(len(words))] = "edited"
+            text = " ".join(words)
+        elif kind == 3:
+            text = prose(k, 30) + "\n" + passage + "\n" + prose(k + 500, 30)
+        else:
+            text = "\n".join(prose(k * 7 + j, 25) + "." for j in range(1 + k % 4))
+        texts.append(text)
+    return [(k, t, "en", f"src{k % 3}", len(t)) for k, t in enumerate(texts)]
+
+
+AWKWARD = [
+    (0, None, None, None, None), (1, "", "en", "a", 0), (2, " \n\t ", "en", "a", 3), (3, "one", "en", None, 3), (3, "one", "en", None, 3),
+    (4, "x" * 300_000, "en", "b", 300_000), (5, "na " * 5_000, "en", "b", 15_000), (None, "some words that have no id at all here", "en", "b", 38),
+    (None, None, None, None, None), (6, "Größe ist ß\x00 \u2028 \U0001f600 <|endoftext|>", "de", "b", 5),
+]
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(0, 1, 0), (1, 0, 0), (4, 0, 1), (6, 1, 0), (77, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "exact_dedup": lambda d, labels: exact_dedup(d),
+    "line_dedup": lambda d, labels: line_dedup(d),
+    "ngram_join": lambda d, labels: ngram_jaccard_join(d),
+    "packing": lambda d, labels: packing.pack_documents(d, queries.tokenizer_path(), 64),
+    "classifier": lambda d, labels: quality_scores(d, labels),
+    "sharding": lambda d, labels: sharding.shard_documents(d, shards=3),
+    "mixing": lambda d, labels: curriculum_mix(d),
+    "rules": lambda d, labels: line_first_rules(d),
+    "suffix": lambda d, labels: suffix_dedup.suffix_dedup(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_rows(spark, labels, name):
+    docs = spark.createDataFrame(AWKWARD, DOCS)
+    for extra in ("keep_id", "size", "shard", "component_id", "text_sha256", "token", "_key", "doc", "score", "n", "op_doc_id"):
+        docs = docs.withColumn(extra, F.lit("clash"))
+    out = OPERATORS[name](docs, labels).collect()
+    assert collections.Counter(r.doc_id for r in out).keys() == {r[0] for r in AWKWARD}
+    if name != "packing":
+        assert len(out) == len(AWKWARD)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, labels, name):
+    assert OPERATORS[name](spark.createDataFrame([], DOCS), labels).collect() == []
+
+
+def test_exact_dedup_heavy_and_light(spark):
+    rows = [(k, "hot  text" if k % 3 == 0 else f"t {k // 4}\n") for k in range(300)] + [(900, "hot\ntext")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = collections.defaultdict(list)
+    for k, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t)].append(k)
+    want = {(k, min(g), len(g), k == min(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for k in g}
+    for support in (0.9, 0.05, 0.001):
+        assert {tuple(r) for r in exact_dedup(docs, support=support).collect()} == want
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+def components(sets):
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(k for k in sets if sets[k])
+    for i in ids:
+        for j in ids:
+            if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {k: find(k) for k in sets}
+
+
+@pytest.mark.parametrize("short", [2, 16])
+def test_ngram_join_brute_force(spark, short):
+    base = prose(5, 60).split(" ")
+    rows = [r[:2] for r in corpus(3, 60)]
+    chance = random.Random(8)
+    for k in range(60):  # a family around one text, some of it too far from the first
+        words = list(base)
+        for _ in range(chance.randrange(0, 6)):
+            words[chance.randrange(len(words))] = f"edit{chance.randrange(40)}"
+        rows.append((1000 + k, " ".join(words[chance.randrange(0, 6) : len(words) - chance.randrange(0, 6)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {k: shingles(t) for k, t in rows}
+    want = components(sets)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs, short=short).collect()}
+    assert got == {k: (len(s), want[k]) for k, s in sets.items()}
+
+
+def strings_removed(rows, length):
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        data = text.encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - length + 1):
+            if data[p : p + length] in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(data[p : p + length])
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        spans = sum(1 for p in range(len(data)) if gone[p] and (p == 0 or not gone[p - 1]))
+        out[doc] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("crowd", [1, 4096])
+def test_suffix_dedup_brute_force(spark, crowd):
+    rows = [r[:2] for r in corpus(4, 60)] + [(200, "ab" * 400), (201, "q" * 150), (202, "q" * 99), (203, "é" * 90 + "q" * 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs, crowd=crowd).collect()}
+    assert got == strings_removed(rows, 100)
+
+
+def test_long_text_is_searched_in_segments(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    text = prose(1, 900).encode()
+    windows = [(a, b) for a, b, *_ in zip(*suffix_dedup.marked_windows([text], 100)[0], strict=True)]
+    assert sorted(p for a, b in windows for p in range(a, b + 1)) == list(range(len(text) - 99))
+
+
+def test_line_dedup_brute_force(spark):
+    shared = [f"a shared line of many words number {k}" for k in range(4)]
+    own = lambda k, j: f"own line {j} of document {k} with words"
+    rows = [
+        (1, "\n".join([own(1, 0), *shared, own(1, 1)])), (2, "\n".join([own(2, 0), *shared[:3], "", shared[3], own(2, 1)])),
+        (3, "\n".join([shared[3], own(3, 0), shared[0]])), (4, "ok\n" + own(4, 0)), (5, "ok\n" + own(5, 0)), (6, "\n".join([own(1, 0), *shared, own(1, 1)])),
+    ]
+    out = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[2].cleaned_text == own(2, 0) + "\n" + own(2, 1) and out[2].n_removed == 4
+    assert out[1].n_removed == 0 and out[1].cleaned_text == rows[0][1]
+    assert out[3].n_removed == 1  # of crossing lines one is aligned
+    assert out[4].n_removed == out[5].n_removed == 0  # a short line is no reason
+    assert out[6].n_removed == 6 and out[6].cleaned_text == ""
+
+
+def test_frequent_lines_of_different_texts_stay(spark):
+    rows = [(k, f"one boiler plate line for all\nbut this line is of document {k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup(docs, rare_share=0.05, rare_texts=10).agg(F.sum("n_removed")).first()[0] == 0
+    assert line_dedup(docs, rare_share=1.0).agg(F.sum("n_removed")).first()[0] == 29
+
+
+def test_patience_blocks():
+    assert patience_blocks({0: 1, 1: 2, 2: 3}, {5: 1, 6: 2, 7: 3}) == [(0, 5, 3)]
+    assert patience_blocks({0: 1, 1: 2}, {0: 2, 1: 1}) in ([(0, 1, 1)], [(1, 0, 1)])
+    assert patience_blocks({0: 9, 1: 1, 2: 9}, {0: 9, 1: 1, 2: 9}) == [(0, 0, 3)]
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    rows = [r[:2] for r in corpus(6, 50)] + [(100, None), (101, "Don't! <|endoftext|> ÉCOLE, ß. x1"), (102, prose(2, 400))]
+    ids = {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for k, t in rows}
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), 128).collect()
+    per_doc, per_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in out:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))
+        per_doc[r.doc_id].append((r.piece, r.start, r.length))
+        per_sequence[r.sequence_id].append((r.offset, r.length))
+    for k, pieces in per_doc.items():
+        pieces.sort()
+        assert [p[0] for p in pieces] == list(range(-(-len(ids[k]) // 128))) and sum(p[2] for p in pieces) == len(ids[k])
+    for places in per_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 128
+    assert len(per_sequence) <= max(sharding.best_fit_decreasing([r.length for r in out], 128)) + 2
+
+
+def test_pack_plan_uses_the_histogram_exactly():
+    chance = random.Random(1)
+    histogram = collections.Counter(chance.choice([5, 17, 40, 63, 64, 90, 128]) for _ in range(5000))
+    plan = packing.pack_plan(dict(histogram), 128)
+    used = collections.Counter()
+    for config, times in plan:
+        assert sum(length * n for length, n in config) <= 128 and times > 0
+        for length, n in config:
+            used[length] += n * times
+    assert used == histogram
+    greedy = sharding.best_fit_decreasing([k for k, n in histogram.items() for _ in range(n)], 128)
+    assert sum(t for _, t in plan) <= 1.005 * (max(greedy) + 1)
+
+
+def test_token_cache_equals_the_tokenizer():
+    cache = TokenCache(queries.tokenizer_path())
+    assert cache.by_word
+    for text in ["Été ÀÉ naïve's", "İ Σας ΟΔΟΣ", "a\u0301 e\u0301X", "x\x1cy\x85z\xa0w", "l'eau, d'un. 3,5%", "<|ENDOFTEXT|> ﬁ ª º µ Ǆ", "end.\n\n,start"]:
+        assert cache.ids(text) == cache._encoded(text)
+
+
+def test_classifier_learns_and_holds_out(spark):
+    rows = [(k, prose(k, 60) + "." if k % 4 else "### %%% " + "junk &&& " * 40, "en", "s", 1) for k in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    out = quality_scores(docs, marks).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in out)
+    assert all(r.predicted == (r.doc_id % 4 != 0) for r in out)
+    wrong = spark.createDataFrame([(k, 0 if zlib.crc32(str(k).encode()) % 5 == 0 else int(k % 4 != 0), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, quality_scores(docs, wrong).collect())) == sorted(map(tuple, out))  # held-out labels do not matter
+
+
+def test_classifier_on_the_test_tables(spark, sf_dir):
+    truth = spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
+    scores = queries.op5_quality_classifier(spark, f"{sf_dir}/../sf0.01").where("held_out").join(truth, "doc_id").collect()
+    assert sum(r.predicted == r.quality for r in scores) >= 0.95 * len(scores)
+
+
+def test_isotonic():
+    x, y = isotonic([1, 2, 3, 4], [0.0, 1.0, 0.5, 1.0], [1, 1, 1, 1])
+    assert list(y) == sorted(y) and abs(sum(y) / len(y) - 0.5833) < 0.01 or len(y) == 3
+
+
+def test_sharding_laws(spark):
+    rows = [r[:2] for r in corpus(9, 80)] + [(500 + k, "hot") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard_documents(docs, shards=4, bundles=64).collect()
+    text, by_text, by_shard = dict(rows), collections.defaultdict(set), collections.defaultdict(list)
+    for r in out:
+        assert r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode())
+        by_text[text[r.doc_id]].add(r.shard)
+        by_shard[r.shard].append(r)
+    assert all(len(s) == 1 for s in by_text.values()) and set(by_shard) == {0, 1, 2, 3}
+    loads = [sum(r.size for r in s) for s in by_shard.values()]
+    assert max(loads) <= out[0].capacity and max(loads) - min(loads) <= 0.1 * max(loads)
+    assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in by_shard.values())
+    packed = sharding.shard_documents(docs, shards=None, capacity=sum(loads) // 5).collect()
+    assert max(collections.Counter({r.shard: 1 for r in packed}).keys()) <= 6
+
+
+def test_best_fit_decreasing_against_a_scan():
+    chance = random.Random(2)
+    for _ in range(30):
+        sizes = [chance.randrange(1, 60) for _ in range(80)]
+        rooms, want = [], [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fits = [(room, k) for k, room in enumerate(rooms) if room >= sizes[i]]
+            k = min(fits)[1] if fits else len(rooms)
+            if not fits:
+                rooms.append(100)
+            rooms[k] -= sizes[i]
+            want[i] = k
+        assert sharding.best_fit_decreasing(sizes, 100) == want
+
+
+def test_mixing_meets_targets(spark):
+    rows = [(k, prose(k, 1 + k % 40), "en", None if k % 7 == 0 else f"s{k % 5}", 1) for k in range(700)] + [(9000, prose(1, 3), "en", "tiny", 1)]
+    out = curriculum_mix(spark.createDataFrame(rows, DOCS)).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.source].append(r)
+    total = sum(r.size for r in out)
+    assert abs(sum(s[0].target for s in by.values()) - total) < 1e-6
+    for name, s in by.items():
+        assert s[0].source_size == sum(r.size for r in s) and s[0].target <= 3 * s[0].source_size
+        assert abs(sum(r.taken for r in s) - s[0].target) <= max(r.size for r in s)
+        assert all(r.taken <= 3 * r.size and (r.position is None) == (r.repeats == 0) for r in s), name
+    assert by["tiny"][0].target == 9
+    places = [r.position for r in out if r.position is not None]
+    assert all(0 <= p <= 1 for p in places) and places == sorted(places)
+    again = curriculum_mix(spark.createDataFrame(rows, DOCS).repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_curriculum_follows_the_schedule(spark):
+    rows = [(k, "w w w w", "en", "early" if k % 2 else "late", 1) for k in range(4000)]
+    out = curriculum_mix(spark.createDataFrame(rows, DOCS), cycle=(1, 3), slope=0.5).where("source = 'early' and repeats > 0").collect()
+    first = sum(r.position < 0.5 for r in out) / len(out)
+    assert abs(first - (0.5 + 0.5 / 4)) < 0.02  # density 1 - 0.5 (2 t - 1): five eighths lie in the first half
+
+
+def test_rules_counts(spark):
+    text = "One two three four five.\nOne two three four five.\nMenu | Home | Shop | About\nPlease accept our cookie policy.\nno end here"
+    r = line_first_rules(spark.createDataFrame([(1, text)], "doc_id long, text string"), min_words=1, max_repeat_percent=100, max_lost_percent=60).first()
+    assert (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (25, 3, 1, 10)
+    assert (r.n_lines, r.n_failed_lines, r.base_failed) == (5, 3, False)
+    assert r.cleaned_text == "One two three four five.\nOne two three four five."
+
+
+def judged(url):
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(r), v, r) for v, r in queries.URL_RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+    return (host, path, *(max(fits)[2:0:-1] if fits else (None, None)))
+
+
+URLS = [
+    None, "", "no scheme", "http://", "http://Example.COM/en/x?q#f", "https://www.example.com/en/", "https://notexample.com/en/1", "ftp://a.net/es/9", "http://net/es/",
+    "http://anet/es/", "http://x.com", "http://x.com?y=/en/", "http://x.com#/en/", "http://a://b/c", "http://www.example.com/en", "http://a.b.example.com/en/1", "http://ünï.com/é",
+]
+
+
+def test_url_rules(spark):
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(URLS)], "page_id long, url string")
+    out = {r.page_id: r for r in url_filter(pages, spark.createDataFrame([], "url string, bad boolean"), queries.URL_RULES).collect()}
+    for k, url in enumerate(URLS):
+        host, path, rule, verdict = judged(url)
+        assert (out[k].host, out[k].path, out[k].rule, out[k].verdict) == (host, path, rule, verdict or "allow")
+
+
+def test_mined_url_rules(spark):
+    rows = [(f"https://win-casino.shop{k}.org/a/{k}" if k % 4 == 0 else f"https://site{k % 9}.org/news/{k}", k % 4 == 0) for k in range(200)]
+    known = spark.createDataFrame(rows, "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "http://casino.example.org/x"), (2, "http://site3.org/news/4"), (3, "http://win-casino.other.org/q"), (3, "http://win-casino.other.org/q")], "page_id long, url string")
+    out = sorted((r.page_id, r.verdict, r.mined) for r in url_filter(pages, known, queries.URL_RULES).collect())
+    assert out == [(1, "block", True), (2, "allow", False), (3, "block", True), (3, "block", True)]
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("op_doc_id", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir).cache()
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns, name
+            docs = out
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+    empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf_dir)
+        assert empty.isEmpty()
+        if "text" not in empty.columns:
+            break
+
+
+def test_line_stage_of_the_pipeline(spark, sf_dir):
+    rows = [(1, "a first line of five words\nand a second line of words", "en", "s", 1), (2, "a first line of five words\nand another line of own words", "en", "s", 1), (3, "a first line of five words", "en", "s", 1), (4, None, "en", "s", None)]
+    out = {r.doc_id: r for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()}
+    assert set(out) == {1, 2, 4} and out[2].text == "and another line of own words" and out[2].n_chars == len(out[2].text)
