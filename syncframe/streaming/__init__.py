@@ -1,5 +1,5 @@
-"""Event streams.  Functions that take ``events`` work on batch and on streaming DataFrames alike; watermarks
-and all spans of time are parameters."""
+"""Event streams.  Functions with a ``watermark`` work on batch and on streaming DataFrames alike; the others are
+the batch forms of the folds in ``stateful``.  All spans of time are parameters."""
 
 from __future__ import annotations
 
