@@ -56,51 +56,65 @@ def prefix_length(n: int, hot: np.ndarray, check: float = 20.0) -> int:
 
 
 def _prefixes(levels: np.ndarray):
-    """(doc_id, tokens, meta): each document's prefix in the global order (level, hash), rare shingles first.
-    ``meta`` packs for each token the set size, the least number of matches whose prefix has the token,
-    the number the document asks for and whether the token is frequent."""
+    """(doc_id, n, asked, hot, tokens): each document's prefix in the global order (level, hash), rare shingles first,
+    and from which place on they are frequent."""
     estimated = np.where(levels == 0, 0.0, np.exp2(np.arange(256)[levels]))
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64())), ("meta", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("asked", pa.int32()), ("hot", pa.int32()), ("tokens", pa.list_(pa.int64()))])
         mask = np.uint64(len(levels) - 1)
         for batch in batches:
-            ids, tokens, metas = [], [], []
+            rows = []
             for doc, s in zip(batch["doc_id"].to_pylist(), shingle_sets(texts_of(batch["text"])), strict=True):
                 if doc is None or not len(s):
                     continue
-                n, cell = len(s), s & mask
-                order = np.argsort(levels[cell], kind="stable")[: n - required(n) + MOST]
-                ell = prefix_length(n, estimated[cell[order]])
-                order = order[: n - required(n) + ell]
-                from_match = np.maximum(np.arange(len(order)) - (n - required(n)) + 1, 1)
-                ids.append(doc)
-                tokens.append(s[order].view(np.int64))
-                metas.append((n * 128 + from_match * 16 + ell * 2 + (levels[cell[order]] > 0)).astype(np.int64))
-            yield record_batch(schema, [ids, tokens, metas])
+                n, level = len(s), levels[s & mask]
+                order = np.argsort(level, kind="stable")[: n - required(n) + MOST]
+                asked = prefix_length(n, estimated[level[order]])
+                order = order[: n - required(n) + asked]
+                rows.append((doc, n, asked, int(np.count_nonzero(level[order] == 0)), s[order].view(np.int64)))
+            yield record_batch(schema, zip(*rows, strict=True) if rows else [[]] * 5)
 
     return emit
 
 
+#: A posting's ``meta`` packs the size of its document, the least number of matches whose prefix has the token,
+#: the number that the document asks for, and whether the token is frequent.
 SIZE, FROM, ASKED, HOT = "shiftright(meta, 7)", "(shiftright(meta, 4) & 7)", "(shiftright(meta, 1) & 7)", "(meta & 1)"
 
 
 def _buckets(prefixes: DataFrame) -> DataFrame:
-    """(token, doc_id, meta, hub, hub_n) for tokens that two documents share; the hub is the smallest
-    document of a token's list.
+    """(token, doc_id, meta, hub, hub_n) for tokens that two documents share; the hub is the document of smallest id in a
+    token's list, since originals come before their copies.
 
     Lists of rare tokens are bounded by the level's limit and are looked at in a window; lists of frequent
     tokens are reduced by partial aggregation and joined back, which Spark can split."""
-    rows = prefixes.select("doc_id", F.explode(F.arrays_zip("tokens", "meta")).alias("x")).select("doc_id", F.col("x.tokens").alias("token"), F.col("x.meta").alias("meta"))
-    least = F.min(F.struct("doc_id", F.expr(SIZE).alias("n")))
+    spare = f"n - (({TOP} * n + {BOTTOM - 1}) div {BOTTOM})"
+    meta = f"cast(n as bigint) * 128 + greatest(pos - ({spare}) + 1, 1) * 16 + asked * 2 + if(pos >= hot, 1, 0)"
+    rows = prefixes.select("doc_id", "n", "asked", "hot", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "token", F.expr(meta).alias("meta"))
+    member = F.struct("doc_id", F.expr(SIZE).alias("n"))
     list_of = Window.partitionBy("token")
-    rare = rows.where(f"{HOT} = 0").withColumn("least", least.over(list_of)).withColumn("most", F.max("doc_id").over(list_of))
+    rare = rows.where(f"{HOT} = 0").withColumn("least", F.min(member).over(list_of)).withColumn("most", F.max(member).over(list_of))
     hot = rows.where(f"{HOT} = 1")
-    heads = hot.groupBy("token").agg(least.alias("least"), F.max("doc_id").alias("most")).where("least.doc_id < most")
-    both = rare.where("least.doc_id < most").unionByName(hot.join(heads, "token"))
+    heads = hot.groupBy("token").agg(F.min(member).alias("least"), F.max(member).alias("most")).where("least <> most")
+    both = rare.where("least <> most").unionByName(hot.join(heads, "token"))
     return both.select("token", "doc_id", "meta", F.col("least.doc_id").alias("hub"), F.col("least.n").alias("hub_n"))
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+
+
+def _pairs_of_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    left, right = texts_of(batch["text_a"]), texts_of(batch["text_b"])
+    distinct = list(dict.fromkeys([*left, *right]))
+    sets = dict(zip(distinct, shingle_sets(distinct), strict=True))
+    for a, b, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), left, right, strict=True):
+        yield a, b, sets[x], sets[y]
+
+
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose whole shingle sets reach the similarity."""
 
@@ -108,24 +122,90 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
             found = []
-            left, right = texts_of(batch["text_a"]), texts_of(batch["text_b"])
-            ids = list(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True))
-            distinct = list(dict.fromkeys([*left, *right]))
-            sets = dict(zip(distinct, shingle_sets(distinct), strict=True))
-            for pair, x, y in zip(ids, left, right, strict=True):
-                s, t = sets[x], sets[y]
+            for a, b, s, t in _pairs_of_sets(batch):
                 if BOTTOM * min(len(s), len(t)) >= TOP * max(len(s), len(t)):
                     shared = len(np.intersect1d(s, t, assume_unique=True))
                     if BOTTOM * shared >= TOP * (len(s) + len(t) - shared):
-                        found.append(pair)
+                        found.append((a, b))
             yield record_batch(schema, zip(*found, strict=True) if found else [[], []])
 
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    return _with_texts(pairs, texts).mapInArrow(check, "a long, b long").distinct()
+
+
+def _beyond_hub(members: DataFrame, texts: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(hub, doc_id, n, inside, whole, tokens) of pairs (a = hub, b = document): how much of the document the hub has, and
+    shingles that the hub has not.
 
+    If the hub has at least what a link takes, all shingles beyond it are listed (``whole``).  Otherwise a link takes
+    some beyond it, and the rarest of them suffice to find it: as many as in the shortest prefix."""
 
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tasks: int = 4096) -> DataFrame:
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("hub", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("inside", pa.int64()), ("whole", pa.bool_()), ("tokens", pa.list_(pa.int64()))]
+        for batch in batches:
+            rows = []
+            for a, b, s, t in _pairs_of_sets(batch):
+                beyond = np.setdiff1d(t, s, assume_unique=True)
+                n, inside = len(t), len(t) - len(beyond)
+                whole = inside >= required(n)
+                if not whole:
+                    beyond = beyond[np.argsort(levels[beyond & np.uint64(len(levels) - 1)], kind="stable")[: n - required(n) + 1]]
+                rows.append((a, b, n, inside, whole, beyond.view(np.int64)))
+            yield record_batch(pa.schema(kinds), zip(*rows, strict=True) if rows else [[]] * 6)
+
+    return _with_texts(members, texts).mapInArrow(split, "hub long, doc_id long, n long, inside long, whole boolean, tokens array<long>")
+
+
+def _crossing_short(lists: DataFrame, near) -> DataFrame:
+    """Pairs (a, b) in different components that share enough prefix tokens of short lists.  A pair whose documents
+    both stand in long lists may share further tokens there and needs one."""
+    x, y = lists.alias("x"), lists.alias("y")
+    both = lambda e: (e.replace("meta", "x.meta"), e.replace("meta", "y.meta"))
+    asked = F.when(F.col("x.in_long") & F.col("y.in_long"), 1).otherwise(F.expr("least({}, {})".format(*both(ASKED))))
+    return (
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & F.expr(near(*both(SIZE))))
+        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), asked.alias("asked"), F.expr("greatest({}, {})".format(*both(FROM))).alias("from_match"))
+        .groupBy("a", "b").agg(F.max("asked").alias("asked"), F.count_if((F.col("from_match") <= F.col("asked")) | (F.col("asked") == 1)).alias("shared"))
+        .where("shared >= asked").select("a", "b")
+    )
+
+
+def _crossing_long(work: Workspace, lists: DataFrame, texts: DataFrame, levels: np.ndarray) -> DataFrame:
+    """Pairs (a, b) in different components that may link although they meet in long lists only.
+
+    Two documents share at most the smaller of their two shares of the list's hub, and what they share beyond it.
+    So they can only link if they share a shingle beyond the hub, or if the smaller share of the hub is enough
+    for both sizes.  The first kind meets by those shingles, which copies with edits of their own rarely
+    have in common (a document that the hub has too little of by its rarest ones, which must meet then); the second by the sizes that the share allows, which lie below the hub's size for a
+    document that does not link to the hub."""
+    members = lists.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    component = lists.groupBy("doc_id").agg(F.first("component").alias("component"))
+    beyond = work.save(_beyond_hub(members, texts, levels), "beyond").join(component, "doc_id")
+    enough = lambda shared: F.lit(TOP + BOTTOM) * shared >= F.lit(TOP) * (F.col("x.n") + F.col("y.n"))
+    least = F.least("x.inside", "y.inside")
+    pair = F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
+
+    rows = beyond.select("hub", "doc_id", "component", "n", "inside", "whole", F.explode("tokens").alias("token"))
+    mixed = rows.groupBy("hub", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "token")
+    open_rows = work.save(rows.join(mixed, ["hub", "token"], "left_semi"), "beyond-open")
+    x, y = open_rows.alias("x"), open_rows.alias("y")
+    at_most = least + F.least(F.col("x.n") - F.col("x.inside"), F.col("y.n") - F.col("y.inside"))
+    by_token = (
+        x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & enough(at_most))
+        .groupBy("x.hub", *pair).agg(F.count("*").alias("c"), F.first(least).alias("inside"), F.first(F.col("x.n") + F.col("y.n")).alias("sizes"), F.first(F.col("x.whole") & F.col("y.whole")).alias("exact"))
+        .where(f"not exact or {TOP + BOTTOM} * (inside + c) >= {TOP} * sizes").select("a", "b")
+    )
+
+    own = beyond.drop("tokens").withColumn("low", F.expr(f"({TOP} * n + {BOTTOM - 1}) div {BOTTOM}"))
+    own = own.withColumn("high", F.least(F.col("n"), F.expr(f"({TOP + BOTTOM} * inside) div {TOP} - n"))).where("low <= high")
+    sized = own.withColumn("size", F.explode(F.sequence("low", "high")))
+    x, y = sized.alias("x"), own.alias("y")
+    by_size = x.join(
+        y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.size") == F.col("y.n")) & (F.col("x.component") != F.col("y.component")) & enough(least)
+    ).select(*pair)
+    return by_token.unionByName(by_size.distinct())
+
+
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = 16, tasks: int = 4096) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two documents link when their sets of distinct five-word shingles (words by white space, A-Z in lower
@@ -137,10 +217,12 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     estimated to be costly ask for more.
 
     Candidates are checked on their whole sets in two rounds.  First each document of a token's list meets
-    the list's smallest document, which is linear in the lists and already joins groups of copies.  Then
-    documents that share prefix tokens and stand in different components meet, as often as it takes;
-    lists that lie in one component are left out, so a group never meets itself pair by pair.  No
-    component can be missed: every link is either checked or within a component.
+    the list's hub, its smallest id, which is linear in the lists and already joins groups of copies.
+    Lists that then lie in one component are done, so a group never meets itself pair by pair.  In other
+    lists documents of different components meet: directly in lists of up to ``short`` documents, and
+    in longer ones only those that may link by what each shares with the hub and by what they share beyond
+    it.  No component can be missed: a link is checked or within a component, and pairs that are
+    left out cannot reach the similarity.
 
     Null and empty texts have no shingles and are alone; a text of one to four words has one shingle for
     its whole sequence.  Repeated rows are the same node.  Rows with a null id get their own size and a
@@ -153,36 +235,32 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = work.save(sets.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
     shingles = sets.agg(F.sum("n")).first()[0] or 0
     levels = frequency_levels(work, docs, cells_for(shingles), tasks)
-    prefixes = docs.mapInArrow(_prefixes(levels), "doc_id long, tokens array<long>, meta array<long>")
-    prefixes = prefixes.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    prefixes = work.save(prefixes, "prefixes")
+    prefixes = docs.mapInArrow(_prefixes(levels), "doc_id long, n int, asked int, hot int, tokens array<long>")
+    prefixes = work.save(prefixes.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "prefixes")
     buckets = work.save(_buckets(prefixes), "buckets")
     work.drop("prefixes")
     texts = work.save(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
     near = lambda n, m: f"{BOTTOM} * least({n}, {m}) >= {TOP} * greatest({n}, {m})"
-    to_hubs = buckets.where("hub <> doc_id").where(near(SIZE, "hub_n")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    to_hubs = buckets.where("hub <> doc_id").where(near(SIZE, "hub_n")).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     to_hubs = work.save(to_hubs, "to-hubs")
     links = work.save(_similar(to_hubs, texts), "links")
     groups = connected_components(work, links, "first")
 
-    placed = buckets.drop("hub", "hub_n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = buckets.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = work.save(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
     work.drop("buckets")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_lists = work.save(placed.join(mixed, "token", "left_semi"), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    both = lambda e: (e.replace("meta", "x.meta"), e.replace("meta", "y.meta"))
-    asked = F.expr("least({}, {})".format(*both(ASKED)))
-    crossing = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & F.expr(near(*both(SIZE))))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), asked.alias("asked"), F.expr("greatest({}, {})".format(*both(FROM))).alias("from_match"))
-        .groupBy("a", "b").agg(F.max("asked").alias("asked"), F.count_if(F.col("from_match") <= F.col("asked")).alias("shared"))
-        .where("shared >= asked").select("a", "b").join(to_hubs, ["a", "b"], "left_anti")
-    )
-    links = work.save(links.unionByName(_similar(work.save(crossing, "crossing"), texts)), "all-links")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("length"))
+    open_lists = work.save(placed.join(mixed.where("low < high").select("token", "length"), "token"), "open")
+    work.drop("placed")
+    long_lists = open_lists.where(F.col("length") > short)
+    in_long = long_lists.select("doc_id").distinct().withColumn("in_long", F.lit(True))
+    short_lists = work.save(open_lists.where(F.col("length") <= short).join(in_long, "doc_id", "left").withColumn("in_long", F.coalesce("in_long", F.lit(False))), "short")
+    crossing = _crossing_short(short_lists, near).unionByName(_crossing_long(work, long_lists, texts, levels)).distinct()
+    crossing = work.save(crossing.join(to_hubs, ["a", "b"], "left_anti"), "crossing")
+    links = work.save(links.unionByName(_similar(crossing, texts)), "all-links")
+    work.drop("texts", "open", "short", "beyond", "beyond-open", "crossing", "to-hubs")
     groups = connected_components(work, links, "last")
     named = work.save(nodes.join(groups, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id")), "named")
-    work.drop("texts", "placed", "open", "crossing", "to-hubs")
     own = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))
     return sets.where("n > 0 and doc_id is not null").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(own)
