@@ -142,6 +142,7 @@ def suffix_dedup(
     A byte goes if a string of ``length`` UTF-8 bytes covers it that also starts earlier: in a document of
     smaller id, or before in the same one.  Strings never cross documents and are judged on the input.
 
+    Of equal texts only the first is searched: each later copy goes as a whole if it has ``length`` bytes.
     Every window of ``length`` bytes is marked by the gram in it with the least hash, about three marks in
     a hundred bytes; equal windows have equal marks.  Marks that occur once end the search for their
     windows.  Of the others, the windows around a mark form a context; equal contexts are reduced to
@@ -171,7 +172,11 @@ def suffix_dedup(
             hot = [frequent[(r[3] & np.uint64(len(frequent) - 1)).astype(np.int64)] for r in rows]
             yield record_batch(schema, [batch["doc"], [r[3].view(np.int64) for r in rows], [r[2] * 2 + h for r, h in zip(rows, hot, strict=True)]])
 
+    facts = docs.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("md5"), F.sha2("text", 256).alias("own"))
+    facts = work.save(facts, "facts")
+    firsts = work.save(facts.where(F.col("n_bytes") >= length).groupBy("md5").agg(F.min("doc").alias("first")), "firsts")
     found = docs.select("doc", "text").mapInArrow(marks, "doc long, gram array<long>, mark array<long>")
+    found = work.save(found.join(firsts.select(F.col("first").alias("doc")), "doc", "left_semi"), "marks")
     found = found.select("doc", F.explode(F.arrays_zip("gram", "mark")).alias("x")).select(F.col("x.gram").alias("gram"), "doc", F.col("x.mark").alias("mark"))
     place = F.struct("doc", "mark")
     of_gram = Window.partitionBy("gram")
@@ -180,7 +185,10 @@ def suffix_dedup(
     often = hot.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
     shared = rare.select("doc", "mark").unionByName(hot.join(often, "gram", "left_semi").select("doc", "mark"))
     per_doc = shared.groupBy("doc").agg(F.collect_set(F.shiftright("mark", 1)).alias("marks"))
+    per_doc = work.save(per_doc, "per-doc")
+    work.drop("marks")
     involved = work.save(docs.select("doc", "text").join(per_doc, "doc"), "involved")
+    work.drop("per-doc")
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c, pa.int64()) for c in ("doc", "start", "size", "gram", "c1", "c2")])
@@ -201,6 +209,8 @@ def suffix_dedup(
     first = heads.select("c1", "c2", F.col("doc").alias("d"), F.col("start").alias("s"))
     whole = seen.join(first, ["c1", "c2"]).where("doc <> d or start <> s").select("doc", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
 
+    whole = work.save(whole, "whole")
+    work.drop("contexts")
     several = work.save(heads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     contested = heads.join(several, "gram").select("doc", F.struct("start", "size", "gram", "n").alias("x")).groupBy("doc").agg(F.collect_list("x").alias("parts"))
 
@@ -214,6 +224,7 @@ def suffix_dedup(
 
     pieces = involved.select("doc", "text").dropDuplicates(["doc"]).join(contested, "doc").mapInArrow(cut, "gram long, n long, doc long, start long, bytes binary")
     pieces = work.save(pieces, "pieces")
+    work.drop("heads", "several")
     spans = pa.schema([("doc", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +287,12 @@ def suffix_dedup(
         removed, "doc long, md5 string, n_removed long, kept_sha256 string, removed array<struct<begin: long, end: long>>"
     )
     changed = work.save(changed, "changed")
-    work.drop("involved", "contexts", "heads", "several", "pieces")
-    facts = docs.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("md5"), F.sha2("text", 256).alias("own"))
-    return facts.join(changed, ["doc", "md5"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"), "removed",
+    work.drop("involved", "whole", "pieces")
+    copy = F.col("first") < F.col("doc")
+    span = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
+    gone = F.when(copy, span).otherwise(F.col("removed"))
+    return facts.join(firsts, "md5", "left").join(changed, ["doc", "md5"], "left").select(
+        "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_spans"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "own")).alias("kept_sha256"), gone.alias("removed"),
     )
