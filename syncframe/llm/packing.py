@@ -83,7 +83,7 @@ def pack_plan(histogram: dict[int, int], capacity: int, rounds: int = 150, phase
     if left[capacity]:
         use(((capacity, 1),), int(left[capacity]))
     for _ in range(phases):
-        if left.sum() < 4 * np.count_nonzero(left):
+        if left.sum() <= 4 * np.count_nonzero(left):
             break  # too few of each length for whole multiples
         for config, x in sorted(_fractional(left, capacity, rounds).items(), key=lambda c: (-c[1], c[0])):
             times = min(int(x), *(int(left[length]) // n for length, n in config))
