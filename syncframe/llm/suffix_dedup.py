@@ -34,8 +34,9 @@ def _marked(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
         return none, none, none, none.astype(np.uint64)
     grams, span = _BYTE[data], 1
     while span < GRAM:
-        grams = mix(grams[:-span] * _FACTOR + grams[span:])
+        grams = grams[:-span] * (_FACTOR + np.uint64(2 * span)) + grams[span:]
         span *= 2
+    grams = mix(grams)
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     wide, span = length - GRAM + 1, 1
     while 2 * span <= wide:
