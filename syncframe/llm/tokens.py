@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -39,8 +41,8 @@ class TokenCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             self.by_word = self.fits(json.load(file))
-        letters = _byte_letters()
-        self.letters = {chr(b): letters[b] for b in range(256)}
+        self.letters = str.maketrans({chr(b): letter for b, letter in _byte_letters().items()})
+        self.model = self.tokenizer.model
 
     @staticmethod
     def fits(config: dict) -> bool:
@@ -56,16 +58,24 @@ class TokenCache(dict):
     def _encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _run(self, spelled: str) -> bytes:
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
+        if word.isalpha() and len(word) < 200:  # letters a-z: one run, which stands for itself
+            ids = self._run(word.decode())
+        elif word[-1:] in (b".", b",") and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
-        elif text.isalpha() and max(text) <= "ÿ" and len(text) < 200:
-            # one run of letters that lower() composes and lower-cases as the tokenizer does
-            spelled = text.lower().encode().decode("latin-1").translate(str.maketrans(self.letters))
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
         else:
-            ids = self._encoded(text)
+            text = word.decode()
+            if text.isalpha() and max(text) <= "ÿ" and len(text) < 200:
+                # one run of letters that lower() composes and lower-cases as the tokenizer does
+                ids = self._run(text.lower().encode().decode("latin-1").translate(self.letters))
+            else:
+                ids = self._encoded(text)
         self[word] = ids
         return ids
 
