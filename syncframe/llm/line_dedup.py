@@ -6,13 +6,12 @@ import bisect
 import hashlib
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from syncframe.llm.arrow import record_batch, small_batches, texts_of
-from syncframe.llm.common import Workspace, text_of
+from syncframe.llm.common import Workspace, rank_within, text_of
 
 _LAST = 2**63 - 1
 
@@ -80,23 +79,38 @@ def patience_blocks(later: dict[int, int], earlier: dict[int, int]) -> list[tupl
     return blocks
 
 
-def removed_lines(lines: list[dict], min_words: int) -> set[int]:
-    """Places of the lines that go, from a document's inherited lines (first, places, first_places, words, rare)."""
-    by_first: dict[int, list[dict]] = {}
-    for line in lines:
-        by_first.setdefault(line["first"], []).append(line)
+def removed_places(later: dict[int, int], earlier: dict[int, int], sound: set[int]) -> set[int]:
+    """Places of the later document's lines that go: aligned blocks with a line of ``sound``.
+
+    Lines that only one side has can be left out of both, as places tell what follows what."""
     gone: set[int] = set()
-    for shared in by_first.values():
-        sound = [x["rare"] and x["words"] >= min_words for x in shared]
-        if any(sound):
-            later = {p: k for k, x in enumerate(shared) for p in x["places"]}
-            earlier = {q: k for k, x in enumerate(shared) for q in x["first_places"]}
-            for p, _, n in patience_blocks(later, earlier):
-                if any(sound[later[i]] for i in range(p, p + n)):
-                    gone.update(range(p, p + n))
+    for p, _, n in patience_blocks(later, earlier):
+        if any(later[i] in sound for i in range(p, p + n)):
+            gone.update(range(p, p + n))
     return gone
 
 
+def units(lines: dict[int, bytes], sound: set[int]) -> Iterator[tuple[bytes, int]]:
+    """(key, place) of what a document must share with another one to lose the line at that place to it.
+
+    ``lines`` holds the shared lines by place, ``sound`` the places of sound ones.  A sound line's key is the
+    line.  A block that takes another line takes all lines from it to the nearest sound line before or after it
+    too, so its keys are these two runs, as far as they are unbroken."""
+    for p in sound:
+        yield lines[p], p
+    for side, order in ((1, sorted(lines)), (-1, sorted(lines, reverse=True))):
+        key, before = b"", None
+        for p in order:
+            if p in sound:
+                key = lines[p]
+            elif key and before == p - side:
+                key = hashlib.blake2b(key + lines[p], digest_size=16, salt=b"after" if side > 0 else b"before").digest()
+                yield key, p
+            else:
+                key = b""
+            before = p
+
+
 def line_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     min_words: int = 5, rare_share: float = 0.05, rare_texts: int = 10,
@@ -104,16 +118,19 @@ def line_dedup(
     """One row per input row: doc_id, n_lines, n_removed, removed_chars, cleaned_text.
 
     Lines are what newlines separate; blank ones (white space only) are not counted, and white space at the
-    ends of a line does not matter.  A line is repeated if several documents hold it, and leads back to
-    the first of them.  A repeated line is rare if the different texts that hold it are no more than
+    ends of a line does not matter.  A line is rare if the different texts that hold it are no more than
     ``rare_share`` of all rows or than ``rare_texts``; copies of one text count once, so a large group
-    of copies makes no line frequent.  Two documents overlap when one has a rare line of
-    ``min_words`` words or more that leads back to the other.  The lines that lead from the later to the
-    earlier document are aligned by patience diff; an aligned block, lines that follow each other in both
-    documents, goes from the later one if it has such a rare line.
+    of copies makes no line frequent.  It is sound if it is rare and has ``min_words`` words or more.  A
+    document is aligned by patience diff, on all lines that both hold, with every earlier document that shares a
+    sound line; an aligned block, lines that follow each other in both documents, goes from the later one
+    if it holds a sound line.
 
-    A line leads to one document, so the pairs' lines together are no more than the repeated lines, however
-    large a group is: documents never meet pair by pair.  Lists are per document and bounded by its own lines.
+    Not every pair is looked at, but every line that some pair would take goes.  A copy of an earlier text goes
+    whole, or not at all if no line is sound or none occurs once.  For other texts, ``units`` gives the keys that
+    an earlier document must share to take a line.  Each key leads to its first holder; a line that was not taken is
+    tried with the key's further holders, 4, 16, 64 and so on at a time, until it is taken or none is
+    left.  So a group of near copies meets its first document only, and what costs more is lines that no
+    alignment takes (they cross others, or occur several times).
 
     Null and empty texts have no lines.  Repeated rows are one document and lose nothing to each other; a null
     id comes after all others; an empty table gives an empty result.  A blank line between two lines
@@ -122,67 +139,126 @@ def line_dedup(
     small_batches(spark)
     work = Workspace(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_of(text_col).alias("text"))
+    docs = docs.withColumn("version", F.unhex(F.md5(F.col("text").cast("binary"))))
 
     def lines_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("doc", pa.int64()), ("version", pa.int64()), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.list_(pa.int32())))]
+        kinds = [("doc", pa.int64()), ("version", pa.binary()), ("once", pa.bool_()), ("line", pa.list_(pa.binary())), ("long", pa.list_(pa.bool_())), ("places", pa.list_(pa.list_(pa.int32())))]
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
-            for doc, text in zip(batch["doc"].to_pylist(), texts_of(batch["text"]), strict=True):
+            for doc, version, text in zip(batch["doc"].to_pylist(), batch["version"].to_pylist(), texts_of(batch["text"]), strict=True):
                 places: dict[bytes, list[int]] = {}
                 for place, line in enumerate(x for x in map(bytes.strip, text.split(b"\n")) if x):
                     places.setdefault(line, []).append(place)
                 if not places:
                     continue
-                keys = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in places), np.int64)
-                version = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), signed=True)
-                for column, x in zip(out, (doc, version, keys[::2], keys[1::2], [len(x.split()) for x in places], list(places.values())), strict=True):
+                keys = [hashlib.blake2b(x, digest_size=16).digest() for x in places]
+                once = any(len(x) == 1 for x in places.values())
+                for column, x in zip(out, (doc, version, once, keys, [len(x.split()) >= min_words for x in places], list(places.values())), strict=True):
                     column.append(x)
             yield record_batch(pa.schema(kinds), out)
 
-    rows = docs.select("doc", "text").mapInArrow(lines_of, "doc long, version long, h1 array<long>, h2 array<long>, words array<int>, places array<array<int>>")
-    rows = rows.select("doc", "version", F.explode(F.arrays_zip("h1", "h2", "words", "places")).alias("x")).select("doc", "version", "x.*")
-    rows = work.save(rows, "lines")
-    n = docs.count()
-    repeated = (
-        rows.groupBy("h1", "h2", "version").agg(F.min(F.struct("doc", "places")).alias("head"), F.max("doc").alias("last"))
-        .groupBy("h1", "h2").agg(F.min("head").alias("head"), F.max("last").alias("last"), F.count(F.lit(1)).alias("texts"))
-        .where("head.doc < last")
-        .select("h1", "h2", F.col("head.doc").alias("first"), F.col("head.places").alias("first_places"), (F.col("texts") <= max(rare_texts, rare_share * n)).alias("rare"))
+    fields = ["once", "line", "long", "places"]
+    rows = docs.select("doc", "version", "text").mapInArrow(lines_of, "doc long, version binary, once boolean, line array<binary>, long array<boolean>, places array<array<int>>")
+    texts = rows.groupBy("version").agg(F.min(F.struct("doc", *fields)).alias("x"), F.max("doc").alias("last")).select("version", "x.*", "last")
+    texts = work.save(texts, "texts")
+    limit = max(rare_texts, rare_share * docs.count())
+    lines = texts.select("doc", "version", F.explode(F.arrays_zip("line", "long", "places")).alias("x")).select("doc", "version", "x.*")
+    counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("line", (F.col("texts") <= limit).alias("rare"))
+    shared = work.save(
+        lines.join(counted, "line").withColumn("sound", F.col("rare") & F.col("long"))
+        .groupBy("doc", "version").agg(F.collect_list(F.struct("line", "places", "sound")).alias("shared"), F.count_if(F.col("long") & ~F.col("rare")).alias("worn")),
+        "shared",
     )
-    repeated = work.save(repeated, "repeated")
-    inherited = (
-        rows.join(repeated, ["h1", "h2"]).where("doc > first")
-        .groupBy("doc", "version").agg(F.collect_set(F.struct("first", "places", "first_places", "words", "rare")).alias("shared"))
+
+    def units_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("version", pa.binary()), ("place", pa.int32())])
+        for batch in batches:
+            out = []
+            for doc, version, shared in zip(batch["doc"].to_pylist(), batch["version"].to_pylist(), batch["shared"].to_pylist(), strict=True):
+                if any(x["sound"] for x in shared) and any(len(x["places"]) == 1 for x in shared):  # else nothing can be aligned
+                    at = {p: x["line"] for x in shared for p in x["places"]}
+                    out += [(key, doc, version, p) for key, p in units(at, {p for x in shared if x["sound"] for p in x["places"]})]
+            yield record_batch(schema, zip(*out, strict=True) if out else [[]] * 4)
+
+    def aligned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc", pa.int64()), ("version", pa.binary()), ("gone", pa.list_(pa.int32()))])
+        for batch in batches:
+            out = []
+            for doc, version, mine, other in zip(batch["doc"].to_pylist(), batch["version"].to_pylist(), batch["shared"].to_pylist(), batch["other"].to_pylist(), strict=True):
+                theirs = {x["line"]: x["places"] for x in other}
+                both = [(x, theirs[x["line"]]) for x in mine if x["line"] in theirs]
+                later = {p: k for k, (x, _) in enumerate(both) for p in x["places"]}
+                earlier = {q: k for k, (_, places) in enumerate(both) for q in places}
+                gone = removed_places(later, earlier, {k for k, (x, _) in enumerate(both) if x["sound"]})
+                if gone:
+                    out.append((doc, version, sorted(gone)))
+            yield record_batch(schema, zip(*out, strict=True) if out else [[]] * 3)
+
+    def align(pairs: DataFrame, name: str) -> DataFrame:
+        other = shared.select(F.col("version").alias("partner"), F.col("shared").alias("other"))
+        both = pairs.join(other, "partner").join(shared.select("version", "shared"), "version").select("doc", "version", "shared", "other")
+        return work.save(both.mapInArrow(aligned, "doc long, version binary, gone array<int>"), name)
+
+    held = work.save(shared.mapInArrow(units_of, "key binary, doc long, version binary, place int"), "units")
+    heads = held.groupBy("key").agg(F.min(F.struct("doc", "version")).alias("head"), F.max("doc").alias("last")).where("head.doc < last").select("key", "head")
+    wanted = work.save(held.join(heads, "key").where("doc > head.doc"), "wanted")
+    pairs = [work.save(wanted.select("doc", "version", F.col("head.version").alias("partner")).distinct(), "pairs0")]
+    gone = [align(pairs[0], "gone0")]
+    left = wanted.select("key", "doc", "version", "place")
+
+    def still(left: DataFrame, taken: DataFrame) -> DataFrame:
+        return left.join(taken.select("version", F.explode("gone").alias("place")), ["version", "place"], "left_anti")
+
+    left = work.save(still(left, gone[0]), "left0")
+    if not left.isEmpty():
+        holders = held.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("doc").alias("_doc"), F.col("version").alias("partner")).distinct()
+        holders = holders.withColumn("_order", F.hex("partner"))
+        holders = work.save(rank_within(holders, ["key"], "_order", ["partner"], "rank").drop("_order"), "holders")
+        most, low, high = holders.agg(F.max("rank")).first()[0], 0, 4
+        while low <= most and not left.isEmpty():
+            k = len(pairs)
+            some = holders.where((F.col("rank") >= low) & (F.col("rank") < high))
+            new = left.join(some, "key").where("_doc < doc").select("doc", "version", "partner").distinct()
+            for seen in pairs:
+                new = new.join(seen, ["doc", "version", "partner"], "left_anti")
+            pairs.append(work.save(new, f"pairs{k}"))
+            gone.append(align(pairs[k], f"gone{k}"))
+            left = work.save(still(left, gone[k]), f"left{k}")
+            low, high = high, 5 * high
+    taken = gone[0]
+    for more in gone[1:]:
+        taken = taken.unionByName(more)
+    taken = taken.groupBy("doc", "version").agg(F.flatten(F.collect_list("gone")).alias("gone")).withColumn("whole", F.lit(False))
+    copied = (
+        texts.where("last > doc AND once").withColumn("n_long", F.size(F.filter("long", lambda x: x)))
+        .join(shared.where("worn > 0").select("version", "worn"), "version", "left").where("n_long > coalesce(worn, 0)")
+        .select("version", F.col("doc").alias("_first"))
     )
+    copies = docs.select("doc", "version").join(copied, "version").where("doc > _first").select("doc", "version").distinct()
+    taken = taken.unionByName(copies.select("doc", "version", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("whole")))
 
     def cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("cleaned_text", pa.string())])
         for batch in batches:
             out = []
-            for doc, text, shared in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"]), batch["shared"].to_pylist(), strict=True):
-                gone = removed_lines(shared or [], min_words)
-                kept, held, place, lost, after_gone = [], [], 0, 0, False
+            for doc, text, places, whole in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"]), batch["gone"].to_pylist(), batch["whole"].to_pylist(), strict=True):
+                gone = set(range(text.count(b"\n") + 1) if whole else places or ())
+                kept, held, place, lost, n_lost, after_gone = [], [], 0, 0, 0, False
                 for line in text.split(b"\n"):
                     if not line.strip():
                         held.append(line)
                         continue
                     if place in gone:
                         lost += len(line.decode())
+                        n_lost += 1
                         if not after_gone:
                             kept += held
                     else:
                         kept += [*held, line]
                     after_gone, held, place = place in gone, [], place + 1
-                out.append((doc, place, len(gone), lost, b"\n".join([*kept, *held]).decode() if gone else text.decode()))
+                out.append((doc, place, n_lost, lost, b"\n".join([*kept, *held]).decode() if gone else text.decode()))
             yield record_batch(schema, zip(*out, strict=True) if out else [[]] * 5)
 
-    # the version of a text is worked out again on this side, so that rows with one id and other texts stay apart
-    def versions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), signed=True) for t in texts_of(batch["text"])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, "version"])
-
-    whole = docs.mapInArrow(versions, "doc_id long, doc long, text string, version long")
-    return whole.join(inherited, ["doc", "version"], "left").select("doc_id", "text", "shared").mapInArrow(
+    return docs.join(taken, ["doc", "version"], "left").select("doc_id", "text", "gone", "whole").mapInArrow(
         cleaned, "doc_id long, n_lines long, n_removed long, removed_chars long, cleaned_text string"
     )

@@ -193,6 +193,37 @@ def test_frequent_lines_of_different_texts_stay(spark):
     assert line_dedup(docs, rare_share=1.0).agg(F.sum("n_removed")).first()[0] == 29
 
 
+def test_line_dedup_meets_every_earlier_document(spark):
+    long = [f"a line of some words with number {k}" for k in range(14)]
+    worn = ["ok", "a worn line that many of the texts hold", "yes"]
+    chance = random.Random(11)
+    texts = [f"{worn[1]}\nthe own line of text {k}" for k in range(30)]
+    for _ in range(50):
+        lines = []
+        for _ in range(chance.randrange(1, 5)):
+            at = chance.randrange(12)
+            lines += long[at : at + chance.randrange(1, 4)] + chance.choice([[], worn[:1], worn[1:2], worn[1:]])
+        texts.append("\n".join(lines))
+    texts += [texts[40], texts[50], "ok\nok", "ok\nok"]
+    holders = collections.Counter(x for t in set(texts) for x in set(t.split("\n")))
+    limit = 25
+    sound = {x for x, n in holders.items() if n <= limit and len(x.split()) >= 5}
+    assert worn[1] not in sound and len(sound & set(long)) > 9
+    expected = []
+    for d, text in enumerate(texts):
+        gone, later = set(), dict(enumerate(text.split("\n")))
+        for e in range(d):
+            earlier = dict(enumerate(texts[e].split("\n")))
+            if sound & set(later.values()) & set(earlier.values()):
+                for p, _, n in patience_blocks(later, earlier):
+                    if any(later[i] in sound for i in range(p, p + n)):
+                        gone |= set(range(p, p + n))
+        expected.append("\n".join(x for p, x in later.items() if p not in gone))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.cleaned_text for r in line_dedup(docs, rare_share=0.0, rare_texts=limit).collect()}
+    assert [out[d] for d in range(len(texts))] == expected
+
+
 def test_patience_blocks():
     assert patience_blocks({0: 1, 1: 2, 2: 3}, {5: 1, 6: 2, 7: 3}) == [(0, 5, 3)]
     assert patience_blocks({0: 1, 1: 2}, {0: 2, 1: 1}) in ([(0, 1, 1)], [(1, 0, 1)])
