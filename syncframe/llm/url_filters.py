@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syncframe.llm.common import Workspace
 
-BLOCK = "label=block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,41 +32,73 @@ def url_tokens(url: Column) -> Column:
     )))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 3) -> DataFrame:
-    """Rules (rule_id, tokens, confidence, lift, support) that conclude ``block``, from rows of ``tokens``
-    and ``bad``.  A rule whose tokens include those of a rule at least as confident is pruned."""
-    baskets = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(
-        F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")
-    )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = (
-        model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= max_tokens))
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support").where(F.col("lift") > 1)
-    )
-    small = found.select(F.col("tokens").alias("_tokens"), F.col("confidence").alias("_confidence"), F.explode("tokens").alias("_token"))
-    wide = found.withColumn("_token", F.explode("tokens"))
+def least_share(hits: Column, n: Column, z: float) -> Column:
+    """Wilson's lower bound, ``z`` deviations wide, of the share that ``hits`` of ``n`` rows show."""
+    share, zz = hits / n, z * z
+    return (share + zz / (2 * n) - z * F.sqrt(share * (1 - share) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
+def mine_rules(labelled: DataFrame, work: Workspace, min_rows: int, min_confidence: float, z: float) -> DataFrame:
+    """Rules (tokens, confidence, lift, support, index_token) that conclude ``block``, from rows of ``tokens`` and
+    ``bad``: token sets of any length in ``min_rows`` bad rows or more, whose share of bad rows is at least
+    ``min_confidence`` by Wilson's bound.  A rule whose tokens include those of a rule at least as confident is pruned.
+
+    Mined level by level over distinct token sets.  A set grows only while all its rows are not bad, and
+    only sets whose every part is in more rows count: others repeat a part's rule, so nothing is lost.
+    A token of all rows has lift 1 and adds nothing to any set."""
+    baskets = work.save(
+        labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).groupBy("tokens")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("hits")),
+        "baskets",
+    )
+    rows, hits = baskets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("hits"), F.lit(0))).first()
+    counts = lambda level: level.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("hits") >= min_rows)
+    level = baskets.select("tokens", "n", "hits", F.explode("tokens").alias("_token")).select("tokens", "n", "hits", F.array("_token").alias("rule"))
+    found = [work.save(counts(level).where(F.col("n") < rows), "rules1")]
+    single = found[0].select(F.element_at("rule", 1).alias("_token"), F.col("n").alias("_n"))
+    while True:
+        k = len(found)
+        alive = found[-1].where("hits < n").select("rule", F.col("n").alias("_n"))
+        if alive.isEmpty():
+            break
+        level = level.join(alive.select("rule"), "rule", "left_semi")
+        level = level.withColumn("_token", F.explode(F.filter("tokens", lambda t: t > F.element_at("rule", -1))))
+        level = work.save(level.select("tokens", "n", "hits", F.concat("rule", F.array("_token")).alias("rule")), f"level{k + 1}")
+        parts = counts(level).withColumn("_part", F.explode("rule")).withColumn("_part", F.filter("rule", lambda t: t != F.col("_part")))
+        parts = parts.join(alive.withColumnRenamed("rule", "_part"), "_part").where("n < _n")
+        found.append(work.save(parts.groupBy("rule", "n", "hits").count().where(F.col("count") == k + 1).drop("count"), f"rules{k + 1}"))
+    everything = found[0]
+    for more in found[1:]:
+        everything = everything.unionByName(more)
+    good = everything.where(least_share(F.col("hits"), F.col("n"), z) >= min_confidence).select(
+        F.col("rule").alias("tokens"), (F.col("hits") / F.col("n")).alias("confidence"),
+        (F.col("hits") / F.col("n") * rows / F.lit(max(hits, 1))).alias("lift"), (F.col("hits") / F.lit(max(rows, 1))).alias("support"),
+    ).where(F.col("lift") > 1)
+    good = work.save(good, "good")
+    small = good.select(F.col("tokens").alias("_tokens"), F.col("confidence").alias("_confidence"), F.explode("tokens").alias("_token"))
+    wide = good.withColumn("_token", F.explode("tokens"))
     covered = wide.join(small, "_token").where(
         (F.size("_tokens") < F.size("tokens")) & (F.col("_confidence") >= F.col("confidence"))
         & (F.size(F.array_except("_tokens", "tokens")) == 0)
     ).select("tokens")
-    kept = found.join(covered.distinct(), "tokens", "left_anti")
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("_token"), "freq")
-    first = kept.withColumn("_token", F.explode("tokens")).join(often, "_token").groupBy("tokens").agg(
-        F.min_by("_token", F.struct("freq", "_token")).alias("index_token")
+    kept = good.join(covered.distinct(), "tokens", "left_anti")
+    first = kept.withColumn("_token", F.explode("tokens")).join(single, "_token").groupBy("tokens").agg(
+        F.min_by("_token", F.struct("_n", "_token")).alias("index_token")
     )
     return kept.join(first, "tokens")
 
 
 def url_filter(
     pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
-    min_support: float = 0.01, min_confidence: float = 0.6,
+    min_rows: int = 10, min_confidence: float = 0.6, z: float = 3.0,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, mined (true if an association rule matched).
 
     ``rules`` are (verdict, host and path); a rule fits its host, all subdomains and paths that start
     with its path, and the longest fitting rule decides.  Other pages are blocked if a mined rule
-    matches.  Rules are mined by FP-growth from the tokens of the URLs in ``labels`` (url, bad), kept
-    above ``min_support`` and ``min_confidence``, and matched by an inverted index: each rule stands
+    matches.  Rules are mined from the tokens of the URLs in ``labels`` (url, bad), kept if ``min_rows`` bad
+    rows or more hold them, at any size of the table, and the share of bad rows is ``min_confidence`` or more with
+    ``z`` deviations to spare, and matched by an inverted index: each rule stands
     under its rarest token, distinct token sets meet the rules there, and a meeting counts if the set
     holds all tokens of the rule.  Neither side is broadcast by a hint.
 
@@ -78,7 +108,7 @@ def url_filter(
     host, path = url_parts(F.col(url_col))
     read = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), url_tokens(F.coalesce(F.col(url_col), F.lit(""))).alias("tokens"))
     known = labels.select(url_tokens(F.coalesce(F.col("url"), F.lit(""))).alias("tokens"), F.col("bad").cast("boolean").alias("bad"))
-    mined = work.save(mine_rules(known, min_support, min_confidence), "rules")
+    mined = work.save(mine_rules(known, work, min_rows, min_confidence, z), "rules")
     key = F.array_join("tokens", "\n")
     sets = read.select("tokens").distinct().withColumn("_token", F.explode("tokens"))
     matched = (

@@ -397,6 +397,19 @@ def test_mined_url_rules(spark):
     assert out == [(1, "block", True), (2, "allow", False), (3, "block", True), (3, "block", True)]
 
 
+def test_rare_long_and_chance_url_rules(spark):
+    parts = ["ant", "bee", "cat", "dog"]
+    rows = [(f"https://pills.org/x/{k}", True) for k in range(20)]  # 0.4 % of the rows
+    for mask in range(16):  # bad only where all four words meet
+        words = "/".join(w for i, w in enumerate(parts) if mask >> i & 1)
+        rows += [(f"https://zoo.org/{words}/{k}", mask == 15) for k in range(30)]
+    rows += [(f"https://chance.org/y/{k}", True) for k in range(3)] + [(f"https://fine{k % 9}.org/news/{k}", False) for k in range(4500)]
+    urls = ["http://pills.net/a", "http://zoo.org/ant/bee/cat/dog/1", "http://zoo.org/ant/bee/cat/1", "http://chance.org/y/1", "http://fine3.org/news/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r.page_id: r.mined for r in url_filter(pages, spark.createDataFrame(rows, "url string, bad boolean"), []).collect()}
+    assert out == {0: True, 1: True, 2: False, 3: False, 4: False}
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("op_doc_id", F.lit("clash"))
     for name, stage in corpus_pipeline.STAGES:
