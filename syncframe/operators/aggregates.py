@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,15 +69,38 @@ def manifest_digest(entries: DataFrame, row: Column, order: Column, buckets: int
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "p"))), lambda x: x["p"]), ""), 256).alias("digest"))
 
 
-def spec_hash(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(spec_hash) of a descriptor: over ``path NUL size NUL octal mode NUL sha NUL`` and each chunk's hash and NUL,
-    files in the order of their paths.  A descriptor is one document, so its text may be one row."""
-    nul = F.lit("\0")
-    lists = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", "sha"))).alias("list"))
-    text = F.array_join(F.transform("list", lambda x: F.concat(x["sha"], nul)), "")
-    head = F.concat("path", nul, F.col("size").cast("string"), nul, S.octal_mode(F.col("mode")), nul, "sha", nul, F.coalesce(text, F.lit("")))
-    rows = files.join(lists, "path", "left").select("path", head.alias("text"))
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), ""), 256).alias("spec_hash"))
+def spec_hash(files: DataFrame, chunks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(spec_hash) of a descriptor, or one for each value of ``keys``: over ``path NUL size NUL octal mode NUL sha
+    NUL`` and each chunk's hash and NUL, files in the order of their paths.  SHA-256 reads a descriptor in
+    order, so one task reads its sorted rows as a stream, with nothing but the hash's state in memory."""
+    keys, nul = keys or [], F.lit("\0")
+    head = F.concat("path", nul, F.col("size").cast("string"), nul, S.octal_mode(F.col("mode")), nul, "sha", nul)
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    rows = files.select(*keys, "path", head.alias("head"), F.monotonically_increasing_id().alias("row")).where("head is not null")
+    rows = rows.join(chunks.select(*keys, "path", "idx", F.col("sha").alias("part")), [*keys, "path"], "left").withColumn("group", group)
+    ordered = (rows.repartition("group") if keys else rows.repartition(1)).sortWithinPartitions("group", "path", "head", "row", "idx")
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, now, file, state = ["group", "spec_hash"], None, None, hashlib.sha256()
+        for batch in batches:
+            for at, row, start, part in zip(*(batch[c].to_pylist() for c in ("group", "row", "head", "part")), strict=True):
+                if at != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([state.hexdigest()])], names=names)
+                    now, file, state = at, None, hashlib.sha256()
+                if row != file:
+                    state.update(start.encode())
+                    file = row
+                if part is not None:
+                    state.update(part.encode() + b"\0")
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([state.hexdigest()])], names=names)
+
+    found = ordered.select("group", "row", "head", "part").mapInArrow(hashed, "group string, spec_hash string")
+    if not keys:
+        return found.agg(F.coalesce(F.max("spec_hash"), F.lit(hashlib.sha256().hexdigest())).alias("spec_hash"))
+    kinds = files.select(*keys).schema
+    return found.select(F.from_json("group", kinds).alias("g"), "spec_hash").select("g.*", "spec_hash")
 
 
 def server_counters(sessions: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases of the planning operators that the tables do not hold."""
 
+import collections
 import hashlib
 
 from pyspark.sql import functions as F
@@ -31,6 +32,23 @@ def test_spec_hash_is_byte_exact(spark):
     assert aggregates.spec_hash(files, chunks).first()[0] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_spec_hash_of_each_source_as_a_stream(spark):
+    rows = [(src, f"{src}/f{k}", k, 0o644, f"s{k}") for src in ("a", "b") for k in range(3)]
+    parts = [(src, f"{src}/f{k}", i, f"{src}{k}{i:02}") for src in ("a", "b") for k in range(1, 3) for i in range(12)]
+    files = spark.createDataFrame(rows, "source string, path string, size long, mode int, sha string")
+    chunks = spark.createDataFrame(parts[::-1], "source string, path string, idx int, sha string")
+    text = collections.defaultdict(str)
+    for src, path, size, _, sha in rows:
+        text[src] += f"{path}\0{size}\x00644\0{sha}\0" + "".join(f"{x[3]}\0" for x in parts if x[:2] == (src, path))
+    hashed = {src: hashlib.sha256(t.encode()).hexdigest() for src, t in text.items()}
+    out = aggregates.spec_hash(files, chunks, ["source"])
+    assert {r.source: r.spec_hash for r in out.collect()} == hashed
+    assert aggregates.spec_hash(files.limit(0), chunks).first()[0] == hashlib.sha256().hexdigest()
+    one = aggregates.spec_hash(files.where("source = 'a'"), chunks)
+    assert one.first()[0] == hashed["a"] and "collect_list" not in one._jdf.queryExecution().toString()
+
+
+
 def test_journal_continues_behind_its_head(spark):
     rows = lambda a, b: spark.createDataFrame([("j", k, f"t{k}", "e", "{}") for k in range(a, b)], "journal string, ord long, ts string, event string, detail string")
     whole = journal.append_journal(rows(0, 5)).orderBy("seq").collect()
