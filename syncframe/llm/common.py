@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,22 +22,33 @@ class Workspace:
     and not the sum of all."""
 
     FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         self.root = f"{base or tempfile.mkdtemp(prefix='spark-')}/corpus-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(self.FREE, None)
-        self.spark.conf.set(self.FREE, "true")
+    @contextlib.contextmanager
+    def _set(self, **settings: str) -> Iterator[None]:
+        """Settings for one write; the session has its own ones afterwards."""
+        names = {getattr(self, k): v for k, v in settings.items()}
+        before = {k: self.spark.conf.get(k, None) for k in names}
         try:
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            for k, v in names.items():
+                self.spark.conf.set(k, v)
+            yield
         finally:
-            if before is None:
-                self.spark.conf.unset(self.FREE)
-            else:
-                self.spark.conf.set(self.FREE, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
+
+    def save(self, df: DataFrame, name: str, batch_rows: int = 512) -> DataFrame:
+        """The table as written; its Arrow batches hold at most ``batch_rows`` rows, as texts may be long."""
+        with self._set(FREE="true", BATCH=str(batch_rows)):
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

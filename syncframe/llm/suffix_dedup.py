@@ -7,18 +7,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syncframe.llm.arrow import joined, record_batch, runs, small_batches, texts_of
+from syncframe.llm.arrow import joined, record_batch, runs, texts_of
 from syncframe.llm.common import Workspace, text_of
 from syncframe.llm.shingles import mix
-from syncframe.llm.sketch import cells_for, hashed_counts, usual
 
 #: Bytes of the grams whose smallest hash marks a window.  A power of two.
 GRAM = 32
-#: A text is searched in segments of this many bytes, which overlap by a window less one byte.
-SEGMENT = 4_000_000
+#: A text is searched in segments of this many bytes, which overlap by a window less one byte; arrays of this size stay in
+#: a core's cache.
+SEGMENT = 200_000
 _PLACE = np.uint64((1 << 24) - 1)
 _BYTE = np.random.default_rng(20240502).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -26,12 +26,14 @@ _LAST = 2**63 - 1
 
 
 def _marked(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(first window, last window, mark, gram hash): each window of ``length`` bytes within a text is marked by
-    its gram of least hash, the leftmost of equals, so equal windows have the same mark wherever they
-    stand; neighbours with the same mark form one row."""
+    """(first window, last window, mark, gram hash, context hash): each window of ``length`` bytes within a text is
+    marked by its gram of least hash, the leftmost of equals, so equal windows have the same mark wherever
+    they stand; neighbours with the same mark form one row.  A row's context is what its windows cover; the
+    hash stands for the grams that tile it, its size and the mark's place in it."""
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64)
+        return nothing
     grams, span = _BYTE[data], 1
     while span < GRAM:
         grams = grams[:-span] * (_FACTOR + np.uint64(2 * span)) + grams[span:]
@@ -49,33 +51,37 @@ def _marked(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
     np.add.at(edges, bounds[1:], -1)
     windows = np.flatnonzero(np.cumsum(edges)[: len(least)] == 0)
     if not len(windows):
-        return none, none, none, none.astype(np.uint64)
+        return nothing
     marks = (least[windows] & _PLACE).astype(np.int64)
     new = np.ones(len(windows), bool)
     new[1:] = (marks[1:] != marks[:-1]) | (windows[1:] != windows[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(windows)) - 1
-    return windows[first], windows[last], marks[first], grams[marks[first]]
+    at = np.flatnonzero(new)
+    first, last, mark = windows[at], windows[np.append(at[1:], len(windows)) - 1], marks[at]
+    size = last - first + length
+    context = mix(size.astype(np.uint64) * _FACTOR + (mark - first).astype(np.uint64))
+    for tile in range(0, 2 * length - GRAM, GRAM):
+        context = mix(context * _FACTOR + grams[first + np.minimum(tile, size - GRAM)])
+    return first, last, mark, grams[mark], context
 
 
 def marked_windows(texts: list[bytes], length: int) -> list[tuple[np.ndarray, ...]]:
-    """For each text its rows (first window, last window, mark, gram hash), in places of that text."""
+    """For each text its rows (first window, last window, mark, gram hash, context hash), in places of that text."""
     found = []
     for begin, end in runs(texts, SEGMENT):
         if end - begin == 1 and len(texts[begin]) > SEGMENT:
             parts = []
             for at in range(0, len(texts[begin]) - length + 1, SEGMENT - length + 1):
                 data = np.frombuffer(texts[begin], np.uint8)[at : at + SEGMENT]
-                first, last, mark, gram = _marked(data, np.array([0, len(data)]), length)
-                parts.append((first + at, last + at, mark + at, gram))
+                first, last, mark, *hashes = _marked(data, np.array([0, len(data)]), length)
+                parts.append((first + at, last + at, mark + at, *hashes))
             found.append(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
             continue
         data, bounds = joined(texts[begin:end])
-        first, last, mark, gram = _marked(data, bounds, length)
+        first, last, mark, *hashes = _marked(data, bounds, length)
         cuts = np.searchsorted(first, bounds)
         for i in range(end - begin):
             of = slice(cuts[i], cuts[i + 1])
-            found.append((first[of] - bounds[i], last[of] - bounds[i], mark[of] - bounds[i], gram[of]))
+            found.append((first[of] - bounds[i], last[of] - bounds[i], mark[of] - bounds[i], *(h[of] for h in hashes)))
     return found
 
 
@@ -91,8 +97,9 @@ def _smaller_before(places: np.ndarray, linked: np.ndarray) -> np.ndarray:
     return found
 
 
-def earlier_factors(contexts: list[bytes], group: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(doc, begin, end) runs covered by strings of ``length`` bytes that start earlier in the same group.
+def earlier_factors(contexts: list[bytes], group: np.ndarray, order: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, begin, end) of runs covered by strings of ``length`` bytes that start earlier in the same group.
+    ``order`` numbers the contexts' documents.
 
     Suffixes of all contexts are ranked by doubling until the rank covers ``length`` bytes.  In suffix
     order the previous and the next suffix with a smaller place (document, start) that share ``length``
@@ -102,7 +109,7 @@ def earlier_factors(contexts: list[bytes], group: np.ndarray, doc: np.ndarray, s
     sizes = np.diff(bounds)
     of = np.repeat(np.arange(len(contexts)), np.maximum(sizes - length + 1, 0))
     if not len(of):
-        return
+        return of, of, of
     windows = np.maximum(sizes - length + 1, 0)
     offset = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = bounds[of] + offset
@@ -115,184 +122,184 @@ def earlier_factors(contexts: list[bytes], group: np.ndarray, doc: np.ndarray, s
         ahead = np.append(rank[width:], np.zeros(width, rank.dtype))
         rank, width = np.unique(rank.astype(np.int64) * len(rank) + ahead, return_inverse=True)[1], 2 * width
     here, there = rank[at], rank[at + length - width]
-    order = np.lexsort((there, here, group[of]))
+    ranked = np.lexsort((there, here, group[of]))
     begin = start[of] + offset
-    by_place = np.lexsort((begin, doc[of]))
+    by_place = np.lexsort((begin, order[of]))
     step = np.ones(len(of), np.int64)
-    step[1:] = (np.diff(begin[by_place]) != 0) | (np.diff(doc[of][by_place]) != 0)
+    step[1:] = (np.diff(begin[by_place]) != 0) | (np.diff(order[of][by_place]) != 0)
     place = np.empty(len(of), np.int64)
     place[by_place] = np.cumsum(step)
     linked = np.zeros(len(of), bool)
-    linked[1:] = (np.diff(here[order]) == 0) & (np.diff(there[order]) == 0) & (np.diff(group[of][order]) == 0)
-    before = _smaller_before(place[order], linked)
-    after = _smaller_before(place[order][::-1], np.append(linked[1:], False)[::-1])[::-1]
+    linked[1:] = (np.diff(here[ranked]) == 0) & (np.diff(there[ranked]) == 0) & (np.diff(group[of][ranked]) == 0)
+    before = _smaller_before(place[ranked], linked)
+    after = _smaller_before(place[ranked][::-1], np.append(linked[1:], False)[::-1])[::-1]
     repeated = np.zeros(len(of), bool)
-    repeated[order] = (before >= 0) | (after >= 0)
+    repeated[ranked] = (before >= 0) | (after >= 0)
     hits = np.flatnonzero(repeated)
-    if len(hits):
-        cut = np.flatnonzero((np.diff(hits) != 1) | (np.diff(of[hits]) != 0)) + 1
-        for a, b in zip(np.append(0, cut), np.append(cut, len(hits)), strict=True):
-            yield int(doc[of[hits[a]]]), int(begin[hits[a]]), int(begin[hits[b - 1]]) + length
+    if not len(hits):
+        return hits, hits, hits
+    new = np.append(True, (np.diff(hits) != 1) | (np.diff(of[hits]) != 0))
+    firsts, lasts = hits[new], hits[np.append(new[1:], True)]
+    return of[firsts], begin[firsts], begin[lasts] + length
 
 
-def suffix_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowd: int = 4096, tasks: int = 4096,
-) -> DataFrame:
+SPANS = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+
+
+def _lists(counts: list[int], values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(values))
+
+
+def _whole_keys(batches: Iterable[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Tables of about ``least`` bytes or more from batches sorted by ``key``; no key is in two tables."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if held.nbytes < least:
+            continue
+        keys = held[key].to_numpy()
+        begins = int(np.searchsorted(keys, keys[-1]))
+        if begins:
+            yield held.slice(0, begins)
+            held = held.slice(begins).combine_chunks()
+    if held is not None and len(held):
+        yield held
+
+
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, tie, begins, ends): maximal runs of each document's spans, which come sorted by document and begin."""
+    kinds = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    for rows in _whole_keys(batches, "doc", 1_000_000):
+        doc, tie, begin, end = (rows[c].to_numpy() for c in ("doc", "tie", "begin", "end"))
+        new_doc = np.append(True, (np.diff(doc) != 0) | (np.diff(tie) != 0))
+        number = np.cumsum(new_doc) - 1
+        reach = np.maximum.accumulate((number << 40) + end) - (number << 40)
+        new = new_doc.copy()
+        new[1:] |= begin[1:] > reach[:-1]
+        firsts = np.flatnonzero(new)
+        lasts = np.append(firsts[1:], len(new)) - 1
+        counts = np.bincount(number[firsts], minlength=number[-1] + 1)
+        yield record_batch(kinds, [doc[new_doc], tie[new_doc], _lists(counts, begin[firsts]), _lists(counts, reach[lasts])])
+
+
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowd: int = 4096) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (the spans).
 
-    A byte goes if a string of ``length`` UTF-8 bytes covers it that also starts earlier: in a document of
+    A byte goes if a string of ``length`` UTF-8 bytes (32 at least) covers it that also starts earlier: in a document of
     smaller id, or before in the same one.  Strings never cross documents and are judged on the input.
 
     Of equal texts only the first is searched: each later copy goes as a whole if it has ``length`` bytes.
     Every window of ``length`` bytes is marked by the gram in it with the least hash, about three marks in
-    a hundred bytes; equal windows have equal marks.  Marks that occur once end the search for their
-    windows.  Of the others, the windows around a mark form a context; equal contexts are reduced to
-    their first, the later ones are repeats as a whole.  Where one mark has several contexts, their
-    suffixes are sorted and the longest-previous-factor array decides window by window.  Marks with
-    more than ``crowd`` different contexts do not go to one task: their windows are grouped by their
-    bytes, which partial aggregation spreads.  Marks in frequent cells of a hashed frequency table are
-    counted by partial aggregation, the others, whose number is bounded, in windows.
-
-    Null texts count as empty; a null id comes after all others; ids are unique up to repeated rows,
-    which are one document.  Texts shorter than ``length`` keep all bytes.  An empty table gives an
-    empty result."""
-    spark = df.sparkSession
-    small_batches(spark)
-    work = Workspace(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_of(text_col).alias("text"))
-
-    grams = lambda texts: (rows[3] for rows in marked_windows(texts, length))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    totals = hashed_counts(work, docs, grams, cells_for(2 * total // (length - GRAM + 1)), tasks)
-    frequent = totals > usual(totals)
+    a hundred bytes; equal windows have equal marks.  Marks are counted by partial aggregation, and those that
+    occur once end the search for their windows.  Of the others, the windows around a mark form a
+    context; equal contexts are reduced to their first, the later ones are repeats as a whole.  Where one mark
+    has several contexts, their suffixes are sorted and the longest-previous-factor array decides window by
+    window.  Marks with more than ``crowd`` different contexts do not go to one task: their windows are grouped by
+    their bytes, which partial aggregation spreads.  Joins on marks stand between written tables, so that Spark can split a
+    mark that many documents have.
+
+    Null texts count as empty; a null id comes after all others.  Rows of the same id and text are one document; rows of
+    the same id, or without one, that differ in text are documents of their own, in an order of their texts' hashes.
+    Very long texts are marked in segments.  Texts shorter than ``length`` keep all bytes.  An empty table gives
+    an empty result; other columns of any name are ignored."""
+    work = Workspace(df.sparkSession)
+    text = text_of(text_col)
+    docs = df.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text.alias("text"),
+        F.xxhash64(text).alias("tie"), F.unhex(F.md5(text.cast("binary"))).alias("md5"),
+    )
+    facts = work.save(docs.select("doc_id", "doc", "tie", "md5", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own")), "facts")
+    firsts = work.save(facts.where(F.col("n_bytes") >= length).groupBy("md5").agg(F.min("doc").alias("first")), "firsts")
 
     def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc", pa.int64()), ("gram", pa.list_(pa.int64())), ("mark", pa.list_(pa.int64()))])
+        kinds = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("gram", pa.list_(pa.int64())), ("context", pa.list_(pa.int64())), ("start", pa.list_(pa.int64())), ("size", pa.list_(pa.int32()))])
         for batch in batches:
             rows = marked_windows(texts_of(batch["text"]), length)
-            hot = [frequent[(r[3] & np.uint64(len(frequent) - 1)).astype(np.int64)] for r in rows]
-            yield record_batch(schema, [batch["doc"], [r[3].view(np.int64) for r in rows], [r[2] * 2 + h for r, h in zip(rows, hot, strict=True)]])
-
-    facts = docs.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("md5"), F.sha2("text", 256).alias("own"))
-    facts = work.save(facts, "facts")
-    firsts = work.save(facts.where(F.col("n_bytes") >= length).groupBy("md5").agg(F.min("doc").alias("first")), "firsts")
-    found = docs.select("doc", "text").mapInArrow(marks, "doc long, gram array<long>, mark array<long>")
-    found = work.save(found.join(firsts.select(F.col("first").alias("doc")), "doc", "left_semi"), "marks")
-    found = found.select("doc", F.explode(F.arrays_zip("gram", "mark")).alias("x")).select(F.col("x.gram").alias("gram"), "doc", F.col("x.mark").alias("mark"))
-    place = F.struct("doc", "mark")
-    of_gram = Window.partitionBy("gram")
-    rare = found.where("mark & 1 = 0").withColumn("a", F.min(place).over(of_gram)).withColumn("b", F.max(place).over(of_gram)).where("a <> b")
-    hot = found.where("mark & 1 = 1")
-    often = hot.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
-    shared = rare.select("doc", "mark").unionByName(hot.join(often, "gram", "left_semi").select("doc", "mark"))
-    per_doc = shared.groupBy("doc").agg(F.collect_set(F.shiftright("mark", 1)).alias("marks"))
-    per_doc = work.save(per_doc, "per-doc")
-    work.drop("marks")
-    involved = work.save(docs.select("doc", "text").join(per_doc, "doc"), "involved")
-    work.drop("per-doc")
-
-    def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.int64()) for c in ("doc", "start", "size", "gram", "c1", "c2")])
-        for batch in batches:
-            out = [[] for _ in schema]
-            texts = texts_of(batch["text"])
-            for doc, text, wanted, rows in zip(batch["doc"].to_pylist(), texts, batch["marks"], marked_windows(texts, length), strict=True):
-                of = np.isin(rows[2], wanted.values.to_numpy(zero_copy_only=False))
-                for first, last, mark, gram in zip(*(r[of].tolist() for r in (rows[0], rows[1], rows[2], rows[3].view(np.int64))), strict=True):
-                    context = text[first : last + length]
-                    key = hashlib.blake2b(context, digest_size=16, key=(mark - first).to_bytes(8)).digest()
-                    for column, x in zip(out, (doc, first, len(context), gram, int.from_bytes(key[:8], signed=True), int.from_bytes(key[8:], signed=True)), strict=True):
-                        column.append(x)
-            yield record_batch(schema, out)
-
-    seen = work.save(involved.mapInArrow(contexts, "doc long, start long, size long, gram long, c1 long, c2 long"), "contexts")
-    heads = work.save(seen.groupBy("c1", "c2").agg(F.min(F.struct("doc", "start", "size", "gram")).alias("head")).select("c1", "c2", "head.*"), "heads")
-    first = heads.select("c1", "c2", F.col("doc").alias("d"), F.col("start").alias("s"))
-    whole = seen.join(first, ["c1", "c2"]).where("doc <> d or start <> s").select("doc", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"))
-
-    whole = work.save(whole, "whole")
-    work.drop("contexts")
+            if rows:
+                counts = [len(r[0]) for r in rows]
+                first, last, _, gram, context = (np.concatenate(x) for x in zip(*rows, strict=True))
+                lists = gram.view(np.int64), context.view(np.int64), first, (last - first + length).astype(np.int32)
+                yield record_batch(kinds, [batch["doc"], batch["tie"], *(_lists(counts, x) for x in lists)])
+
+    found = docs.join(firsts.select("md5", F.col("first").alias("doc")), ["md5", "doc"], "left_semi").select("doc", "tie", "text")
+    found = work.save(found.mapInArrow(marks, "doc long, tie long, gram array<long>, context array<long>, start array<long>, size array<int>"), "marks")
+    repeated = work.save(found.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated")
+    seen = found.select("doc", "tie", F.inline(F.arrays_zip("gram", "context", "start", "size")))
+    seen = work.save(seen.join(repeated, "gram", "left_semi"), "seen")
+    work.drop("marks", "repeated")
+    heads = work.save(seen.groupBy("gram", "context").agg(F.min(F.struct("doc", "tie", "start", "size")).alias("head"), F.count(F.lit(1)).alias("n")), "heads")
+    again = heads.where("n > 1").select("gram", "context", F.struct("head.doc", "head.tie", "head.start").alias("first"))
+    whole = seen.join(again, ["gram", "context"]).where(F.struct("doc", "tie", "start") != F.col("first"))
+    whole = work.save(whole.select("doc", "tie", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end")), "whole")
+    work.drop("seen")
     several = work.save(heads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
-    contested = heads.join(several, "gram").select("doc", F.struct("start", "size", "gram", "n").alias("x")).groupBy("doc").agg(F.collect_list("x").alias("parts"))
+    contested = heads.select("gram", "head.*").join(several, "gram").groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "size", "gram", "n")).alias("parts"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+        kinds = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
         for batch in batches:
-            rows = []
-            for doc, text, parts in zip(batch["doc"].to_pylist(), texts_of(batch["text"]), batch["parts"].to_pylist(), strict=True):
-                rows += [(p["gram"], p["n"], doc, p["start"], text[p["start"] : p["start"] + p["size"]]) for p in parts]
-            yield record_batch(schema, zip(*rows, strict=True) if rows else [[]] * 5)
+            parts, counts = batch["parts"].flatten(), batch["parts"].value_lengths().to_numpy()
+            start, size, gram, n = (parts.field(k).to_numpy() for k in range(4))
+            texts = texts_of(batch["text"])
+            bytes_ = [texts[i][a:b] for i, a, b in zip(np.repeat(np.arange(len(texts)), counts).tolist(), start.tolist(), (start + size).tolist(), strict=True)]
+            yield record_batch(kinds, [gram, n, np.repeat(batch["doc"].to_numpy(), counts), np.repeat(batch["tie"].to_numpy(), counts), start, bytes_])
 
-    pieces = involved.select("doc", "text").dropDuplicates(["doc"]).join(contested, "doc").mapInArrow(cut, "gram long, n long, doc long, start long, bytes binary")
+    texts = docs.select("doc", "tie", "text")
+    pieces = texts.join(contested, ["doc", "tie"]).select("doc", "tie", "text", "parts").mapInArrow(cut, "gram long, n long, doc long, tie long, start long, bytes binary")
     pieces = work.save(pieces, "pieces")
     work.drop("heads", "several")
-    spans = pa.schema([("doc", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def solved(rows: list[tuple]) -> pa.RecordBatch:
-            gram, doc, start, texts = zip(*rows, strict=True)
-            runs_ = list(earlier_factors(list(texts), np.array(gram), np.array(doc), np.array(start), length))
-            return record_batch(spans, zip(*runs_, strict=True) if runs_ else [[]] * 3)
-
-        size = 0
-        for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("gram", "doc", "start", "bytes")), strict=True):
-                if size > 1_000_000 and row[0] != held[-1][0]:
-                    yield solved(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield solved(held)
+        for rows in _whole_keys(batches, "gram", 1_000_000):
+            gram, doc, tie, start = (rows[c].to_numpy() for c in ("gram", "doc", "tie", "start"))
+            by_doc = np.lexsort((tie, doc))
+            order = np.empty(len(doc), np.int64)
+            order[by_doc] = np.cumsum(np.append(0, (np.diff(doc[by_doc]) != 0) | (np.diff(tie[by_doc]) != 0)))
+            of, begin, end = earlier_factors(rows["bytes"].to_pylist(), gram, order, start, length)
+            yield record_batch(SPANS, [doc[of], tie[of], begin, end])
 
-    usual_marks = pieces.where(F.col("n") <= crowd).repartition("gram").sortWithinPartitions("gram").mapInArrow(factors, "doc long, begin long, end long")
+    of_spans = "doc long, tie long, begin long, end long"
+    usual_marks = pieces.where(F.col("n") <= crowd).repartition("gram").sortWithinPartitions("gram").mapInArrow(factors, of_spans)
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("window", pa.binary()), ("doc", pa.int64()), ("begin", pa.int64())])
+        kinds = pa.schema([("window", pa.binary()), ("doc", pa.int64()), ("tie", pa.int64()), ("begin", pa.int64())])
         for batch in batches:
-            rows = [
-                (text[k : k + length], doc, start + k)
-                for doc, start, text in zip(*(batch[c].to_pylist() for c in ("doc", "start", "bytes")), strict=True) for k in range(len(text) - length + 1)
-            ]
-            for at in range(0, len(rows), 4096):
-                yield record_batch(schema, zip(*rows[at : at + 4096], strict=True))
+            for doc, tie, start, context in zip(*(batch[c].to_pylist() for c in ("doc", "tie", "start", "bytes")), strict=True):
+                n = len(context) - length + 1
+                yield record_batch(kinds, [[context[k : k + length] for k in range(n)], [doc] * n, [tie] * n, range(start, start + n)])
 
-    each = pieces.where(F.col("n") > crowd).mapInArrow(windows, "window binary, doc long, begin long")
-    earliest = each.groupBy("window").agg(F.min(F.struct("doc", "begin")).alias("first"))
-    crowded = each.join(earliest, "window").where(F.struct("doc", "begin") != F.col("first")).select("doc", "begin", (F.col("begin") + length).alias("end"))
+    each = pieces.where(F.col("n") > crowd).mapInArrow(windows, "window binary, doc long, tie long, begin long")
+    earliest = each.groupBy("window").agg(F.min(F.struct("doc", "tie", "begin")).alias("first"))
+    crowded = each.join(earliest, "window").where(F.struct("doc", "tie", "begin") != F.col("first")).select("doc", "tie", "begin", (F.col("begin") + length).alias("end"))
 
-    covered = whole.unionByName(usual_marks).unionByName(crowded).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+    spans = whole.unionByName(usual_marks).unionByName(crowded)
+    merged = spans.repartition("doc", "tie").sortWithinPartitions("doc", "tie", "begin").mapInArrow(_merged, "doc long, tie long, begins array<long>, ends array<long>")
+    merged = work.save(merged, "spans", batch_rows=20_000)
+    work.drop("whole", "pieces")
 
     def removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc", pa.int64()), ("md5", pa.string()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
+        kinds = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
         for batch in batches:
-            rows = []
-            for doc, text, found in zip(batch["doc"].to_pylist(), texts_of(batch["text"]), batch["spans"].to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for span in found:
-                    if merged and span["begin"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], span["end"])
-                    else:
-                        merged.append([span["begin"], span["end"]])
-                kept, at = hashlib.sha256(), 0
-                for begin, end in merged:
-                    kept.update(text[at:begin])
-                    at = end
-                kept.update(text[at:])
-                rows.append((doc, hashlib.md5(text).hexdigest(), sum(e - b for b, e in merged), kept.hexdigest(), [{"begin": b, "end": e} for b, e in merged]))
-            yield record_batch(schema, zip(*rows, strict=True) if rows else [[]] * 5)
-
-    changed = involved.select("doc", "text").dropDuplicates(["doc"]).join(covered, "doc").mapInArrow(
-        removed, "doc long, md5 string, n_removed long, kept_sha256 string, removed array<struct<begin: long, end: long>>"
+            lost, hashes = [], []
+            for text, begins, ends in zip(texts_of(batch["text"]), batch["begins"].to_pylist(), batch["ends"].to_pylist(), strict=True):
+                kept = hashlib.sha256()
+                for a, b in zip([0, *ends], [*begins, len(text)], strict=True):
+                    kept.update(text[a:b])
+                lost.append(sum(ends) - sum(begins))
+                hashes.append(kept.hexdigest())
+            yield record_batch(kinds, [batch["doc"], batch["tie"], lost, hashes, batch["begins"], batch["ends"]])
+
+    changed = texts.join(merged, ["doc", "tie"]).select("doc", "tie", "text", "begins", "ends").mapInArrow(
+        removed, "doc long, tie long, n_removed long, kept_sha256 string, begins array<long>, ends array<long>"
     )
-    changed = work.save(changed, "changed")
-    work.drop("involved", "whole", "pieces")
+    changed = changed.select("doc", "tie", "n_removed", "kept_sha256", F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end")).alias("removed"))
+    changed = work.save(changed, "changed").dropDuplicates(["doc", "tie"])
+    work.drop("spans")
     copy = F.col("first") < F.col("doc")
     span = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
     gone = F.when(copy, span).otherwise(F.col("removed"))
-    return facts.join(firsts, "md5", "left").join(changed, ["doc", "md5"], "left").select(
+    return facts.join(firsts, "md5", "left").join(changed, ["doc", "tie"], "left").select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "own")).alias("kept_sha256"), gone.alias("removed"),

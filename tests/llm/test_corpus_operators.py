@@ -164,6 +164,15 @@ def test_suffix_dedup_brute_force(spark, crowd):
     assert got == strings_removed(rows, 100)
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_suffix_dedup_rows_without_an_id(spark, turn):
+    rows = [(1, prose(1, 60)), (2, prose(2, 60)), (None, prose(1, 60)[:300] + prose(70, 20)), (None, prose(80, 20) + prose(2, 60)[:300]), (None, prose(1, 60)), (None, "few")]
+    docs = spark.createDataFrame(rows[::turn], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(docs).collect() if r.doc_id is None)
+    sizes = [len(t) for k, t in rows if k is None]
+    assert got == sorted(zip(sizes, [300, 300, sizes[2], 0], strict=True))
+
+
 def test_long_text_is_searched_in_segments(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
     text = prose(1, 900).encode()
