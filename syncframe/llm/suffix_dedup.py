@@ -25,20 +25,24 @@ _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _LAST = 2**63 - 1
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the gram at each place."""
+    grams, span = _BYTE[data], 1
+    while span < GRAM:
+        grams = grams[:-span] * (_FACTOR + np.uint64(2 * span)) + grams[span:]
+        span *= 2
+    return mix(grams)
+
+
 def _marked(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(first window, last window, mark, gram hash, context hash): each window of ``length`` bytes within a text is
     marked by its gram of least hash, the leftmost of equals, so equal windows have the same mark wherever
     they stand; neighbours with the same mark form one row.  A row's context is what its windows cover; the
     hash stands for the grams that tile it, its size and the mark's place in it."""
-    none = np.zeros(0, np.int64)
-    nothing = none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     if len(data) < length:
-        return nothing
-    grams, span = _BYTE[data], 1
-    while span < GRAM:
-        grams = grams[:-span] * (_FACTOR + np.uint64(2 * span)) + grams[span:]
-        span *= 2
-    grams = mix(grams)
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    grams = _grams(data)
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     wide, span = length - GRAM + 1, 1
     while 2 * span <= wide:
@@ -46,17 +50,16 @@ def _marked(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
         span *= 2
     if wide > span:
         least = np.minimum(least[: len(least) - (wide - span)], least[wide - span :])
-    edges = np.zeros(len(data) + 1, np.int64)
-    np.add.at(edges, np.maximum(bounds[1:] - (length - 1), bounds[:-1]), 1)
-    np.add.at(edges, bounds[1:], -1)
-    windows = np.flatnonzero(np.cumsum(edges)[: len(least)] == 0)
-    if not len(windows):
-        return nothing
-    marks = (least[windows] & _PLACE).astype(np.int64)
-    new = np.ones(len(windows), bool)
-    new[1:] = (marks[1:] != marks[:-1]) | (windows[1:] != windows[:-1] + 1)
-    at = np.flatnonzero(new)
-    first, last, mark = windows[at], windows[np.append(at[1:], len(windows)) - 1], marks[at]
+    inside = np.ones(len(least) + 1, bool)  # windows that cross no end of a text
+    inside[-1] = False
+    for a, b in zip(np.maximum(bounds[1:] - (length - 1), bounds[:-1]).tolist(), bounds[1:].tolist(), strict=True):
+        inside[a:b] = False
+    changes = least[1:] != least[:-1]
+    first, last = inside[:-1].copy(), inside[:-1].copy()
+    first[1:] &= changes | ~inside[:-2]
+    last[:-1] &= changes | ~inside[1:-1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    mark = (least[first] & _PLACE).astype(np.int64)
     size = last - first + length
     context = mix(size.astype(np.uint64) * _FACTOR + (mark - first).astype(np.uint64))
     for tile in range(0, 2 * length - GRAM, GRAM):
@@ -101,40 +104,44 @@ def earlier_factors(contexts: list[bytes], group: np.ndarray, order: np.ndarray,
     """(context, begin, end) of runs covered by strings of ``length`` bytes that start earlier in the same group.
     ``order`` numbers the contexts' documents.
 
-    Suffixes of all contexts are ranked by doubling until the rank covers ``length`` bytes.  In suffix
-    order the previous and the next suffix with a smaller place (document, start) that share ``length``
-    bytes are what the longest-previous-factor array is made of; the array reaches ``length`` exactly
-    where one of the two exists.  Contexts may overlap: equal places are one and the same string."""
+    Equal suffixes (their first ``length`` bytes) are found by hash; those that occur once end there, and the distinct
+    others are sorted by their bytes.  In suffix order the previous and the next suffix with a smaller
+    place (document, start) that share ``length`` bytes are what the longest-previous-factor array is made of; the
+    array reaches ``length`` exactly where one of the two exists.  Contexts may overlap: equal places are
+    one and the same string."""
     data, bounds = joined(contexts)
-    sizes = np.diff(bounds)
-    of = np.repeat(np.arange(len(contexts)), np.maximum(sizes - length + 1, 0))
+    windows = np.maximum(np.diff(bounds) - length + 1, 0)
+    of = np.repeat(np.arange(len(contexts)), windows)
     if not len(of):
         return of, of, of
-    windows = np.maximum(sizes - length + 1, 0)
     offset = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = bounds[of] + offset
-    padded = np.concatenate([data, np.zeros(2 * length + 8, np.uint8)])
-    rank = np.zeros(len(data) + length, np.uint64)
-    for k in range(8):
-        rank = (rank << np.uint64(8)) | padded[k : k + len(rank)]
-    rank, width = np.unique(rank, return_inverse=True)[1], 8
-    while 2 * width <= length:
-        ahead = np.append(rank[width:], np.zeros(width, rank.dtype))
-        rank, width = np.unique(rank.astype(np.int64) * len(rank) + ahead, return_inverse=True)[1], 2 * width
-    here, there = rank[at], rank[at + length - width]
-    ranked = np.lexsort((there, here, group[of]))
-    begin = start[of] + offset
-    by_place = np.lexsort((begin, order[of]))
-    step = np.ones(len(of), np.int64)
-    step[1:] = (np.diff(begin[by_place]) != 0) | (np.diff(order[of][by_place]) != 0)
-    place = np.empty(len(of), np.int64)
+    at, begin = bounds[of] + offset, start[of] + offset
+    grams = _grams(data)
+    key = mix(group[of].view(np.uint64))
+    for tile in range(0, length, GRAM):
+        key = mix(key * _FACTOR + grams[at + min(tile, length - GRAM)])
+    by_key = np.argsort(key)
+    same = np.append(False, np.diff(key[by_key]) == 0)
+    number = np.cumsum(~same) - 1
+    several = same | np.append(same[1:], False)
+    kept, number = by_key[several], number[several]
+    if not len(kept):
+        return kept, kept, kept
+    new = np.append(True, np.diff(number) != 0)
+    strings = data[at[kept[new]][:, None] + np.arange(length)].view(f"S{length}")[:, 0]
+    rank = np.empty(len(strings), np.int64)
+    rank[np.argsort(strings)] = np.arange(len(strings))
+    rank = rank[np.cumsum(new) - 1]
+    by_place = np.lexsort((begin[kept], order[of[kept]]))
+    step = np.append(True, (np.diff(begin[kept][by_place]) != 0) | (np.diff(order[of[kept]][by_place]) != 0))
+    place = np.empty(len(kept), np.int64)
     place[by_place] = np.cumsum(step)
-    linked = np.zeros(len(of), bool)
-    linked[1:] = (np.diff(here[ranked]) == 0) & (np.diff(there[ranked]) == 0) & (np.diff(group[of][ranked]) == 0)
+    ranked = np.argsort(rank, kind="stable")
+    linked = np.append(False, np.diff(rank[ranked]) == 0)
     before = _smaller_before(place[ranked], linked)
     after = _smaller_before(place[ranked][::-1], np.append(linked[1:], False)[::-1])[::-1]
     repeated = np.zeros(len(of), bool)
-    repeated[ranked] = (before >= 0) | (after >= 0)
+    repeated[kept[ranked]] = (before >= 0) | (after >= 0)
     hits = np.flatnonzero(repeated)
     if not len(hits):
         return hits, hits, hits
