@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from syncframe.llm.arrow import record_batch, small_batches, texts_of
-from syncframe.llm.common import Workspace, rank_within, text_of
+from syncframe.llm.common import Workspace, text_of
 
 _LAST = 2**63 - 1
 
@@ -80,13 +80,33 @@ def patience_blocks(later: dict[int, int], earlier: dict[int, int]) -> list[tupl
 
 
 def removed_places(later: dict[int, int], earlier: dict[int, int], sound: set[int]) -> set[int]:
-    """Places of the later document's lines that go: aligned blocks with a line of ``sound``.
+    """Places of the later document's lines that go: aligned blocks with a line of ``sound``, and moved blocks.
 
-    Lines that only one side has can be left out of both, as places tell what follows what."""
+    A sound line that the alignment left over, because it crosses others or occurs several times, is the anchor of a
+    moved block: it stands for its occurrence of the same number in the earlier document (or the last there) and grows over
+    equal neighbours.  Lines that only one side has can be left out of both, as places tell what follows what."""
     gone: set[int] = set()
     for p, _, n in patience_blocks(later, earlier):
         if any(later[i] in sound for i in range(p, p + n)):
             gone.update(range(p, p + n))
+    left = [p for p in sorted(later) if later[p] in sound and p not in gone]
+    if not left:
+        return gone
+    places: dict[int, list[int]] = {}
+    for q in sorted(earlier):
+        places.setdefault(earlier[q], []).append(q)
+    number: dict[int, int] = {}
+    for p in left:
+        line = later[p]
+        if line not in places:
+            continue
+        k = number[line] = number.get(line, -1) + 1
+        q = places[line][min(k, len(places[line]) - 1)]
+        for side in (1, -1):
+            i = 0
+            while p + i in later and later[p + i] == earlier.get(q + i) and (i == 0 or p + i not in gone):
+                gone.add(p + i)
+                i += side
     return gone
 
 
@@ -123,14 +143,14 @@ def line_dedup(
     of copies makes no line frequent.  It is sound if it is rare and has ``min_words`` words or more.  A
     document is aligned by patience diff, on all lines that both hold, with every earlier document that shares a
     sound line; an aligned block, lines that follow each other in both documents, goes from the later one
-    if it holds a sound line.
+    if it holds a sound line.  A sound line that crosses the alignment goes with its neighbours as a moved block.
 
-    Not every pair is looked at, but every line that some pair would take goes.  A copy of an earlier text goes
-    whole, or not at all if no line is sound or none occurs once.  For other texts, ``units`` gives the keys that
-    an earlier document must share to take a line.  Each key leads to its first holder; a line that was not taken is
-    tried with the key's further holders, 4, 16, 64 and so on at a time, until it is taken or none is
-    left.  So a group of near copies meets its first document only, and what costs more is lines that no
-    alignment takes (they cross others, or occur several times).
+    Not every pair is looked at.  A copy of an earlier text goes whole, or not at all if no line is sound.
+    For other texts, ``units`` gives the keys that an earlier document must share to take a line: the line itself if it is
+    sound, else the unbroken run to the nearest sound line.  Each key leads to its first holder, which has the run and so
+    takes it, whoever else holds it.  Pairs are bounded by the number of keys, so a group of near copies meets its
+    first document and not itself, and no later holder can add lines but where a run occurs several
+    times in its first holder.
 
     Null and empty texts have no lines.  Repeated rows are one document and lose nothing to each other; a null
     id comes after all others; an empty table gives an empty result.  A blank line between two lines
@@ -142,7 +162,7 @@ def line_dedup(
     docs = docs.withColumn("version", F.unhex(F.md5(F.col("text").cast("binary"))))
 
     def lines_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("doc", pa.int64()), ("version", pa.binary()), ("once", pa.bool_()), ("line", pa.list_(pa.binary())), ("long", pa.list_(pa.bool_())), ("places", pa.list_(pa.list_(pa.int32())))]
+        kinds = [("doc", pa.int64()), ("version", pa.binary()), ("line", pa.list_(pa.binary())), ("long", pa.list_(pa.bool_())), ("places", pa.list_(pa.list_(pa.int32())))]
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for doc, version, text in zip(batch["doc"].to_pylist(), batch["version"].to_pylist(), texts_of(batch["text"]), strict=True):
@@ -152,13 +172,12 @@ def line_dedup(
                 if not places:
                     continue
                 keys = [hashlib.blake2b(x, digest_size=16).digest() for x in places]
-                once = any(len(x) == 1 for x in places.values())
-                for column, x in zip(out, (doc, version, once, keys, [len(x.split()) >= min_words for x in places], list(places.values())), strict=True):
+                for column, x in zip(out, (doc, version, keys, [len(x.split()) >= min_words for x in places], list(places.values())), strict=True):
                     column.append(x)
             yield record_batch(pa.schema(kinds), out)
 
-    fields = ["once", "line", "long", "places"]
-    rows = docs.select("doc", "version", "text").mapInArrow(lines_of, "doc long, version binary, once boolean, line array<binary>, long array<boolean>, places array<array<int>>")
+    fields = ["line", "long", "places"]
+    rows = docs.select("doc", "version", "text").mapInArrow(lines_of, "doc long, version binary, line array<binary>, long array<boolean>, places array<array<int>>")
     texts = rows.groupBy("version").agg(F.min(F.struct("doc", *fields)).alias("x"), F.max("doc").alias("last")).select("version", "x.*", "last")
     texts = work.save(texts, "texts")
     limit = max(rare_texts, rare_share * docs.count())
@@ -175,7 +194,7 @@ def line_dedup(
         for batch in batches:
             out = []
             for doc, version, shared in zip(batch["doc"].to_pylist(), batch["version"].to_pylist(), batch["shared"].to_pylist(), strict=True):
-                if any(x["sound"] for x in shared) and any(len(x["places"]) == 1 for x in shared):  # else nothing can be aligned
+                if any(x["sound"] for x in shared):
                     at = {p: x["line"] for x in shared for p in x["places"]}
                     out += [(key, doc, version, p) for key, p in units(at, {p for x in shared if x["sound"] for p in x["places"]})]
             yield record_batch(schema, zip(*out, strict=True) if out else [[]] * 4)
@@ -201,36 +220,11 @@ def line_dedup(
 
     held = work.save(shared.mapInArrow(units_of, "key binary, doc long, version binary, place int"), "units")
     heads = held.groupBy("key").agg(F.min(F.struct("doc", "version")).alias("head"), F.max("doc").alias("last")).where("head.doc < last").select("key", "head")
-    wanted = work.save(held.join(heads, "key").where("doc > head.doc"), "wanted")
-    pairs = [work.save(wanted.select("doc", "version", F.col("head.version").alias("partner")).distinct(), "pairs0")]
-    gone = [align(pairs[0], "gone0")]
-    left = wanted.select("key", "doc", "version", "place")
-
-    def still(left: DataFrame, taken: DataFrame) -> DataFrame:
-        return left.join(taken.select("version", F.explode("gone").alias("place")), ["version", "place"], "left_anti")
-
-    left = work.save(still(left, gone[0]), "left0")
-    if not left.isEmpty():
-        holders = held.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("doc").alias("_doc"), F.col("version").alias("partner")).distinct()
-        holders = holders.withColumn("_order", F.hex("partner"))
-        holders = work.save(rank_within(holders, ["key"], "_order", ["partner"], "rank").drop("_order"), "holders")
-        most, low, high = holders.agg(F.max("rank")).first()[0], 0, 4
-        while low <= most and not left.isEmpty():
-            k = len(pairs)
-            some = holders.where((F.col("rank") >= low) & (F.col("rank") < high))
-            new = left.join(some, "key").where("_doc < doc").select("doc", "version", "partner").distinct()
-            for seen in pairs:
-                new = new.join(seen, ["doc", "version", "partner"], "left_anti")
-            pairs.append(work.save(new, f"pairs{k}"))
-            gone.append(align(pairs[k], f"gone{k}"))
-            left = work.save(still(left, gone[k]), f"left{k}")
-            low, high = high, 5 * high
-    taken = gone[0]
-    for more in gone[1:]:
-        taken = taken.unionByName(more)
-    taken = taken.groupBy("doc", "version").agg(F.flatten(F.collect_list("gone")).alias("gone")).withColumn("whole", F.lit(False))
+    wanted = held.join(heads, "key").where("doc > head.doc")
+    pairs = work.save(wanted.select("doc", "version", F.col("head.version").alias("partner")).distinct(), "pairs")
+    taken = align(pairs, "gone").groupBy("doc", "version").agg(F.flatten(F.collect_list("gone")).alias("gone")).withColumn("whole", F.lit(False))
     copied = (
-        texts.where("last > doc AND once").withColumn("n_long", F.size(F.filter("long", lambda x: x)))
+        texts.where("last > doc").withColumn("n_long", F.size(F.filter("long", lambda x: x)))
         .join(shared.where("worn > 0").select("version", "worn"), "version", "left").where("n_long > coalesce(worn, 0)")
         .select("version", F.col("doc").alias("_first"))
     )
@@ -249,15 +243,16 @@ def line_dedup(
                         held.append(line)
                         continue
                     if place in gone:
-                        lost += len(line.decode())
+                        lost += len(line.decode(errors="replace"))
                         n_lost += 1
                         if not after_gone:
                             kept += held
                     else:
                         kept += [*held, line]
                     after_gone, held, place = place in gone, [], place + 1
-                out.append((doc, place, n_lost, lost, b"\n".join([*kept, *held]).decode() if gone else text.decode()))
-            yield record_batch(schema, zip(*out, strict=True) if out else [[]] * 5)
+                out.append((doc, place, n_lost, lost, b"\n".join([*kept, *held]) if gone else text))
+            *columns, texts = zip(*out, strict=True) if out else [[]] * 5
+            yield record_batch(schema, [*columns, pa.array(texts, pa.binary()).view(pa.string())])
 
     return docs.join(taken, ["doc", "version"], "left").select("doc_id", "text", "gone", "whole").mapInArrow(
         cleaned, "doc_id long, n_lines long, n_removed long, removed_chars long, cleaned_text string"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syncframe.llm.arrow import record_batch, small_batches
+from syncframe.llm.arrow import record_batch, small_batches, texts_of
 from syncframe.llm.common import Workspace, order_key, rank_within
 from syncframe.llm.sharding import best_fit_decreasing
 from syncframe.llm.tokens import TokenCache
@@ -152,8 +152,8 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str = "do
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("key", pa.string())])
         for batch in batches:
             rows = []
-            for doc, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = cache.ids(text or "") + b"\0\0\0\0"
+            for doc, text, key in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"]), batch["key"].to_pylist(), strict=True):
+                ids = cache.ids(text.decode(errors="replace")) + b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), key))
