@@ -6,19 +6,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syncframe.llm.arrow import record_batch, small_batches, texts_of
+from syncframe.llm.arrow import record_batch, texts_of
 from syncframe.llm.common import Workspace, text_of
 from syncframe.llm.components import connected_components
 from syncframe.llm.shingles import set_key, shingle_sets
-from syncframe.llm.sketch import cells_for, hashed_counts, usual
 
 #: The similarity that links, as whole numbers: 5 * intersection >= 4 * union.
 TOP, BOTTOM = 4, 5
 #: The most prefix tokens that a document may ask for.
 MOST = 4
+#: ``required`` of a column n.
+REQUIRED = f"(({TOP} * n + {BOTTOM - 1}) div {BOTTOM})"
 
 
 def required(n: int) -> int:
@@ -26,79 +27,89 @@ def required(n: int) -> int:
     return -(-TOP * n // BOTTOM)
 
 
-def _sets_table(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+def _matches(extra: float, n):
+    """Matches that the first look asks of a document of n tokens, for numbers and for columns."""
+    return F.greatest(F.lit(1), F.floor(F.lit(extra) * n)) if isinstance(n, Column) else max(1, int(extra * n))
+
+
+def _sets_table(extra: float):
+    """(doc_id, n, k1, k2, prefix): each set's size, 128 bits that stand for it, and its least hashes: the prefix that shares
+    ``_matches`` tokens with any set it links to."""
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+        for batch in batches:
+            sets = shingle_sets(texts_of(batch["text"]))
+            keys = [set_key(s) for s in sets]
+            prefixes = [s[: len(s) - required(len(s)) + _matches(extra, len(s))].view(np.int64) for s in sets]
+            yield record_batch(pa.schema(kinds), [batch["doc_id"], [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], prefixes])
+
+    return emit
+
+
+def _tokens_table(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
     for batch in batches:
         sets = shingle_sets(texts_of(batch["text"]))
-        keys = [set_key(s) for s in sets]
-        yield record_batch(schema, [batch["doc_id"], [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]])
+        yield record_batch(schema, [batch["doc_id"], [len(s) for s in sets], [s.view(np.int64) for s in sets]])
+
 
+def _repeated(lists: DataFrame) -> DataFrame:
+    """(token, df) of the tokens that stand in two lists or more."""
+    return lists.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
 
-def frequency_levels(work: Workspace, docs: DataFrame, cells: int, tasks: int) -> np.ndarray:
-    """For each of ``cells`` hash cells 0, or the power of two by which its count of shingles stands out.
 
-    A cell's count is never less than a shingle's true frequency, so level 0 also bounds that frequency."""
-    totals = hashed_counts(work, docs, shingle_sets, cells, tasks)
-    stands_out = np.ceil(np.log2(np.maximum(totals - totals.mean(), 1)))
-    return np.where(totals <= usual(totals), 0, stands_out).astype(np.uint8)
+def _likely(work: Workspace, lists: DataFrame, extra: float) -> DataFrame:
+    """doc_id of documents whose prefixes (``tokens``) hold enough tokens that another prefix has too.
 
+    A partner of a document of n tokens has at least required(n), and the two share as many tokens of their prefixes as
+    the one of fewer matches asks for."""
+    repeated = work.save(_repeated(lists).select("token"), "repeated")
+    hits = lists.select("doc_id", "n", F.explode("tokens").alias("token")).join(repeated, "token", "left_semi").groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
+    return work.save(hits.where(F.col("hits") >= _matches(extra, F.expr(REQUIRED))).select("doc_id"), "likely")
 
-def prefix_length(n: int, hot: np.ndarray, check: float = 20.0) -> int:
-    """How many shared prefix tokens a document asks for: the number at which the estimated cost of reading
-    its prefix tokens' lists and of checking the documents that reach that number is least."""
+
+def prefix_length(n: int, alone: int, often: np.ndarray, check: float = 20.0) -> int:
+    """How many shared prefix tokens a document asks for: the number at which the estimated cost of reading its prefix
+    tokens' lists and of checking the documents that reach that number is least.  ``alone`` of its tokens are in no other
+    document, ``often`` has the lengths of the others' lists in rising order."""
     best, asked = None, 1
     for ell in range(1, min(MOST, required(n)) + 1):
-        read = float(hot[: n - required(n) + ell].sum())
+        read = float(often[: max(n - required(n) + ell - alone, 0)].sum())
         cost = read + check * read / ell
         if best is None or cost < best:
             best, asked = cost, ell
     return asked
 
 
-def _prefixes(levels: np.ndarray):
-    """(doc_id, n, asked, hot, tokens): each document's prefix in the global order (level, hash), rare shingles first,
-    and from which place on they are frequent."""
-    estimated = np.where(levels == 0, 0.0, np.exp2(np.arange(256)[levels]))
-
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("asked", pa.int32()), ("hot", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-        mask = np.uint64(len(levels) - 1)
-        for batch in batches:
-            rows = []
-            for doc, s in zip(batch["doc_id"].to_pylist(), shingle_sets(texts_of(batch["text"])), strict=True):
-                if doc is None or not len(s):
-                    continue
-                n, level = len(s), levels[s & mask]
-                order = np.argsort(level, kind="stable")[: n - required(n) + MOST]
-                asked = prefix_length(n, estimated[level[order]])
-                order = order[: n - required(n) + asked]
-                rows.append((doc, n, asked, int(np.count_nonzero(level[order] == 0)), s[order].view(np.int64)))
-            yield record_batch(schema, zip(*rows, strict=True) if rows else [[]] * 5)
-
-    return emit
-
-
-#: A posting's ``meta`` packs the size of its document, the least number of matches whose prefix has the token,
-#: the number that the document asks for, and whether the token is frequent.
-SIZE, FROM, ASKED, HOT = "shiftright(meta, 7)", "(shiftright(meta, 4) & 7)", "(shiftright(meta, 1) & 7)", "(meta & 1)"
-
-
-def _buckets(prefixes: DataFrame) -> DataFrame:
-    """(token, doc_id, meta, hub, hub_n) for tokens that two documents share; the hub is the document of smallest id in a
-    token's list, since originals come before their copies.
-
-    Lists of rare tokens are bounded by the level's limit and are looked at in a window; lists of frequent
-    tokens are reduced by partial aggregation and joined back, which Spark can split."""
-    spare = f"n - (({TOP} * n + {BOTTOM - 1}) div {BOTTOM})"
-    meta = f"cast(n as bigint) * 128 + greatest(pos - ({spare}) + 1, 1) * 16 + asked * 2 + if(pos >= hot, 1, 0)"
-    rows = prefixes.select("doc_id", "n", "asked", "hot", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "token", F.expr(meta).alias("meta"))
-    member = F.struct("doc_id", F.expr(SIZE).alias("n"))
-    list_of = Window.partitionBy("token")
-    rare = rows.where(f"{HOT} = 0").withColumn("least", F.min(member).over(list_of)).withColumn("most", F.max(member).over(list_of))
-    hot = rows.where(f"{HOT} = 1")
-    heads = hot.groupBy("token").agg(F.min(member).alias("least"), F.max(member).alias("most")).where("least <> most")
-    both = rare.where("least <> most").unionByName(hot.join(heads, "token"))
-    return both.select("token", "doc_id", "meta", F.col("least.doc_id").alias("hub"), F.col("least.n").alias("hub_n"))
+def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, asked, alone, tokens): the part of each document's prefix that other documents have too, in the global
+    order (number of documents, hash); ``alone`` tokens stand before it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("asked", pa.int32()), ("alone", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    for batch in batches:
+        rows = []
+        for doc, n, shared in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["shared"], strict=True):
+            often, token = (shared.values.field(k).to_numpy() for k in range(2))
+            order = np.lexsort((token, often))
+            alone = n - len(order)
+            asked = prefix_length(n, alone, often[order])
+            rows.append((doc, n, asked, alone, token[order[: n - required(n) + asked - alone]]))
+        yield record_batch(schema, zip(*rows, strict=True) if rows else [[]] * 5)
+
+
+def _lists(work: Workspace, prefixes: DataFrame) -> DataFrame:
+    """(token, low, doc_id, n, class, asked, from_match, hub, hub_n): postings of tokens that two documents of like sizes share.
+
+    Sizes fall into classes of one power of 5/4 each, and documents that link lie in the same or in neighbouring classes. So
+    a token has a list for each two neighbours, named by the lower one, and a document stands in two of them.  The
+    hub is the document of smallest id in a list, since originals come before their copies.  ``from_match`` is the least number of
+    matches whose prefix has the token."""
+    rows = prefixes.select("doc_id", "n", "asked", "alone", F.posexplode("tokens").alias("pos", "token"))
+    size_class = F.floor(F.log("n") / F.log(F.lit(BOTTOM / TOP)) + 1e-9)
+    rows = rows.select("token", "doc_id", "n", size_class.alias("class"), "asked", F.greatest(F.expr(f"alone + pos - (n - {REQUIRED}) + 1"), F.lit(1)).alias("from_match"))
+    rows = work.save(rows.withColumn("low", F.explode(F.array(F.col("class") - 1, F.col("class")))), "postings", batch_rows=10_000)
+    heads = rows.groupBy("token", "low").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.min_by("n", "doc_id").alias("hub_n")).where("hub <> last")
+    return rows.join(work.save(heads.drop("last"), "heads"), ["token", "low"])
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -132,92 +143,93 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _with_texts(pairs, texts).mapInArrow(check, "a long, b long").distinct()
 
 
-def _beyond_hub(members: DataFrame, texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(hub, doc_id, n, inside, whole, tokens) of pairs (a = hub, b = document): how much of the document the hub has, and
-    shingles that the hub has not.
+def _beyond_hub(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, doc_id, n, inside, whole, beyond, within) of pairs (a = hub, b = document): how much of the document the hub has,
+    shingles that the hub has not, and some that it has.
 
-    If the hub has at least what a link takes, all shingles beyond it are listed (``whole``).  Otherwise a link takes
-    some beyond it, and the rarest of them suffice to find it: as many as in the shortest prefix."""
+    If the hub has at least what a link takes, all shingles beyond it are listed (``whole``), and of those within as many as a
+    link needs that rests on them alone.  Otherwise a link takes some beyond the hub, and as many as in the shortest
+    prefix suffice to find it.  The order is that of the hashes."""
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("hub", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("inside", pa.int64()), ("whole", pa.bool_()), ("tokens", pa.list_(pa.int64()))]
+        kinds = [("hub", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("inside", pa.int64()), ("whole", pa.bool_()), ("beyond", pa.list_(pa.int64())), ("within", pa.list_(pa.int64()))]
         for batch in batches:
             rows = []
             for a, b, s, t in _pairs_of_sets(batch):
-                beyond = np.setdiff1d(t, s, assume_unique=True)
-                n, inside = len(t), len(t) - len(beyond)
-                whole = inside >= required(n)
-                if not whole:
-                    beyond = beyond[np.argsort(levels[beyond & np.uint64(len(levels) - 1)], kind="stable")[: n - required(n) + 1]]
-                rows.append((a, b, n, inside, whole, beyond.view(np.int64)))
-            yield record_batch(pa.schema(kinds), zip(*rows, strict=True) if rows else [[]] * 6)
+                of_hub = np.isin(t, s, assume_unique=True)
+                n, inside, need = len(t), int(of_hub.sum()), required(len(t))
+                beyond, within = t[~of_hub], t[of_hub][: max(inside - need + 1, 0)]
+                if inside < need:
+                    beyond = beyond[: n - need + 1]
+                rows.append((a, b, n, inside, inside >= need, beyond.view(np.int64), within.view(np.int64)))
+            yield record_batch(pa.schema(kinds), zip(*rows, strict=True) if rows else [[]] * 7)
 
-    return _with_texts(members, texts).mapInArrow(split, "hub long, doc_id long, n long, inside long, whole boolean, tokens array<long>")
+    fields = "hub long, doc_id long, n long, inside long, whole boolean, beyond array<long>, within array<long>"
+    return _with_texts(members, texts).mapInArrow(split, fields)
 
 
-def _crossing_short(lists: DataFrame, near) -> DataFrame:
+#: Two documents of a list are looked at in the list of the lower of their classes only.
+MEET = "x.token = y.token and x.low = y.low and x.low = least(x.class, y.class) and x.component < y.component"
+NEAR = f"{BOTTOM} * least(x.n, y.n) >= {TOP} * greatest(x.n, y.n)"
+
+
+def _crossing_short(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that share enough prefix tokens of short lists.  A pair whose documents
     both stand in long lists may share further tokens there and needs one."""
-    x, y = lists.alias("x"), lists.alias("y")
-    both = lambda e: (e.replace("meta", "x.meta"), e.replace("meta", "y.meta"))
-    asked = F.when(F.col("x.in_long") & F.col("y.in_long"), 1).otherwise(F.expr("least({}, {})".format(*both(ASKED))))
+    asked = F.expr("if(x.in_long and y.in_long, 1, least(x.asked, y.asked))")
     return (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & F.expr(near(*both(SIZE))))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), asked.alias("asked"), F.expr("greatest({}, {})".format(*both(FROM))).alias("from_match"))
+        lists.alias("x").join(lists.alias("y"), F.expr(f"{MEET} and {NEAR}"))
+        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), asked.alias("asked"), F.greatest("x.from_match", "y.from_match").alias("from_match"))
         .groupBy("a", "b").agg(F.max("asked").alias("asked"), F.count_if((F.col("from_match") <= F.col("asked")) | (F.col("asked") == 1)).alias("shared"))
         .where("shared >= asked").select("a", "b")
     )
 
 
-def _crossing_long(work: Workspace, lists: DataFrame, texts: DataFrame, levels: np.ndarray) -> DataFrame:
+def _crossing_long(work: Workspace, lists: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that may link although they meet in long lists only.
 
     Two documents share at most the smaller of their two shares of the list's hub, and what they share beyond it.
-    So they can only link if they share a shingle beyond the hub, or if the smaller share of the hub is enough
-    for both sizes.  The first kind meets by those shingles, which copies with edits of their own rarely
-    have in common (a document that the hub has too little of by its rarest ones, which must meet then); the second by the sizes that the share allows, which lie below the hub's size for a
-    document that does not link to the hub."""
+    So they can only link if they share a shingle beyond the hub, or if what they share of the hub is enough for both
+    sizes by itself.  The first kind meets by shingles beyond the hub, which copies with edits of their own rarely have in
+    common; the second by those within it, as many as a prefix of a document's share of the hub takes.  No pair
+    is looked at that has no shingle in common."""
     members = lists.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     component = lists.groupBy("doc_id").agg(F.first("component").alias("component"))
-    beyond = work.save(_beyond_hub(members, texts, levels), "beyond").join(component, "doc_id")
-    enough = lambda shared: F.lit(TOP + BOTTOM) * shared >= F.lit(TOP) * (F.col("x.n") + F.col("y.n"))
-    least = F.least("x.inside", "y.inside")
-    pair = F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
+    split = work.save(_beyond_hub(members, texts), "split").join(component, "doc_id")
+
+    def meeting(side: str) -> DataFrame:
+        rows = split.select("hub", "doc_id", "component", "n", "inside", "whole", F.explode(side).alias("token"))
+        mixed = rows.groupBy("hub", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "token")
+        rows = work.save(rows.join(work.save(mixed, f"{side}-mixed"), ["hub", "token"], "left_semi"), f"{side}-open")
+        return rows.alias("x").join(rows.alias("y"), F.expr(f"x.hub = y.hub and x.token = y.token and x.component < y.component and {NEAR}"))
 
-    rows = beyond.select("hub", "doc_id", "component", "n", "inside", "whole", F.explode("tokens").alias("token"))
-    mixed = rows.groupBy("hub", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "token")
-    open_rows = work.save(rows.join(mixed, ["hub", "token"], "left_semi"), "beyond-open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    at_most = least + F.least(F.col("x.n") - F.col("x.inside"), F.col("y.n") - F.col("y.inside"))
-    by_token = (
-        x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & enough(at_most))
-        .groupBy("x.hub", *pair).agg(F.count("*").alias("c"), F.first(least).alias("inside"), F.first(F.col("x.n") + F.col("y.n")).alias("sizes"), F.first(F.col("x.whole") & F.col("y.whole")).alias("exact"))
+    enough = lambda shared: F.expr(f"{TOP + BOTTOM} * ({shared}) >= {TOP} * (x.n + y.n)")
+    least = "least(x.inside, y.inside)"
+    pair = F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
+    by_beyond = (
+        meeting("beyond").where(enough(f"{least} + least(x.n - x.inside, y.n - y.inside)"))
+        .groupBy("x.hub", *pair).agg(F.count("*").alias("c"), F.first(F.expr(least)).alias("inside"), F.first(F.expr("x.n + y.n")).alias("sizes"), F.first(F.expr("x.whole and y.whole")).alias("exact"))
         .where(f"not exact or {TOP + BOTTOM} * (inside + c) >= {TOP} * sizes").select("a", "b")
     )
-
-    own = beyond.drop("tokens").withColumn("low", F.expr(f"({TOP} * n + {BOTTOM - 1}) div {BOTTOM}"))
-    own = own.withColumn("high", F.least(F.col("n"), F.expr(f"({TOP + BOTTOM} * inside) div {TOP} - n"))).where("low <= high")
-    sized = own.withColumn("size", F.explode(F.sequence("low", "high")))
-    x, y = sized.alias("x"), own.alias("y")
-    by_size = x.join(
-        y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.size") == F.col("y.n")) & (F.col("x.component") != F.col("y.component")) & enough(least)
-    ).select(*pair)
-    return by_token.unionByName(by_size.distinct())
+    return by_beyond.unionByName(meeting("within").where(enough(least)).select(*pair).distinct())
 
 
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = 16, tasks: int = 4096) -> DataFrame:
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = 16, extra: float = 0.05) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two documents link when their sets of distinct five-word shingles (words by white space, A-Z in lower
     case) have a Jaccard similarity of 0.8 or more; a component is what links reach, named by its
-    smallest id.  Documents with equal sets are one node.  A node's prefix holds its rarest shingles by a
-    hashed frequency table over all documents: if a document asks for l matches, its prefix is l - 1
-    tokens longer than the shortest safe one, and two documents can only link if they share at least as
-    many tokens of the prefixes for the smaller of their two numbers.  Documents whose prefixes are
-    estimated to be costly ask for more.
+    smallest id.  Documents with equal sets are one node.
+
+    Prefixes are multi-match: if a document asks for l matches, its prefix is l - 1 tokens longer than the shortest safe one,
+    and two documents can only link if they share at least as many tokens of the prefixes for the smaller of
+    their two numbers.  The first look takes prefixes in the order of hashes, longer by ``extra`` of the set, and counts
+    exactly how many of their tokens other prefixes have: documents with too few link to none.  The sets of the others are
+    counted whole, which orders their tokens by the number of documents; each document then lengthens its prefix by the
+    estimated cost of its candidates, and those of which more than a fifth stands in no other document drop out.
 
     Candidates are checked on their whole sets in two rounds.  First each document of a token's list meets
-    the list's hub, its smallest id, which is linear in the lists and already joins groups of copies.
+    the list's hub, its smallest id, at one shared token, which is linear in the lists and already joins groups of copies.
     Lists that then lie in one component are done, so a group never meets itself pair by pair.  In other
     lists documents of different components meet: directly in lists of up to ``short`` documents, and
     in longer ones only those that may link by what each shares with the hub and by what they share beyond
@@ -225,41 +237,44 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left out cannot reach the similarity.
 
     Null and empty texts have no shingles and are alone; a text of one to four words has one shingle for
-    its whole sequence.  Repeated rows are the same node.  Rows with a null id get their own size and a
-    null component.  An empty table gives an empty result."""
-    spark = df.sparkSession
-    small_batches(spark)
-    work = Workspace(spark)
+    its whole sequence; very long texts are hashed whole.  Repeated rows are the same node.  Rows with a null id get their own
+    size and a null component.  An empty table gives an empty result; other columns of any name are ignored."""
+    work = Workspace(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    sets = work.save(docs.mapInArrow(_sets_table, "doc_id long, n long, k1 long, k2 long"), "sets")
+    sets = work.save(docs.mapInArrow(_sets_table(extra), "doc_id long, n long, k1 long, k2 long, prefix array<long>"), "sets")
     nodes = work.save(sets.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
-    shingles = sets.agg(F.sum("n")).first()[0] or 0
-    levels = frequency_levels(work, docs, cells_for(shingles), tasks)
-    prefixes = docs.mapInArrow(_prefixes(levels), "doc_id long, n int, asked int, hot int, tokens array<long>")
-    prefixes = work.save(prefixes.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "prefixes")
-    buckets = work.save(_buckets(prefixes), "buckets")
-    work.drop("prefixes")
-    texts = work.save(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-
-    near = lambda n, m: f"{BOTTOM} * least({n}, {m}) >= {TOP} * greatest({n}, {m})"
-    to_hubs = buckets.where("hub <> doc_id").where(near(SIZE, "hub_n")).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    own = nodes.select(F.col("node").alias("doc_id"))
+    prefixes = sets.select("doc_id", "n", F.col("prefix").alias("tokens")).join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    likely = _likely(work, work.save(prefixes, "first"), extra)
+    work.drop("first", "repeated")
+    texts = work.save(docs.join(likely, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    tokens = work.save(texts.mapInArrow(_tokens_table, "doc_id long, n long, tokens array<long>"), "tokens")
+    repeated = work.save(_repeated(tokens), "repeated")
+    shared = tokens.select("doc_id", "n", F.explode("tokens").alias("token")).join(repeated, "token")
+    shared = shared.groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared")).where(f"size(shared) >= {REQUIRED}")
+    prefixes = work.save(shared.mapInArrow(_prefixes, "doc_id long, n long, asked int, alone int, tokens array<long>"), "prefixes")
+    lists = work.save(_lists(work, prefixes), "lists")
+    work.drop("tokens", "repeated", "prefixes", "postings", "heads")
+
+    near = f"{BOTTOM} * least(n, hub_n) >= {TOP} * greatest(n, hub_n)"
+    to_hubs = lists.where("hub <> doc_id").where(near).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
     to_hubs = work.save(to_hubs, "to-hubs")
     links = work.save(_similar(to_hubs, texts), "links")
     groups = connected_components(work, links, "first")
 
-    placed = buckets.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = work.save(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
-    work.drop("buckets")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("length"))
-    open_lists = work.save(placed.join(mixed.where("low < high").select("token", "length"), "token"), "open")
-    work.drop("placed")
+    placed = lists.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = work.save(placed, "placed")
+    work.drop("lists")
+    mixed = placed.groupBy("token", "low").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo < hi")
+    open_lists = work.save(placed.join(work.save(mixed.drop("lo", "hi"), "mixed"), ["token", "low"]), "open")
+    work.drop("placed", "mixed")
     long_lists = open_lists.where(F.col("length") > short)
     in_long = long_lists.select("doc_id").distinct().withColumn("in_long", F.lit(True))
     short_lists = work.save(open_lists.where(F.col("length") <= short).join(in_long, "doc_id", "left").withColumn("in_long", F.coalesce("in_long", F.lit(False))), "short")
-    crossing = _crossing_short(short_lists, near).unionByName(_crossing_long(work, long_lists, texts, levels)).distinct()
+    crossing = _crossing_short(short_lists).unionByName(_crossing_long(work, long_lists, texts)).distinct()
     crossing = work.save(crossing.join(to_hubs, ["a", "b"], "left_anti"), "crossing")
     links = work.save(links.unionByName(_similar(crossing, texts)), "all-links")
-    work.drop("texts", "open", "short", "beyond", "beyond-open", "crossing", "to-hubs")
+    work.drop("texts", "open", "short", "split", "beyond-mixed", "beyond-open", "within-mixed", "within-open", "crossing", "to-hubs")
     groups = connected_components(work, links, "last")
     named = work.save(nodes.join(groups, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id")), "named")
     own = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))

@@ -58,7 +58,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         for i in range(end - begin):
             n = at[i + 1] - at[i]
             if n >= WIDTH:
-                sets.append(np.unique(folded[at[i] : at[i + 1] - WIDTH + 1]))
+                own = np.sort(folded[at[i] : at[i + 1] - WIDTH + 1])
+                sets.append(own[np.append(True, own[1:] != own[:-1])])
             elif n:
                 whole = np.full(1, n, np.uint64)
                 for k in range(at[i], at[i + 1]):
