@@ -20,56 +20,79 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 Config = tuple[tuple[int, int], ...]
 
 
-def _priciest(prices: np.ndarray, capacity: int) -> Counter:
-    """Pricing: the most valuable multiset of lengths within the capacity, by unbounded knapsack DP.
-    ``prices`` has a value for each length 0..capacity; lengths that are not for sale have none (0)."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        values = prices[1 : room + 1] + best[room - 1 :: -1]
-        take = int(values.argmax())
-        if prices[take + 1] > 0 and values[take] > best[room - 1]:
-            best[room], last[room] = values[take], take + 1
-        else:
-            best[room] = best[room - 1]
-    found, room = Counter(), capacity
-    while room > 0:
-        if last[room]:
-            found[int(last[room])] += 1
-            room -= int(last[room])
-        else:
-            room -= 1
+def _fullest(prices: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Pricing by bounded knapsack DP: for each room up to the capacity the value of the most valuable multiset of pieces
+    that fills it to the last place, -inf if none does; which items it takes, and the items (length, pieces)."""
+    items = []
+    for length in np.flatnonzero(counts).tolist():
+        most, n = min(int(counts[length]), capacity // length), 1
+        while most > 0:
+            items.append((length, min(n, most)))
+            most, n = most - n, 2 * n
+    best = np.full(capacity + 1, -np.inf)
+    best[0] = 0.0
+    taken = np.zeros((len(items), capacity + 1), bool)
+    for k, (length, n) in enumerate(items):
+        size = length * n
+        value = best[: capacity + 1 - size] + prices[length] * n
+        better = value > best[size:]
+        taken[k, size:] = better
+        np.copyto(best[size:], value, where=better)
+    return best, taken, items
+
+
+def _configuration(room: int, taken: np.ndarray, items: list[tuple[int, int]]) -> Counter:
+    """The pieces that fill the room."""
+    found, k = Counter(), len(items)
+    while room:
+        k = int(np.flatnonzero(taken[:k, room])[-1])
+        length, n = items[k]
+        found[length] += n
+        room -= length * n
     return found
 
 
-def _fractional(demand: np.ndarray, capacity: int, rounds: int, rate: float = 2.0) -> dict[Config, float]:
-    """Multiplicative weights for the covering program: each round buys the configuration that is worth most
-    at the current prices, as much of it as covers its scarcest length by a fixed share, and lowers the
-    prices of what it covers."""
-    sold = np.flatnonzero(demand)
-    covered, bought, logs = np.zeros(capacity + 1), Counter(), np.zeros(capacity + 1)
+def _fractional(demand: np.ndarray, capacity: int, full: bool, share: float = 0.02, rate: float = 0.5, rounds: int = 400) -> dict[Config, int]:
+    """Multiplicative weights for the configuration program: cover each length's demand with configurations, full ones if
+    asked to.
+
+    Each round prices the program once, over what is not covered yet.  Then the lengths, the dearest first, buy their priciest
+    configurations, as much as covers a fixed share of the scarcest length's demand (one whole, if the demand is
+    small, which rounds the solution as it goes); a length's price falls by a factor for the share of its demand that is
+    covered.  Prices rise a little faster than lengths, so that short pieces are left to fill the last rooms.  It ends when no
+    configuration is left to buy."""
+    covered, bought = np.zeros(capacity + 1, np.int64), Counter()
     for _ in range(rounds):
+        counts = demand - covered
+        sold = np.flatnonzero(counts)
+        if not len(sold):
+            break
         prices = np.zeros(capacity + 1)
-        prices[sold] = sold * np.exp(logs[sold] - logs[sold].max())
-        config = _priciest(prices, capacity)
-        if not config:
+        prices[sold] = sold * (1 + 0.1 * sold / capacity) * np.exp(-rate * covered[sold] / demand[sold])
+        best, taken, items = _fullest(prices, counts, capacity)
+        rooms = np.arange(capacity + 1)
+        if not full:  # the most valuable room within each
+            rooms = np.maximum.accumulate(np.where(best == np.maximum.accumulate(best), rooms, 0))
+        before = covered.sum()
+        of_length = prices[sold] + best[rooms[capacity - sold]]
+        for length in sold[np.argsort(-of_length, kind="stable")].tolist():
+            room = int(rooms[capacity - length])
+            if counts[length] < 1 or best[room] == -np.inf:
+                continue
+            config = _configuration(room, taken, items)
+            config[length] += 1
+            if all(n <= counts[x] for x, n in config.items()):
+                step = max(1, int(min(min(share * demand[x], counts[x]) / n for x, n in config.items())))
+                bought[tuple(sorted(config.items()))] += step
+                for x, n in config.items():
+                    covered[x] += step * n
+                    counts[x] -= step * n
+        if covered.sum() == before:
             break
-        lengths = np.fromiter(config, np.int64)
-        counts = np.fromiter(config.values(), np.int64)
-        step = float((demand[lengths] / counts).min())
-        bought[tuple(sorted(config.items()))] += step
-        covered[lengths] += step * counts
-        logs[lengths] -= rate * step * counts / demand[lengths]
-    scale = max(1.0, float((covered[sold] / demand[sold]).max(initial=0)))
-    return {config: x / scale for config, x in bought.items()}
-
+    return bought
 
-def pack_plan(histogram: dict[int, int], capacity: int, rounds: int = 150, phases: int = 2) -> list[tuple[Config, int]]:
-    """Configurations and how often each is used: together exactly the histogram.
 
-    Each phase solves the configuration program for what is left and rounds it down.  The remainder is
-    rounded up: the priciest configuration that the remainder can fill, as often as it can, so that each
-    step uses up a length; once no more than ``8 * capacity`` pieces are left they go by best-fit decreasing.
-    The number of configurations is bounded by the capacity and the rounds, not by the number of pieces."""
+def _plan(histogram: dict[int, int], capacity: int, fulls: tuple[bool, ...]) -> list[tuple[Config, int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -82,29 +105,10 @@ def pack_plan(histogram: dict[int, int], capacity: int, rounds: int = 150, phase
 
     if left[capacity]:
         use(((capacity, 1),), int(left[capacity]))
-    for _ in range(phases):
-        if left.sum() <= 4 * np.count_nonzero(left):
-            break  # too few of each length for whole multiples
-        for config, x in sorted(_fractional(left, capacity, rounds).items(), key=lambda c: (-c[1], c[0])):
-            times = min(int(x), *(int(left[length]) // n for length, n in config))
-            if times:
+    for full in fulls:
+        if full or True not in fulls or left.sum() > 8 * capacity:
+            for config, times in _fractional(left.copy(), capacity, full).items():
                 use(config, times)
-    while left.sum() > 8 * capacity:
-        sold = np.flatnonzero(left)
-        prices = np.zeros(capacity + 1)
-        prices[sold] = sold * (1 + 0.1 * sold / capacity)
-        config: Counter = Counter()
-        room = capacity
-        for length, n in sorted(_priciest(prices, capacity).items(), reverse=True):
-            config[length] = min(n, int(left[length]))
-            room -= length * config[length]
-        while True:  # best fit in the room that scarce lengths left
-            fits = [int(x) for x in sold[sold <= room] if left[x] > config[int(x)]]
-            if not fits:
-                break
-            config[fits[-1]] += 1
-            room -= fits[-1]
-        use(tuple(sorted(config.items())), min(int(left[length]) // n for length, n in config.items()))
     sizes = np.repeat(np.arange(capacity + 1), left).tolist()
     bins: dict[int, Counter] = {}
     for size, at in zip(sizes, best_fit_decreasing(sizes, capacity), strict=True):
@@ -114,6 +118,22 @@ def pack_plan(histogram: dict[int, int], capacity: int, rounds: int = 150, phase
     return plan
 
 
+def pack_plan(histogram: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
+    """Configurations and how often each is used: together exactly the histogram.
+
+    The configuration program is solved and rounded at every size of the histogram: over full configurations, and if that
+    takes more sequences than the volume, also over any configurations; the better plan counts.  What no
+    full configuration holds, mostly a handful of pieces, goes by best-fit decreasing; more than ``8 * capacity``
+    such pieces, of lengths that do not add up to the capacity, go by a program over configurations that leave room.
+    The number of configurations is bounded by the capacity and the rounds, not by the number of pieces."""
+    volume = sum(length * n for length, n in histogram.items())
+    used = lambda plan: sum(times for _, times in plan)
+    plan = _plan(histogram, capacity, (True, False))
+    if used(plan) > -(-volume // capacity):
+        plan = min(plan, _plan(histogram, capacity, (False,)), key=used)
+    return plan
+
+
 class _Places:
     """For a length and a rank in it, the sequence and the offset: the plan's configurations take the
     ranks of each length in turn."""

@@ -304,6 +304,23 @@ def test_pack_plan_uses_the_histogram_exactly():
     assert sum(t for _, t in plan) <= 1.005 * (max(greedy) + 1)
 
 
+def test_pack_plan_by_the_configuration_program(monkeypatch):
+    rest = []
+    monkeypatch.setattr(packing, "best_fit_decreasing", lambda sizes, capacity: rest.append(len(sizes)) or sharding.best_fit_decreasing(sizes, capacity))
+    chance = random.Random(4)
+    for pieces in (300, 3000):  # fewer pieces than lengths, and a few of each
+        lengths = [min(2048, int(chance.lognormvariate(6, 1.2)) + 1) for _ in range(pieces)]
+        plan = packing.pack_plan(dict(collections.Counter(lengths)), 2048)
+        used = collections.Counter()
+        for config, times in plan:
+            assert sum(length * n for length, n in config) <= 2048
+            used.update({length: n * times for length, n in config})
+        assert used == collections.Counter(lengths)
+        assert rest.pop(0) <= 0.2 * pieces
+        assert sum(t for _, t in plan) <= max(-(-sum(lengths) // 2048), max(sharding.best_fit_decreasing(lengths, 2048)) + 1) + 1
+        rest.clear()
+
+
 def test_token_cache_equals_the_tokenizer():
     cache = TokenCache(queries.tokenizer_path())
     assert cache.by_word
