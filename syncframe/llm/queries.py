@@ -16,7 +16,7 @@ from syncframe.llm.quality_classifier import quality_scores
 from syncframe.llm.quality_rules import line_first_rules
 from syncframe.llm.sharding import shard_documents
 from syncframe.llm.suffix_dedup import suffix_dedup
-from syncframe.llm.url_filters import url_filter, url_parts
+from syncframe.llm.url_filters import list_verdict, url_filter, url_parts
 
 URL_RULES = [
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
@@ -69,12 +69,14 @@ def op8_quality_rules(spark, sf_dir):
 
 
 def labelled_urls(spark, sf_dir) -> DataFrame:
-    """URLs whose path names a labelled document; low quality or toxic is bad."""
+    """What the tables say of URLs: those that a given rule decides are bad if it blocks them; others are bad if their path
+    names a labelled document that is of low quality or toxic, and count as good if nothing speaks against them."""
     pages = table(spark, sf_dir, "pages").select("url")
-    _, path = url_parts(F.col("url"))
-    named = pages.withColumn("doc_id", F.regexp_extract(path, r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return named.join(labels, "doc_id").select("url", "bad")
+    host, path = url_parts(F.col("url"))
+    named = pages.select("url", list_verdict(host, path, URL_RULES)[1].alias("verdict"), F.regexp_extract(path, r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("_bad"))
+    bad = F.coalesce(F.col("verdict") == "block", F.col("_bad"), F.lit(False))
+    return named.join(labels, "doc_id", "left").select("url", bad.alias("bad"))
 
 
 def op9_url_filters(spark, sf_dir):

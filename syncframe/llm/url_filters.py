@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +20,17 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(url: Column) -> Column:
-    """Sorted distinct tokens: labels of the host and their hyphenated parts, words of the path with its
-    place, file endings and names of query parameters.  Numbers are left out: they name one page."""
+    """Sorted distinct tokens: labels of the host cut at hyphens, segments of the path without their endings, endings, and
+    names of query parameters.  Numbers are left out: they name one page."""
     host, path = url_parts(url)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     pieces = lambda text, pattern, mark: F.transform(
         F.filter(F.split(text, pattern), lambda x: (F.length(x) > 0) & ~x.rlike("^[0-9]+$")), lambda x: F.concat(F.lit(mark), x)
     )
-    names = F.regexp_replace(query, "=[^&]*", "")
+    ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})/?$", 1)
     return F.array_sort(F.array_distinct(F.concat(
-        pieces(host, r"\.", "h:"), pieces(host, r"[.-]", "w:"), pieces(path, r"[/._-]", "p:"), pieces(names, "&", "q:"),
+        pieces(host, r"[.-]", "h:"), pieces(F.regexp_replace(path, r"\.[A-Za-z0-9]{1,5}/?$", ""), "/", "p:"),
+        pieces(ending, "/", "e:"), pieces(F.regexp_replace(query, "=[^&]*", ""), "&", "q:"),
     )))
 
 
@@ -38,54 +40,55 @@ def least_share(hits: Column, n: Column, z: float) -> Column:
     return (share + zz / (2 * n) - z * F.sqrt(share * (1 - share) / n + zz / (4 * n * n))) / (1 + zz / n)
 
 
+def _holding(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of ``sets`` (tokens and more) beside each rule (rule, index_token) whose tokens they all hold: an inverted index
+    in which a rule stands under its rarest token."""
+    listed = sets.withColumn("_token", F.explode("tokens"))
+    return listed.join(rules, F.col("_token") == F.col("index_token")).where(F.size(F.array_except("rule", "tokens")) == 0).drop("_token")
+
+
 def mine_rules(labelled: DataFrame, work: Workspace, min_rows: int, min_confidence: float, z: float) -> DataFrame:
-    """Rules (tokens, confidence, lift, support, index_token) that conclude ``block``, from rows of ``tokens`` and
-    ``bad``: token sets of any length in ``min_rows`` bad rows or more, whose share of bad rows is at least
-    ``min_confidence`` by Wilson's bound.  A rule whose tokens include those of a rule at least as confident is pruned.
-
-    Mined level by level over distinct token sets.  A set grows only while all its rows are not bad, and
-    only sets whose every part is in more rows count: others repeat a part's rule, so nothing is lost.
-    A token of all rows has lift 1 and adds nothing to any set."""
-    baskets = work.save(
-        labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).groupBy("tokens")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("hits")),
-        "baskets",
-    )
+    """Rules (rule, index_token, confidence, lift, support) that conclude ``block``, from rows of ``tokens`` and ``bad``.
+
+    FP-growth mines the token sets of ``min_rows`` bad rows or more, of any size.  Tokens of all rows say nothing, and of tokens
+    that always occur together the first stands for all, so neither multiplies the sets.  A set is a rule if
+    its share of bad rows among all labelled rows is at least ``min_confidence`` by Wilson's bound and above the overall
+    share; rules whose tokens include those of a rule at least as confident are pruned."""
+    baskets = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("hits"))
+    baskets = work.save(baskets, "baskets")
     rows, hits = baskets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("hits"), F.lit(0))).first()
-    counts = lambda level: level.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("hits") >= min_rows)
-    level = baskets.select("tokens", "n", "hits", F.explode("tokens").alias("_token")).select("tokens", "n", "hits", F.array("_token").alias("rule"))
-    found = [work.save(counts(level).where(F.col("n") < rows), "rules1")]
-    single = found[0].select(F.element_at("rule", 1).alias("_token"), F.col("n").alias("_n"))
-    while True:
-        k = len(found)
-        alive = found[-1].where("hits < n").select("rule", F.col("n").alias("_n"))
-        if alive.isEmpty():
-            break
-        level = level.join(alive.select("rule"), "rule", "left_semi")
-        level = level.withColumn("_token", F.explode(F.filter("tokens", lambda t: t > F.element_at("rule", -1))))
-        level = work.save(level.select("tokens", "n", "hits", F.concat("rule", F.array("_token")).alias("rule")), f"level{k + 1}")
-        parts = counts(level).withColumn("_part", F.explode("rule")).withColumn("_part", F.filter("rule", lambda t: t != F.col("_part")))
-        parts = parts.join(alive.withColumnRenamed("rule", "_part"), "_part").where("n < _n")
-        found.append(work.save(parts.groupBy("rule", "n", "hits").count().where(F.col("count") == k + 1).drop("count"), f"rules{k + 1}"))
-    everything = found[0]
-    for more in found[1:]:
-        everything = everything.unionByName(more)
-    good = everything.where(least_share(F.col("hits"), F.col("n"), z) >= min_confidence).select(
-        F.col("rule").alias("tokens"), (F.col("hits") / F.col("n")).alias("confidence"),
-        (F.col("hits") / F.col("n") * rows / F.lit(max(hits, 1))).alias("lift"), (F.col("hits") / F.lit(max(rows, 1))).alias("support"),
+    single = baskets.select("n", "hits", F.xxhash64("tokens").alias("of"), F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum(F.col("of").cast("decimal(38,0)")).alias("where"),
+    )
+    single = work.save(single, "single")
+    often = single.where((F.col("hits") >= min_rows) & (F.col("n") < rows)).groupBy("n", "hits", "where").agg(F.min("token").alias("token")).select("token")
+    bad = baskets.where("hits > 0").select("tokens", "hits", F.explode("tokens").alias("token")).join(often, "token")
+    bad = bad.groupBy("tokens", "hits").agg(F.collect_list("token").alias("items"))
+    bad = work.save(bad.select(F.explode(F.expr("array_repeat(items, cast(hits as int))")).alias("items")), "bad")
+    mined = FPGrowth(itemsCol="items", minSupport=min(1.0, min_rows / max(bad.count(), min_rows)), minConfidence=1.0).fit(bad).freqItemsets
+    mined = mined.where(F.col("freq") >= min_rows).select(F.array_sort("items").alias("rule"), F.col("freq").alias("hits"))
+    rarest = single.select(F.col("token").alias("_token"), F.col("n").alias("_n"))
+    indexed = mined.withColumn("_token", F.explode("rule")).join(rarest, "_token").groupBy("rule", "hits").agg(F.min_by("_token", F.struct("_n", "_token")).alias("index_token"))
+    indexed = work.save(indexed, "itemsets")
+    counted = _holding(baskets.select("tokens", "n"), indexed).groupBy("rule", "hits", "index_token").agg(F.sum("n").alias("n"))
+    confidence = F.col("hits") / F.col("n")
+    good = counted.where(least_share(F.col("hits"), F.col("n"), z) >= min_confidence).select(
+        "rule", "index_token", confidence.alias("confidence"), (confidence * rows / F.lit(max(hits, 1))).alias("lift"), (F.col("hits") / F.lit(max(rows, 1))).alias("support"), "hits",
     ).where(F.col("lift") > 1)
     good = work.save(good, "good")
-    small = good.select(F.col("tokens").alias("_tokens"), F.col("confidence").alias("_confidence"), F.explode("tokens").alias("_token"))
-    wide = good.withColumn("_token", F.explode("tokens"))
-    covered = wide.join(small, "_token").where(
-        (F.size("_tokens") < F.size("tokens")) & (F.col("_confidence") >= F.col("confidence"))
-        & (F.size(F.array_except("_tokens", "tokens")) == 0)
-    ).select("tokens")
-    kept = good.join(covered.distinct(), "tokens", "left_anti")
-    first = kept.withColumn("_token", F.explode("tokens")).join(single, "_token").groupBy("tokens").agg(
-        F.min_by("_token", F.struct("_n", "_token")).alias("index_token")
-    )
-    return kept.join(first, "tokens")
+    wide = good.select(F.col("rule").alias("tokens"), F.col("confidence").alias("_confidence"))
+    covered = _holding(wide, good).where((F.size("rule") < F.size("tokens")) & (F.col("confidence") >= F.col("_confidence"))).select(F.col("tokens").alias("rule"))
+    return good.join(covered.distinct(), "rule", "left_anti")
+
+
+def list_verdict(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """The longest of the given rules that fits, and its verdict; both null if none does."""
+    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for decision, where in sorted(rules, key=lambda r: len(r[1])):
+        on, _, under = where.partition("/")
+        fits = ((host == on) | host.endswith("." + on)) & path.startswith("/" + under)
+        rule, verdict = F.when(fits, where).otherwise(rule), F.when(fits, decision).otherwise(verdict)
+    return rule, verdict
 
 
 def url_filter(
@@ -96,31 +99,26 @@ def url_filter(
 
     ``rules`` are (verdict, host and path); a rule fits its host, all subdomains and paths that start
     with its path, and the longest fitting rule decides.  Other pages are blocked if a mined rule
-    matches.  Rules are mined from the tokens of the URLs in ``labels`` (url, bad), kept if ``min_rows`` bad
+    matches.  Rules are mined by FP-growth from the tokens of the URLs in ``labels`` (url, bad), kept if ``min_rows`` bad
     rows or more hold them, at any size of the table, and the share of bad rows is ``min_confidence`` or more with
     ``z`` deviations to spare, and matched by an inverted index: each rule stands
     under its rarest token, distinct token sets meet the rules there, and a meeting counts if the set
-    holds all tokens of the rule.  Neither side is broadcast by a hint.
+    holds all tokens of the rule.  Neither side is broadcast by a hint; the join back to the pages stands between written
+    tables, so that Spark can split a token set that many pages have.
 
     A null URL or one without ``://`` has an empty host and path, no tokens and the verdict allow; null
-    labels are left out; repeated pages are judged alike; without labelled rows no rule is mined."""
+    labels are left out; repeated pages are judged alike; URLs of any length are read whole; of rules of the same length
+    that fit the last given one decides.  Without labelled rows no rule is mined; an empty table gives an empty result;
+    other columns of any name are ignored."""
     work = Workspace(pages.sparkSession)
     host, path = url_parts(F.col(url_col))
     read = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), url_tokens(F.coalesce(F.col(url_col), F.lit(""))).alias("tokens"))
     known = labels.select(url_tokens(F.coalesce(F.col("url"), F.lit(""))).alias("tokens"), F.col("bad").cast("boolean").alias("bad"))
     mined = work.save(mine_rules(known, work, min_rows, min_confidence, z), "rules")
     key = F.array_join("tokens", "\n")
-    sets = read.select("tokens").distinct().withColumn("_token", F.explode("tokens"))
-    matched = (
-        sets.join(mined.select(F.col("index_token").alias("_token"), F.col("tokens").alias("_rule")), "_token")
-        .where(F.size(F.array_except("_rule", "tokens")) == 0)
-        .select(key.alias("_key")).distinct().withColumn("_mined", F.lit(True))
-    )
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for decision, where in sorted(rules, key=lambda r: len(r[1])):
-        on, _, under = where.partition("/")
-        fits = ((F.col("host") == on) | F.col("host").endswith("." + on)) & F.col("path").startswith("/" + under)
-        rule, verdict = F.when(fits, where).otherwise(rule), F.when(fits, decision).otherwise(verdict)
+    matched = _holding(read.select("tokens").distinct(), mined.select("rule", "index_token")).select(key.alias("_key")).distinct()
+    matched = work.save(matched.withColumn("_mined", F.lit(True)), "matched")
+    rule, verdict = list_verdict(F.col("host"), F.col("path"), rules)
     mined_here = F.coalesce(F.col("_mined"), F.lit(False))
     return read.withColumn("_key", key).join(matched, "_key", "left").select(
         "page_id", "host", "path", rule.alias("rule"),

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -18,7 +20,8 @@ from syncframe.llm.ngram_join import ngram_jaccard_join
 from syncframe.llm.quality_classifier import isotonic, quality_scores
 from syncframe.llm.quality_rules import line_first_rules
 from syncframe.llm.tokens import TokenCache
-from syncframe.llm.url_filters import url_filter
+from syncframe.llm.common import Workspace
+from syncframe.llm.url_filters import mine_rules, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -462,6 +465,54 @@ def test_rare_long_and_chance_url_rules(spark):
     assert out == {0: True, 1: True, 2: False, 3: False, 4: False}
 
 
+def brute_rules(rows, min_rows, min_confidence, z):
+    """Every token set of the bad rows by counting, without those that a shorter, equally confident one covers."""
+    sets = [(frozenset(tokens), bad) for tokens, bad in rows]
+    parts = {frozenset(c) for tokens, bad in sets if bad for k in range(1, len(tokens) + 1) for c in itertools.combinations(sorted(tokens), k)}
+    found = {}
+    for part in parts:
+        n, hits = sum(part <= t for t, _ in sets), sum(part <= t and b for t, b in sets)
+        share = hits / n
+        bound = (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if hits >= min_rows and bound >= min_confidence and share * len(sets) > sum(b for _, b in sets):
+            found[part] = share
+    return {r for r, c in found.items() if not any(q < r and d >= c for q, d in found.items())}
+
+
+def test_mined_rules_brute_force(spark):
+    chance = random.Random(3)
+    rows = []
+    for _ in range(400):
+        tokens = sorted({chance.choice("abcdefg") for _ in range(chance.randrange(1, 6))} | {"all"})
+        rows.append((tokens, chance.random() < (0.95 if {"a", "b"} <= set(tokens) or "g" in tokens else 0.1)))
+    known = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    work = Workspace(spark)
+    want = brute_rules(rows, 5, 0.5, 1.0)
+    got = {frozenset(r.rule) for r in mine_rules(known, work, 5, 0.5, 1.0).collect()}
+    # of tokens that all rows have, or that always stand together, one set stands for several
+    holds = lambda rules: [any(r <= set(t) for r in rules) for t, _ in rows]
+    assert got <= want and holds(got) == holds(want) and frozenset("ab") in got and frozenset("g") in got
+
+
+def test_url_filter_on_awkward_pages(spark):
+    long = "http://a.org/" + "/".join(f"part{k}" for k in range(3000))
+    rows = [(k, u) for k, u in enumerate([*URLS, long, long])] + [(None, None), (0, "http://b.net/es/1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    for extra in ("host", "tokens", "rule", "_key", "verdict", "mined"):
+        pages = pages.withColumn(extra, F.lit("clash"))
+    known = spark.createDataFrame([(long, True)] * 30 + [("http://fine.org/x", False)] * 60 + [(None, True), ("http://c.org/x", None)], "url string, bad boolean")
+    out = url_filter(pages, known, queries.URL_RULES).collect()
+    assert sorted(str(r.page_id) for r in out) == sorted(str(k) for k, _ in rows)
+    assert {r.verdict for r in out if r.path.startswith("/part0")} == {"block"} and {r.rule for r in out if r.host == "b.net"} == {"net/es/"}
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter(empty, known, queries.URL_RULES).collect() == []
+
+
+def test_op9_mines_rules_on_the_test_tables(spark, sf_dir):
+    out = queries.op9_url_filters(spark, f"{sf_dir}/../sf0.1")
+    assert out.where("mined").count() > 0 and out.where("rule is null and verdict = 'block' and not mined").isEmpty()
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("op_doc_id", F.lit("clash"))
     for name, stage in corpus_pipeline.STAGES:
