@@ -244,10 +244,14 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = work.save(docs.mapInArrow(_sets_table(extra), "doc_id long, n long, k1 long, k2 long, prefix array<long>"), "sets")
     nodes = work.save(sets.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
     own = nodes.select(F.col("node").alias("doc_id"))
-    prefixes = sets.select("doc_id", "n", F.col("prefix").alias("tokens")).join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    likely = _likely(work, work.save(prefixes, "first"), extra)
+    prefixes = sets.select("doc_id", "n", F.col("prefix").alias("tokens")).join(own.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = work.save(prefixes, "first")
+    sets = work.save(sets.drop("prefix"), "sizes")
+    work.drop("sets")
+    likely = _likely(work, first, extra)
     work.drop("first", "repeated")
-    texts = work.save(docs.join(likely, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # ids are as many as the corpus makes them: never broadcast
+    texts = work.save(docs.join(likely.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     tokens = work.save(texts.mapInArrow(_tokens_table, "doc_id long, n long, tokens array<long>"), "tokens")
     repeated = work.save(_repeated(tokens), "repeated")
     shared = tokens.select("doc_id", "n", F.explode("tokens").alias("token")).join(repeated, "token")
