@@ -183,6 +183,7 @@ def line_dedup(
     limit = max(rare_texts, rare_share * docs.count())
     lines = texts.select("doc", "version", F.explode(F.arrays_zip("line", "long", "places")).alias("x")).select("doc", "version", "x.*")
     counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("line", (F.col("texts") <= limit).alias("rare"))
+    counted = work.save(counted, "counted")  # between tables the join can split a line that many texts have
     shared = work.save(
         lines.join(counted, "line").withColumn("sound", F.col("rare") & F.col("long"))
         .groupBy("doc", "version").agg(F.collect_list(F.struct("line", "places", "sound")).alias("shared"), F.count_if(F.col("long") & ~F.col("rare")).alias("worn")),
