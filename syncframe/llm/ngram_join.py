@@ -214,7 +214,17 @@ def _crossing_long(work: Workspace, lists: DataFrame, texts: DataFrame) -> DataF
     return by_beyond.unionByName(meeting("within").where(enough(least)).select(*pair).distinct())
 
 
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = 16, extra: float = 0.05) -> DataFrame:
+def _open(work: Workspace, lists: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """The lists that documents of different components share, with ``component`` and ``length``."""
+    placed = lists.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = work.save(placed, "placed")
+    mixed = placed.groupBy("token", "low").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo < hi")
+    found = work.save(placed.join(work.save(mixed.drop("lo", "hi"), "mixed"), ["token", "low"]), name)
+    work.drop("placed", "mixed")
+    return found
+
+
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = 16, extra: float = 0.05, rounds: int = 3) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two documents link when their sets of distinct five-word shingles (words by white space, A-Z in lower
@@ -228,10 +238,11 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted whole, which orders their tokens by the number of documents; each document then lengthens its prefix by the
     estimated cost of its candidates, and those of which more than a fifth stands in no other document drop out.
 
-    Candidates are checked on their whole sets in two rounds.  First each document of a token's list meets
+    Candidates are checked on their whole sets.  First each document of a token's list meets
     the list's hub, its smallest id, at one shared token, which is linear in the lists and already joins groups of copies.
-    Lists that then lie in one component are done, so a group never meets itself pair by pair.  In other
-    lists documents of different components meet: directly in lists of up to ``short`` documents, and
+    Lists that then lie in one component are done, so a group never meets itself pair by pair.  In further ``rounds`` the documents
+    of the other lists meet another member each time, which joins those that are too far from the hub alone.  In lists that
+    are open then documents of different components meet: directly in lists of up to ``short`` documents, and
     in longer ones only those that may link by what each shares with the hub and by what they share beyond
     it.  No component can be missed: a link is checked or within a component, and pairs that are
     left out cannot reach the similarity.
@@ -266,19 +277,28 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = work.save(_similar(to_hubs, texts), "links")
     groups = connected_components(work, links, "first")
 
-    placed = lists.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = work.save(placed, "placed")
+    open_lists = _open(work, lists, groups, "open0")
     work.drop("lists")
-    mixed = placed.groupBy("token", "low").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo < hi")
-    open_lists = work.save(placed.join(work.save(mixed.drop("lo", "hi"), "mixed"), ["token", "low"]), "open")
-    work.drop("placed", "mixed")
+    tried = to_hubs
+    for k in range(1, rounds):
+        other = F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64("doc_id", F.lit(k))).alias("other")
+        others = work.save(open_lists.groupBy("token", "low").agg(other), f"others{k}")
+        more = open_lists.join(others, ["token", "low"]).where("component <> other.component")
+        more = more.where(f"{BOTTOM} * least(n, other.n) >= {TOP} * greatest(n, other.n)")
+        more = more.select(F.least("other.doc_id", "doc_id").alias("a"), F.greatest("other.doc_id", "doc_id").alias("b")).distinct()
+        more = work.save(more.join(tried, ["a", "b"], "left_anti"), f"more{k}")
+        tried = tried.unionByName(more)
+        links = work.save(links.unionByName(_similar(more, texts)), f"links{k}")
+        groups = connected_components(work, links, f"round{k}")
+        open_lists = _open(work, open_lists.drop("component", "length"), groups, f"open{k}")
+        work.drop(f"open{k - 1}", f"others{k}")
     long_lists = open_lists.where(F.col("length") > short)
     in_long = long_lists.select("doc_id").distinct().withColumn("in_long", F.lit(True))
     short_lists = work.save(open_lists.where(F.col("length") <= short).join(in_long, "doc_id", "left").withColumn("in_long", F.coalesce("in_long", F.lit(False))), "short")
     crossing = _crossing_short(short_lists).unionByName(_crossing_long(work, long_lists, texts)).distinct()
-    crossing = work.save(crossing.join(to_hubs, ["a", "b"], "left_anti"), "crossing")
+    crossing = work.save(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
     links = work.save(links.unionByName(_similar(crossing, texts)), "all-links")
-    work.drop("texts", "open", "short", "split", "beyond-mixed", "beyond-open", "within-mixed", "within-open", "crossing", "to-hubs")
+    work.drop("texts", f"open{rounds - 1}", "short", "split", "beyond-mixed", "beyond-open", "within-mixed", "within-open", "crossing", "to-hubs")
     groups = connected_components(work, links, "last")
     named = work.save(nodes.join(groups, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id")), "named")
     own = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))
