@@ -69,32 +69,46 @@ def _likely(work: Workspace, lists: DataFrame, extra: float) -> DataFrame:
     return work.save(hits.where(F.col("hits") >= _matches(extra, F.expr(REQUIRED))).select("doc_id"), "likely")
 
 
-def prefix_length(n: int, alone: int, often: np.ndarray, check: float = 20.0) -> int:
+def prefix_length(spare: int, need: int, alone: int, often: np.ndarray, check: float = 20.0) -> int:
     """How many shared prefix tokens a document asks for: the number at which the estimated cost of reading its prefix
-    tokens' lists and of checking the documents that reach that number is least.  ``alone`` of its tokens are in no other
-    document, ``often`` has the lengths of the others' lists in rising order."""
+    tokens' lists and of checking the documents that reach that number is least.  A link takes ``need`` of its tokens and
+    leaves ``spare`` at most; ``alone`` of them are in no other document, ``often`` has the lengths of the others' lists in
+    rising order.  A document that needs none of these tokens asks for the most, so that its partner decides."""
+    if need < 1:
+        return MOST
     best, asked = None, 1
-    for ell in range(1, min(MOST, required(n)) + 1):
-        read = float(often[: max(n - required(n) + ell - alone, 0)].sum())
+    for ell in range(1, min(MOST, need) + 1):
+        read = float(often[: max(spare + ell - alone, 0)].sum())
         cost = read + check * read / ell
         if best is None or cost < best:
             best, asked = cost, ell
     return asked
 
 
-def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, asked, alone, tokens): the part of each document's prefix that other documents have too, in the global
-    order (number of documents, hash); ``alone`` tokens stand before it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("asked", pa.int32()), ("alone", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-    for batch in batches:
-        rows = []
-        for doc, n, shared in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["shared"], strict=True):
-            often, token = (shared.values.field(k).to_numpy() for k in range(2))
-            order = np.lexsort((token, often))
-            alone = n - len(order)
-            asked = prefix_length(n, alone, often[order])
-            rows.append((doc, n, asked, alone, token[order[: n - required(n) + asked - alone]]))
-        yield record_batch(schema, zip(*rows, strict=True) if rows else [[]] * 5)
+def _prefixes(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, inside, asked, alone, tokens) of (keys, n, inside, shared): the part of each document's prefix that other
+    documents have too, in the order (number of documents, hash); ``alone`` tokens stand before it.  ``inside`` of the
+    document's tokens are left out of the lists, as all documents of a list may have them."""
+    whole = (*keys, "n", "inside")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*((k, pa.int64()) for k in whole), ("asked", pa.int32()), ("alone", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+        for batch in batches:
+            out = []
+            for *key, n, inside, shared in zip(*(batch[k].to_pylist() for k in whole), batch["shared"], strict=True):
+                often, token = (shared.values.field(k).to_numpy() for k in range(2))
+                order = np.lexsort((token, often))
+                spare, alone = n - required(n), n - inside - len(order)
+                asked = prefix_length(spare, required(n) - inside, alone, often[order])
+                out.append((*key, n, inside, asked, alone, token[order[: max(spare + asked - alone, 0)]]))
+            yield record_batch(schema, zip(*out, strict=True) if out else [[]] * len(schema))
+
+    fields = ", ".join(f"{k} long" for k in whole)
+    return rows.select(*whole, "shared").mapInArrow(cut, f"{fields}, asked int, alone int, tokens array<long>")
+
+
+#: The least number of matches whose prefix has the token at ``pos`` behind ``alone`` others.
+FROM_MATCH = f"greatest(alone + pos - (n - {REQUIRED}) + 1, 1)"
 
 
 def _lists(work: Workspace, prefixes: DataFrame) -> DataFrame:
@@ -106,7 +120,7 @@ def _lists(work: Workspace, prefixes: DataFrame) -> DataFrame:
     matches whose prefix has the token."""
     rows = prefixes.select("doc_id", "n", "asked", "alone", F.posexplode("tokens").alias("pos", "token"))
     size_class = F.floor(F.log("n") / F.log(F.lit(BOTTOM / TOP)) + 1e-9)
-    rows = rows.select("token", "doc_id", "n", size_class.alias("class"), "asked", F.greatest(F.expr(f"alone + pos - (n - {REQUIRED}) + 1"), F.lit(1)).alias("from_match"))
+    rows = rows.select("token", "doc_id", "n", size_class.alias("class"), "asked", F.expr(FROM_MATCH).alias("from_match"))
     rows = work.save(rows.withColumn("low", F.explode(F.array(F.col("class") - 1, F.col("class")))), "postings", batch_rows=10_000)
     heads = rows.groupBy("token", "low").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.min_by("n", "doc_id").alias("hub_n")).where("hub <> last")
     return rows.join(work.save(heads.drop("last"), "heads"), ["token", "low"])
@@ -144,27 +158,22 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _beyond_hub(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(hub, doc_id, n, inside, whole, beyond, within) of pairs (a = hub, b = document): how much of the document the hub has,
-    shingles that the hub has not, and some that it has.
-
-    If the hub has at least what a link takes, all shingles beyond it are listed (``whole``), and of those within as many as a
-    link needs that rests on them alone.  Otherwise a link takes some beyond the hub, and as many as in the shortest
-    prefix suffice to find it.  The order is that of the hashes."""
+    """(hub, doc_id, n, inside, beyond, within) of pairs (a = hub, b = document): how much of the document the hub has,
+    the shingles that the hub has not, and, if the hub has at least what a link takes, as many of those within, by
+    hash, as a link needs that rests on them alone."""
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("hub", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("inside", pa.int64()), ("whole", pa.bool_()), ("beyond", pa.list_(pa.int64())), ("within", pa.list_(pa.int64()))]
+        kinds = [("hub", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("inside", pa.int64()), ("beyond", pa.list_(pa.int64())), ("within", pa.list_(pa.int64()))]
         for batch in batches:
             rows = []
             for a, b, s, t in _pairs_of_sets(batch):
                 of_hub = np.isin(t, s, assume_unique=True)
-                n, inside, need = len(t), int(of_hub.sum()), required(len(t))
-                beyond, within = t[~of_hub], t[of_hub][: max(inside - need + 1, 0)]
-                if inside < need:
-                    beyond = beyond[: n - need + 1]
-                rows.append((a, b, n, inside, inside >= need, beyond.view(np.int64), within.view(np.int64)))
-            yield record_batch(pa.schema(kinds), zip(*rows, strict=True) if rows else [[]] * 7)
-
-    fields = "hub long, doc_id long, n long, inside long, whole boolean, beyond array<long>, within array<long>"
+                inside = int(of_hub.sum())
+                within = t[of_hub][: max(inside - required(len(t)) + 1, 0)]
+                rows.append((a, b, len(t), inside, t[~of_hub].view(np.int64), within.view(np.int64)))
+            yield record_batch(pa.schema(kinds), zip(*rows, strict=True) if rows else [[]] * 6)
+
+    fields = "hub long, doc_id long, n long, inside long, beyond array<long>, within array<long>"
     return _with_texts(members, texts).mapInArrow(split, fields)
 
 
@@ -190,28 +199,42 @@ def _crossing_long(work: Workspace, lists: DataFrame, texts: DataFrame) -> DataF
 
     Two documents share at most the smaller of their two shares of the list's hub, and what they share beyond it.
     So they can only link if they share a shingle beyond the hub, or if what they share of the hub is enough for both
-    sizes by itself.  The first kind meets by shingles beyond the hub, which copies with edits of their own rarely have in
-    common; the second by those within it, as many as a prefix of a document's share of the hub takes.  No pair
-    is looked at that has no shingle in common."""
+    sizes by itself.  The first kind meets by shingles beyond the hub: those that documents of other components have too
+    are counted for each hub, and multi-match prefixes put the ones of fewest documents first, so that a passage of
+    many documents brings those together only that have little else.  A document of which the hub has what a link takes lists
+    all, and two such are counted out.  The second kind meets by shingles within the hub, as many as a prefix of a document's
+    share of the hub takes.  No pair is looked at that has no shingle in common."""
     members = lists.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     component = lists.groupBy("doc_id").agg(F.first("component").alias("component"))
     split = work.save(_beyond_hub(members, texts), "split").join(component, "doc_id")
 
-    def meeting(side: str) -> DataFrame:
-        rows = split.select("hub", "doc_id", "component", "n", "inside", "whole", F.explode(side).alias("token"))
-        mixed = rows.groupBy("hub", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "token")
-        rows = work.save(rows.join(work.save(mixed, f"{side}-mixed"), ["hub", "token"], "left_semi"), f"{side}-open")
+    def crossing(side: str) -> DataFrame:
+        """Tokens that documents of two components or more have, with the number of their documents."""
+        rows = split.select("hub", "doc_id", "component", "n", "inside", F.explode(side).alias("token"))
+        mixed = rows.groupBy("hub", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi")
+        return work.save(rows.join(work.save(mixed.select("hub", "token", "df"), f"{side}-mixed"), ["hub", "token"]), f"{side}-open")
+
+    def meeting(rows: DataFrame) -> DataFrame:
         return rows.alias("x").join(rows.alias("y"), F.expr(f"x.hub = y.hub and x.token = y.token and x.component < y.component and {NEAR}"))
 
+    keys = ["hub", "doc_id", "component"]
+    shared = crossing("beyond").groupBy(*keys, "n", "inside").agg(F.collect_list(F.struct("df", "token")).alias("shared")).where(f"size(shared) >= {REQUIRED} - inside")
+    beyond = work.save(_prefixes(shared, *keys), "beyond-prefixes").select(*keys, "n", "inside", "asked", "alone", F.posexplode("tokens").alias("pos", "token"))
+    beyond = work.save(beyond.select(*keys, "n", "inside", "asked", F.expr(FROM_MATCH).alias("from_match"), F.expr(f"inside >= {REQUIRED}").alias("whole"), "token"), "beyond-postings")
+
     enough = lambda shared: F.expr(f"{TOP + BOTTOM} * ({shared}) >= {TOP} * (x.n + y.n)")
     least = "least(x.inside, y.inside)"
     pair = F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
+    matched = F.expr("greatest(x.from_match, y.from_match) <= least(x.asked, y.asked)")
     by_beyond = (
-        meeting("beyond").where(enough(f"{least} + least(x.n - x.inside, y.n - y.inside)"))
-        .groupBy("x.hub", *pair).agg(F.count("*").alias("c"), F.first(F.expr(least)).alias("inside"), F.first(F.expr("x.n + y.n")).alias("sizes"), F.first(F.expr("x.whole and y.whole")).alias("exact"))
-        .where(f"not exact or {TOP + BOTTOM} * (inside + c) >= {TOP} * sizes").select("a", "b")
+        meeting(beyond).where(enough(f"{least} + least(x.n - x.inside, y.n - y.inside)"))
+        .groupBy("x.hub", *pair).agg(
+            F.count("*").alias("c"), F.count_if(matched).alias("matches"), F.first(F.expr("least(x.asked, y.asked)")).alias("asked"),
+            F.first(F.expr(least)).alias("inside"), F.first(F.expr("x.n + y.n")).alias("sizes"), F.first(F.expr("x.whole and y.whole")).alias("exact"),
+        )
+        .where(f"if(exact, {TOP + BOTTOM} * (inside + c) >= {TOP} * sizes, matches >= asked)").select("a", "b")
     )
-    return by_beyond.unionByName(meeting("within").where(enough(least)).select(*pair).distinct())
+    return by_beyond.unionByName(meeting(crossing("within")).where(enough(least)).select(*pair).distinct())
 
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = 16, extra: float = 0.05) -> DataFrame:
@@ -256,7 +279,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated = work.save(_repeated(tokens), "repeated")
     shared = tokens.select("doc_id", "n", F.explode("tokens").alias("token")).join(repeated, "token")
     shared = shared.groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared")).where(f"size(shared) >= {REQUIRED}")
-    prefixes = work.save(shared.mapInArrow(_prefixes, "doc_id long, n long, asked int, alone int, tokens array<long>"), "prefixes")
+    prefixes = work.save(_prefixes(shared.withColumn("inside", F.lit(0).cast("long")), "doc_id"), "prefixes")
     lists = work.save(_lists(work, prefixes), "lists")
     work.drop("tokens", "repeated", "prefixes", "postings", "heads")
 
@@ -278,7 +301,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     crossing = _crossing_short(short_lists).unionByName(_crossing_long(work, long_lists, texts)).distinct()
     crossing = work.save(crossing.join(to_hubs, ["a", "b"], "left_anti"), "crossing")
     links = work.save(links.unionByName(_similar(crossing, texts)), "all-links")
-    work.drop("texts", "open", "short", "split", "beyond-mixed", "beyond-open", "within-mixed", "within-open", "crossing", "to-hubs")
+    work.drop("texts", "open", "short", "split", "beyond-mixed", "beyond-open", "beyond-prefixes", "beyond-postings", "within-mixed", "within-open", "crossing", "to-hubs")
     groups = connected_components(work, links, "last")
     named = work.save(nodes.join(groups, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id")), "named")
     own = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))
