@@ -137,13 +137,14 @@ def chunk_failures(fetches: DataFrame, most: int = 6) -> DataFrame:
     return before.groupBy("file_idx", "chunk_idx").agg(n.alias("failures"), ((n >= most) & F.first("first").isNull()).alias("fatal"))
 
 
-def common_ancestor(paths: DataFrame) -> DataFrame:
-    """(ancestor): the deepest directory that holds all paths: the shared components of the least and the greatest
-    path; for a single path its parent; refused (null) at the root."""
-    ends = paths.select(S.components(F.col("path")).alias("p")).agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("n"))
+def common_ancestor(paths: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(ancestor), or one for each value of ``keys``: the deepest directory that holds all paths: the shared components of the
+    least and the greatest path; for a single path its parent; refused (null) at the root."""
+    keys = keys or []
+    ends = paths.select(*keys, S.components(F.col("path")).alias("p")).groupBy(*keys).agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("n"))
     same = F.filter(F.sequence(F.lit(1), F.size("a")), lambda i: F.slice("a", F.lit(1), i) == F.slice("b", F.lit(1), i))
     deep = F.when(F.col("n") == 1, F.size("a") - 1).otherwise(F.size(same))
-    return ends.select(F.nullif(F.array_join(F.slice("a", F.lit(1), deep), "/"), F.lit("")).alias("ancestor"))
+    return ends.select(*keys, F.nullif(F.array_join(F.slice("a", F.lit(1), deep), "/"), F.lit("")).alias("ancestor"))
 
 
 def artifact_progress(grid: DataFrame, holdings: DataFrame) -> DataFrame:

@@ -99,17 +99,18 @@ def rehash_resume(src_files):
     return joins.rehash_resume(part, part.where("length(path) % 3 <> 0").select("path", "idx", mark.alias("mark")))
 
 
-@query("SELECT s.file_idx, s.chunk_idx, s.len FROM spec_chunks s WHERE NOT EXISTS (SELECT 1 FROM holdings h WHERE h.peer = 'peer1' AND h.file_idx = s.file_idx AND h.chunk_idx = s.chunk_idx)")
+@query("""SELECT s.file_idx, s.chunk_idx, s.len FROM spec_chunks s WHERE NOT EXISTS (SELECT 1 FROM holdings h WHERE h.file_idx = s.file_idx AND h.chunk_idx = s.chunk_idx)""")
 def missing_chunks(spec_chunks, holdings):
-    return joins.missing_chunks(spec_chunks, holdings.where("peer = 'peer1'").select("file_idx", "chunk_idx"))
+    """What no peer has."""
+    return joins.missing_chunks(spec_chunks, holdings.select("file_idx", "chunk_idx"))
 
 
 @query(f"""WITH {_chunks('src_files', 'sc')}, {_chunks('dst_files', 'dc')},
-spec AS (SELECT path, idx, sha256(payload) AS want FROM sc WHERE length(path) % 4 <> 0 AND idx < 6)
+spec AS (SELECT path, idx, sha256(payload) AS want FROM sc WHERE length(path) % 4 <> 0)
 SELECT d.path, d.idx, CASE WHEN d.path NOT IN (SELECT path FROM spec) THEN 'deferred' WHEN s.want IS NULL THEN 'short' WHEN s.want = sha256(d.payload) THEN 'ok' ELSE 'bad' END AS verdict
 FROM dc d LEFT JOIN spec s ON s.path = d.path AND s.idx = d.idx""")
 def verify_chunks(src_files, dst_files):
-    spec = filters.chunks_of(src_files, 256).where("length(path) % 4 <> 0 and idx < 6").select("path", "idx", F.sha2("payload", 256).alias("want"))
+    spec = filters.chunks_of(src_files, 256).where("length(path) % 4 <> 0").select("path", "idx", F.sha2("payload", 256).alias("want"))
     return joins.verify_chunks(spec, filters.chunks_of(dst_files, 256).select("path", "idx", F.sha2("payload", 256).alias("sha")))
 
 
@@ -154,14 +155,16 @@ def apply_policy(src_files):
     return joins.apply_policies(src_files, [{"target": "all"}, {"target": "english", "include": ["en"]}, {"target": "some", "include": ["d*1.txt"], "exclude": ["src[23]"]}])
 
 
-SNAP = "SELECT name, min(addr) AS addr FROM envelopes WHERE {} GROUP BY name"
+SNAP = "SELECT concat(node, '/', name) AS name, min(addr) AS addr FROM envelopes WHERE {} GROUP BY node, name"
 
 
-@query(f"""WITH e AS ({SNAP.format("node = 3 AND version % 2 = 0")}), l AS (SELECT name, min(addr) AS addr, min(version) % 3 = 0 AS managed FROM envelopes WHERE node = 3 AND version % 3 < 2 GROUP BY name)
+@query(f"""WITH e AS ({SNAP.format("version % 2 = 0")}), l AS (SELECT concat(node, '/', name) AS name, min(addr) AS addr, min(version) % 3 = 0 AS managed FROM envelopes WHERE version % 3 < 2 GROUP BY node, name)
 SELECT coalesce(e.name, l.name) AS name, coalesce(e.addr, l.addr) AS addr, e.name IS NOT NULL AS managed FROM l FULL JOIN e ON l.name = e.name WHERE e.name IS NOT NULL OR NOT l.managed""")
 def merge_snapshot(envelopes):
-    local = envelopes.where("node = 3 and version % 3 < 2").groupBy("name").agg(F.min("addr").alias("addr"), (F.min("version") % 3 == 0).alias("managed"))
-    new = envelopes.where("node = 3 and version % 2 = 0").groupBy("name").agg(F.min("addr").alias("addr"))
+    """Names are those of each node."""
+    named = envelopes.withColumn("name", F.concat_ws("/", "node", "name"))
+    local = named.where("version % 3 < 2").groupBy("name").agg(F.min("addr").alias("addr"), (F.min("version") % 3 == 0).alias("managed"))
+    new = named.where("version % 2 = 0").groupBy("name").agg(F.min("addr").alias("addr"))
     return joins.merge_snapshot(local, new)
 
 
@@ -244,19 +247,21 @@ def plan_totals(src_files, dst_files):
     return aggregates.plan_totals(plan)
 
 
-@query("""SELECT concat('f', file_idx) AS path, count(h.peer) AS have_count, count(*) AS chunk_count, count(h.peer) = count(*) AS complete
-FROM spec_chunks s LEFT JOIN holdings h ON h.peer = 'peer1' AND h.file_idx = s.file_idx AND h.chunk_idx = s.chunk_idx GROUP BY s.file_idx, 1""".replace("concat('f', file_idx)", "concat('f', s.file_idx)"))
+@query("""WITH h AS (SELECT DISTINCT file_idx, chunk_idx, true AS have FROM holdings)
+SELECT concat('f', s.file_idx) AS path, count(h.have) AS have_count, count(*) AS chunk_count, count(h.have) = count(*) AS complete
+FROM spec_chunks s LEFT JOIN h ON h.file_idx = s.file_idx AND h.chunk_idx = s.chunk_idx GROUP BY s.file_idx""")
 def completeness(spec_chunks, holdings):
-    mine = holdings.where("peer = 'peer1'").select("file_idx", "chunk_idx", F.lit(True).alias("have"))
-    rows = spec_chunks.join(mine, ["file_idx", "chunk_idx"], "left").select(F.concat(F.lit("f"), "file_idx").alias("path"), F.col("chunk_idx").alias("idx"), F.coalesce("have", F.lit(False)).alias("have"))
+    """How much of each file the peers have together."""
+    held = holdings.select("file_idx", "chunk_idx", F.lit(True).alias("have")).distinct()
+    rows = spec_chunks.join(held, ["file_idx", "chunk_idx"], "left").select(F.concat(F.lit("f"), "file_idx").alias("path"), F.col("chunk_idx").alias("idx"), F.coalesce("have", F.lit(False)).alias("have"))
     return aggregates.completeness(rows)
 
 
-@query("""WITH b AS (SELECT peer, file_idx // 8 AS byte, bit_or(CAST(1 << (file_idx % 8) AS INT)) AS v FROM holdings WHERE chunk_idx = 1 OR chunk_idx = 2 GROUP BY peer, byte),
+@query("""WITH b AS (SELECT peer, file_idx // 8 AS byte, bit_or(CAST(1 << (file_idx % 8) AS INT)) AS v FROM holdings GROUP BY peer, byte),
 m AS (SELECT peer, max(byte) AS top FROM b GROUP BY peer), g AS (SELECT peer, unnest(generate_series(0, top)) AS byte FROM m)
 SELECT g.peer, string_agg(printf('%02x', coalesce(v, 0)), '' ORDER BY g.byte) AS bitmap FROM g LEFT JOIN b ON g.peer = b.peer AND g.byte = b.byte GROUP BY g.peer""")
 def bitmap_agg(holdings):
-    return aggregates.bitmap_agg(holdings.where("chunk_idx in (1, 2)").select("peer", "file_idx").distinct(), ["peer"], "file_idx")
+    return aggregates.bitmap_agg(holdings.select("peer", "file_idx").distinct(), ["peer"], "file_idx")
 
 
 @query("""SELECT s.file_idx, s.chunk_idx, count(DISTINCT h.peer) AS rarity FROM spec_chunks s LEFT JOIN holdings h ON h.file_idx = s.file_idx AND h.chunk_idx = s.chunk_idx GROUP BY 1, 2""")
@@ -270,13 +275,14 @@ def manifest_digest(src_files):
     return aggregates.manifest_digest(src_files, F.concat_ws("|", "path", F.col("size").cast("string"), F.col("mtime_ns").cast("string")), F.col("id"))
 
 
-@query(f"""WITH {_chunks("(SELECT * FROM src_files WHERE source = 'src1')", 'c')}, k AS (SELECT path, string_agg(sha256(payload) || chr(0), '' ORDER BY idx) AS list FROM c GROUP BY path),
-t AS (SELECT s.path, s.path || chr(0) || size || chr(0) || printf('%o', mode & 4095) || chr(0) || sha256(content) || chr(0) || coalesce(list, '') AS text FROM src_files s LEFT JOIN k ON s.path = k.path WHERE source = 'src1')
-SELECT sha256(string_agg(text, '' ORDER BY path)) AS spec_hash FROM t""")
+@query(f"""WITH {_chunks("src_files", 'c')}, k AS (SELECT path, string_agg(sha256(payload) || chr(0), '' ORDER BY idx) AS list FROM c GROUP BY path),
+t AS (SELECT s.source, s.path, s.path || chr(0) || size || chr(0) || printf('%o', mode & 4095) || chr(0) || sha256(content) || chr(0) || coalesce(list, '') AS text FROM src_files s LEFT JOIN k ON s.path = k.path)
+SELECT source, sha256(string_agg(text, '' ORDER BY path)) AS spec_hash FROM t GROUP BY source""")
 def spec_hash(src_files):
-    one = src_files.where("source = 'src1'")
-    chunks = filters.chunks_of(one, 256).select("path", "idx", F.sha2("payload", 256).alias("sha"))
-    return aggregates.spec_hash(one.select("path", "size", "mode", F.sha2("content", 256).alias("sha")), chunks)
+    """One descriptor for each source."""
+    chunks = filters.chunks_of(src_files, 256).select("path", "idx", F.sha2("payload", 256).alias("sha"))
+    chunks = chunks.join(src_files.select("path", "source"), "path")
+    return aggregates.spec_hash(src_files.select("source", "path", "size", "mode", F.sha2("content", 256).alias("sha")), chunks, ["source"])
 
 
 @query("SELECT path, sha256(content) AS sha FROM src_files")
@@ -345,10 +351,10 @@ def chunk_failures(lineitem):
     return aggregates.chunk_failures(fetches)
 
 
-@query("""WITH p AS (SELECT source AS path_group, string_split('data/' || path, '/') AS p FROM src_files WHERE lang = 'en' AND source = 'src1'), e AS (SELECT min(p) AS a, max(p) AS b, count(*) AS n FROM p)
-SELECT array_to_string(CASE WHEN n = 1 THEN a[1:len(a) - 1] ELSE list_transform(list_filter(generate_series(1, len(a)), lambda i: a[1:i] = b[1:i]), lambda i: a[i]) END, '/') AS ancestor FROM e""")
+@query("""WITH p AS (SELECT source, lang, string_split('data/' || path, '/') AS p FROM src_files), e AS (SELECT source, lang, min(p) AS a, max(p) AS b, count(*) AS n FROM p GROUP BY source, lang)
+SELECT source, lang, array_to_string(CASE WHEN n = 1 THEN a[1:len(a) - 1] ELSE list_transform(list_filter(generate_series(1, len(a)), lambda i: a[1:i] = b[1:i]), lambda i: a[i]) END, '/') AS ancestor FROM e""")
 def common_ancestor(src_files):
-    return aggregates.common_ancestor(src_files.where("lang = 'en' and source = 'src1'").select(F.concat(F.lit("data/"), "path").alias("path")))
+    return aggregates.common_ancestor(src_files.select("source", "lang", F.concat(F.lit("data/"), "path").alias("path")), ["source", "lang"])
 
 
 @query("""SELECT CASE event_id % 9 WHEN 0 THEN 'ok' WHEN 1 THEN 'io' WHEN 2 THEN 'no-space' WHEN 3 THEN 'invalid-path' WHEN 4 THEN 'source-changed' WHEN 5 THEN 'permission' WHEN 6 THEN 'exists' WHEN 7 THEN 'protocol' ELSE 'canceled' END AS code, count(*) AS n FROM transfer_events WHERE kind = 'error' GROUP BY 1""")
@@ -426,11 +432,12 @@ def first_path_wins(src_files):
 
 
 @query("""WITH r AS (SELECT s.file_idx, s.chunk_idx, count(DISTINCT h.peer) AS rarity FROM spec_chunks s LEFT JOIN holdings h USING (file_idx, chunk_idx) GROUP BY 1, 2),
-m AS (SELECT p.peer, r.* FROM (VALUES ('peer1'), ('peer2')) p(peer), r WHERE NOT EXISTS (SELECT 1 FROM holdings h WHERE h.peer = p.peer AND h.file_idx = r.file_idx AND h.chunk_idx = r.chunk_idx))
+m AS (SELECT p.peer, r.* FROM (SELECT DISTINCT peer, file_idx FROM holdings) p JOIN r USING (file_idx) WHERE NOT EXISTS (SELECT 1 FROM holdings h WHERE h.peer = p.peer AND h.file_idx = r.file_idx AND h.chunk_idx = r.chunk_idx))
 SELECT peer, file_idx, chunk_idx, rarity, row_number() OVER (PARTITION BY peer ORDER BY rarity, file_idx, chunk_idx) AS rank FROM m""")
 def rarest_first(spec_chunks, holdings):
+    """For each peer what it lacks of the files that it has begun."""
     rarity = aggregates.chunk_rarity(spec_chunks, holdings)
-    joiners = rarity.withColumn("peer", F.explode(F.array(F.lit("peer1"), F.lit("peer2"))))
+    joiners = holdings.select("peer", "file_idx").distinct().join(rarity, "file_idx")
     return windows.rarest_first(joiners.join(holdings, ["peer", "file_idx", "chunk_idx"], "left_anti")).select("peer", "file_idx", "chunk_idx", "rarity", "rank")
 
 
@@ -519,9 +526,9 @@ def snapshot_diff(src_files, dst_files):
     return sets.snapshot_diff(src_files, dst_files)
 
 
-@query("SELECT DISTINCT name FROM envelopes WHERE node = 3 AND version % 3 = 0 EXCEPT SELECT name FROM envelopes WHERE node = 3 AND version % 2 = 0")
+@query("SELECT node, name FROM envelopes WHERE version % 3 = 0 EXCEPT SELECT node, name FROM envelopes WHERE version % 2 = 0")
 def revoked_names(envelopes):
-    names = lambda rule: envelopes.where(f"node = 3 and {rule}").select("name")
+    names = lambda rule: envelopes.where(rule).select("node", "name")
     return names("version % 3 = 0").subtract(names("version % 2 = 0"))
 
 

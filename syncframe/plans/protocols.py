@@ -45,12 +45,12 @@ def read_events(transfer_events):
     return parsed.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("""SELECT peer, file_idx, chunk_idx FROM holdings WHERE chunk_idx IN (1, 2)""")
+@query("""SELECT peer, file_idx, chunk_idx FROM holdings""")
 def announced_holdings(holdings):
     """Bitmaps packed for the announce line and unpacked again: the oracle is what went in."""
     from syncframe.operators.aggregates import bitmap_agg
 
-    packed = bitmap_agg(holdings.where("chunk_idx in (1, 2)"), ["peer", "file_idx"], "chunk_idx")
+    packed = bitmap_agg(holdings, ["peer", "file_idx"], "chunk_idx")
     entries = packed.groupBy("peer").agg(F.map_from_entries(F.collect_list(F.struct(F.col("file_idx").cast("int"), "bitmap"))).alias("m"))
     have = F.array_join(F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))), "/")
     return sources.holdings_of(entries.select(F.col("peer").alias("addr"), have.alias("have")))
