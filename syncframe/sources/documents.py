@@ -61,10 +61,10 @@ def read_spec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return files.select("path", "size", "mode", "sha"), chunks
 
 
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """Resume states with ``marks`` and the bitmap ``have``; those whose marks do not fit their grid are left out, and
+def read_sidecars(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Resume states with ``marks`` and the bitmap ``have``, one document in a file or in a line (``lines``); those whose marks do not fit their grid are left out, and
     a bitmap that cannot be decoded is empty."""
-    doc = spark.read.schema(SIDECAR).json(path, multiLine=True)
+    doc = spark.read.schema(SIDECAR).json(path, multiLine=not lines)
     ns = F.col("srcMtime.sec") * 1_000_000_000 + F.col("srcMtime.nsec")
     have = F.coalesce(F.try_to_binary("have", F.lit("base64")), F.lit(b""))
     return doc.where("size(hashes) = chunkCount").select(
@@ -95,14 +95,14 @@ def parse_beacons(beacons: DataFrame) -> DataFrame:
     return b.where(good).select(F.concat("source_ip", F.lit(":"), F.col("b.port")).alias("addr"), "b.name", "b.root", "b.ver")
 
 
-def read_policies(spark: SparkSession, path: str) -> DataFrame:
-    """(target, addr, include, exclude, delete, dest) of the endpoints of configuration documents."""
-    return spark.read.schema(POLICY).json(path, multiLine=True).select(F.explode("endpoints").alias("target", "p")).select("target", "p.*")
+def read_policies(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(target, addr, include, exclude, delete, dest) of the endpoints of configuration documents, one in a file or in a line."""
+    return spark.read.schema(POLICY).json(path, multiLine=not lines).select(F.explode("endpoints").alias("target", "p")).select("target", "p.*")
 
 
-def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """(version, origin, ts, name, addr) of versioned endpoint snapshots."""
-    doc = spark.read.schema(ENVELOPE).json(path, multiLine=True)
+def read_envelopes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(version, origin, ts, name, addr) of versioned endpoint snapshots, one in a file or in a line."""
+    doc = spark.read.schema(ENVELOPE).json(path, multiLine=not lines)
     return doc.select("version", "origin", "ts", F.explode("endpoints").alias("name", "e")).select("version", "origin", "ts", "name", "e.addr")
 
 
