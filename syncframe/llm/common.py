@@ -27,6 +27,8 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         self.root = f"{base or tempfile.mkdtemp(prefix='spark-')}/corpus-{uuid.uuid4().hex}"
 
     @contextlib.contextmanager
