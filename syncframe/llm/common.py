@@ -23,6 +23,7 @@ class Workspace:
 
     FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -47,9 +48,10 @@ class Workspace:
                 else:
                     self.spark.conf.set(k, v)
 
-    def save(self, df: DataFrame, name: str, batch_rows: int = 512) -> DataFrame:
-        """The table as written; its Arrow batches hold at most ``batch_rows`` rows, as texts may be long."""
-        with self._set(FREE="true", BATCH=str(batch_rows)):
+    def save(self, df: DataFrame, name: str, batch_rows: int = 512, batch_bytes: str | None = None) -> DataFrame:
+        """The table as written; its Arrow batches hold at most ``batch_rows`` rows and, if given, about ``batch_bytes``, as
+        texts may be long."""
+        with self._set(FREE="true", BATCH=str(batch_rows), **({"BYTES": batch_bytes} if batch_bytes else {})):
             df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
