@@ -60,13 +60,19 @@ def chunk_rarity(spec: DataFrame, holdings: DataFrame) -> DataFrame:
     return spec.select("file_idx", "chunk_idx").join(counts, ["file_idx", "chunk_idx"], "left").select("file_idx", "chunk_idx", F.coalesce("n", F.lit(0)).alias("rarity"))
 
 
-def manifest_digest(entries: DataFrame, row: Column, order: Column, buckets: int = 256) -> DataFrame:
-    """(digest): SHA-256 over the rows in order.  Rows are hashed, joined in order within ranges of the order
-    number (``buckets`` of 2^16), and the ranges' hashes are hashed: no task holds the whole."""
-    hashed = entries.select(F.sha2(row, 256).alias("h"), order.alias("o")).withColumn("bucket", F.shiftright("o", 16))
-    part = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ""), 256)
-    parts = hashed.groupBy("bucket").agg(part.alias("p"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "p"))), lambda x: x["p"]), ""), 256).alias("digest"))
+def manifest_digest(entries: DataFrame, row: Column, order: Column, bits: int = 16) -> DataFrame:
+    """(digest): the root of a hash tree over the rows in the order of distinct numbers, 2^bits children at each node.
+
+    The lowest nodes hash the hashes of the rows whose numbers agree but for the last ``bits``, the next ones the hashes of
+    those nodes, and so on up to one node, two levels at least.  A node's row holds 2^bits hashes at most, whatever the number
+    of rows; the largest number, which one aggregate finds, says how many levels there are."""
+    level = entries.select(F.sha2(row, 256).alias("h"), order.cast("long").alias("o"))
+    top = level.agg(F.max(F.abs("o"))).first()[0] or 0
+    levels = max(2, -(-int(top).bit_length() // bits))
+    node = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ""), 256)
+    for _ in range(levels - 1):
+        level = level.groupBy(F.shiftright("o", bits).alias("_up")).agg(node.alias("h")).withColumnRenamed("_up", "o")
+    return level.agg(node.alias("digest"))
 
 
 def spec_hash(files: DataFrame, chunks: DataFrame, keys: list[str] | None = None) -> DataFrame:

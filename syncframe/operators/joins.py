@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from syncframe import functions as S
 from syncframe.operators.filters import chunks_of
+from syncframe.operators.folds import fold_sorted, spark_seconds
 
 
 def quick_check(src: DataFrame, dst: DataFrame, mode: str = "strict") -> DataFrame:
@@ -161,34 +162,42 @@ def prune_nested(selected: DataFrame) -> DataFrame:
     return selected.join(unsafe_parents(selected, selected), "path", "left_anti")
 
 
-def room_members(members: DataFrame) -> DataFrame:
-    """(addr, room, other): for each member the others of its room."""
-    other = members.select("room", F.col("addr").alias("other"))
-    return members.select("room", "addr").join(other, "room").where("addr <> other").select("addr", "room", "other")
+def room_members(members: DataFrame, most: int = 64, salt: int = 0) -> DataFrame:
+    """(addr, room, other): what each member of a room (room, addr, seed) is told: all seeds, and others up to ``most`` in all.
+
+    A room's list is its seeds and the first ``most + 1`` others in a salted order, so a member finds ``most`` without itself;
+    members meet that list and never each other."""
+    order = Window.partitionBy("room").orderBy(F.md5(F.concat("addr", F.lit(f"#{salt}"))), "addr")
+    plain = members.where("not seed").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1).select("room", "addr", "place")
+    other = plain.select("room", F.col("addr").alias("other"), F.lit(False).alias("other_seed"), "place")
+    other = other.unionByName(members.where("seed").select("room", F.col("addr").alias("other"), F.lit(True).alias("other_seed"), F.lit(0).alias("place")))
+    seeds = members.where("seed").groupBy("room").agg(F.count("*").alias("seeds"))
+    asking = members.select("room", "addr", "seed").join(plain.withColumnRenamed("place", "own_place"), ["room", "addr"], "left").join(seeds, "room", "left")
+    met = asking.join(other, "room").where("addr <> other")
+    # Its place among the others once the member itself is out of the list, and the seeds that come before.
+    place = F.col("place") - F.when(~F.col("seed") & (F.col("own_place") < F.col("place")), 1).otherwise(0)
+    told = F.col("other_seed") | (place + F.coalesce("seeds", F.lit(0)) - F.col("seed").cast("int") <= most)
+    return met.where(told).select("addr", "room", "other")
 
 
 def pair_offers(offers: DataFrame, takes: DataFrame, ttl: str) -> DataFrame:
     """(kind, ref, id, offer, verdict): offers and takes of an id in the order of time.  An offer is live for
     ``ttl`` or until taken; an offer while one is live is a duplicate; a take without a live offer is
-    rejected.  The fold is over one id's own rows."""
-    span = F.expr(f"cast(interval {ttl} as interval day to second)")
+    rejected.  An id's rows are folded as a sorted stream, which holds one offer."""
+    span = spark_seconds(ttl)
     rows = offers.select("id", "ts", F.lit("offer").alias("kind"), F.col("offer").alias("ref")).unionByName(
         takes.select("id", "ts", F.lit("take").alias("kind"), F.col("take").alias("ref"))
     )
-    step_type = "struct<live:bigint,until:timestamp,out:array<struct<kind:string,ref:bigint,offer:bigint,verdict:string>>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("live"), F.lit(None).cast("timestamp").alias("until"), F.array().alias("out")).cast(step_type)
-
-    def step(state, row):
-        live = state["live"].isNotNull() & (row["ts"] <= state["until"])
-        is_offer = row["kind"] == "offer"
-        verdict = F.when(is_offer, F.when(live, "duplicate").otherwise("open")).otherwise(F.when(live, "paired").otherwise("rejected"))
-        done = F.struct(row["kind"].alias("kind"), row["ref"].alias("ref"), F.when(~is_offer & live, state["live"]).alias("offer"), verdict.alias("verdict"))
-        held = F.when(is_offer, F.when(live, state["live"]).otherwise(row["ref"]))
-        until = F.when(is_offer, F.when(live, state["until"]).otherwise(row["ts"] + span))
-        return F.struct(held.alias("live"), until.alias("until"), F.concat(state["out"], F.array(done)).alias("out")).cast(step_type)
-
-    folded = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "kind", "ref"))).alias("rows"))
-    return folded.select("id", F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select("id", "x.*")
+    names = ["id", "ts", "kind", "ref"]
+
+    def step(key: tuple, held: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
+        ts, kind, ref = row
+        live = held is not None and ts <= held[1]
+        if kind == "offer":
+            return (held if live else (ref, ts + span)), (kind, ref, None, "duplicate" if live else "open")
+        return None, (kind, ref, held[0] if live else None, "paired" if live else "rejected")
+
+    return fold_sorted(rows.select(*names), ["id"], ["ts", "kind", "ref"], step, "kind string, ref long, offer long, verdict string")
 
 
 def changed_during(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from syncframe.operators.folds import fold_sorted
+
 
 def entry_hash(prev: Column, seq: Column, ts: Column, event: Column, detail: Column) -> Column:
     nul = F.lit("\0")
@@ -12,23 +16,30 @@ def entry_hash(prev: Column, seq: Column, ts: Column, event: Column, detail: Col
 
 
 def append_journal(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """(journal, seq, ts, event, detail, prev, hash): entries chained behind each journal's head (journal, seq, hash).
-    A chain is serial within a journal; the work spreads over journals."""
-    entry = "struct<seq:bigint,ts:string,event:string,detail:string,prev:string,hash:string>"
-    grouped = rows.groupBy("journal").agg(F.array_sort(F.collect_list(F.struct("ord", "ts", "event", "detail"))).alias("all"))
+    """(journal, seq, ts, event, detail, prev, hash): entries (journal, ord, ts, event, detail) chained behind each journal's
+    head (journal, seq, hash).
+
+    A chain is serial within a journal: its rows are hashed as a sorted stream that holds the last hash; the work spreads
+    over journals."""
+    known = rows.select("journal", "ord", "ts", "event", "detail")
     if heads is None:
-        grouped = grouped.withColumns({"seq": F.lit(0).cast("long"), "hash": F.lit("")})
+        known = known.withColumns({"seq": F.lit(0).cast("long"), "head": F.lit("")})
     else:
-        grouped = grouped.join(heads, "journal", "left").withColumns({"seq": F.coalesce("seq", F.lit(0).cast("long")), "hash": F.coalesce("hash", F.lit(""))})
-    start = F.struct(F.col("seq").cast("long").alias("seq"), F.col("hash").alias("hash"), F.array().cast(f"array<{entry}>").alias("out"))
+        first = heads.select("journal", F.col("seq").cast("long").alias("seq"), F.col("hash").alias("head"))
+        known = known.join(first, "journal", "left").withColumns({"seq": F.coalesce("seq", F.lit(0).cast("long")), "head": F.coalesce("head", F.lit(""))})
+
+    def step(key: tuple, held: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        _, ts, event, detail, seq, head = row
+        seq, prev = held or (seq, head)
+        mark = chained(prev, seq + 1, ts, event, detail)
+        return (seq + 1, mark), (seq + 1, ts, event, detail, prev, mark)
+
+    return fold_sorted(known, ["journal"], ["ord", "ts", "event", "detail"], step, "seq long, ts string, event string, detail string, prev string, hash string")
 
-    def step(state, r):
-        seq = state["seq"] + 1
-        mark = entry_hash(state["hash"], seq, r["ts"], r["event"], r["detail"])
-        done = F.struct(seq.alias("seq"), r["ts"].alias("ts"), r["event"].alias("event"), r["detail"].alias("detail"), state["hash"].alias("prev"), mark.alias("hash"))
-        return F.struct(seq.alias("seq"), mark.alias("hash"), F.concat(state["out"], F.array(done)).alias("out"))
 
-    return grouped.select("journal", F.explode(F.aggregate("all", start, step)["out"]).alias("x")).select("journal", "x.*")
+def chained(prev: str, seq: int, ts: str, event: str, detail: str) -> str:
+    """The hash of an entry, as ``entry_hash`` computes it."""
+    return hashlib.sha256(f"{prev}\0{seq}\0{ts}\0{event}\0{detail}".encode()).hexdigest()
 
 
 def with_computed(journal: DataFrame) -> DataFrame:

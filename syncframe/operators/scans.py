@@ -42,15 +42,16 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "number", s
 
 
 def running(
-    rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], how: Callable[[Column], Column] = F.sum, save: Callable[[DataFrame], DataFrame] = cut,
+    rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], how: Callable[[Column], Column] = F.sum, before: bool = False,
+    save: Callable[[DataFrame], DataFrame] = cut,
 ) -> DataFrame:
-    """Adds, under each name in ``values``, its column folded over the rows of the same keys up to this one.
+    """Adds, under each name in ``values``, its column folded over the rows of the same keys up to this one, or ``before`` it.
 
     ``how`` is an aggregate that may be folded from partial results: ``sum``, ``max`` or ``min``.  Null keys are a key;
     nulls among the values are passed over.  Rows that tie in ``order`` fall as they lie."""
     laid = save(rows.withColumns(values).repartitionByRange(_parts(rows), *keys, *order).withColumn("_part", F.spark_partition_id()))
     group, names = F.struct(*keys), list(values)
-    local = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     ends = laid.groupBy("_part").agg(F.max(group).alias("_last"))
     tails = laid.join(F.broadcast(ends), "_part").where(group.eqNullSafe(F.col("_last"))).groupBy("_part", "_last").agg(*[how(F.col(n)).alias(n) for n in names])
     upto = Window.partitionBy("_last").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)

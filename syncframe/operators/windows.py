@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syncframe import functions as S
+from syncframe.operators.scans import numbered
 
 
 def _micros(ts: Column) -> Column:
@@ -18,23 +19,23 @@ def manifest_order(path: Column) -> Column:
 
 
 def number_entries(entries: DataFrame) -> DataFrame:
-    """Adds ``number``, from 1 in walk order.  Entries are counted by their top component, and numbered within it
-    behind the counts of the components before, so no window holds the whole tree."""
-    top = entries.withColumn("_top", F.element_at(S.components(F.col("path")), 1))
-    before = top.groupBy("_top").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_top")) - F.col("_n"))
-    local = F.row_number().over(Window.partitionBy("_top").orderBy(manifest_order(F.col("path"))))
-    return top.withColumn("_local", local).join(before.drop("_n"), "_top").withColumn("number", F.col("_before") + F.col("_local")).drop("_top", "_before", "_local")
+    """Adds ``number``, from 1 in walk order.  Entries are laid out by ranges of their components, so a tree with one top
+    directory is cut like any other; no window holds more than a part."""
+    return numbered(entries.withColumn("_walk", manifest_order(F.col("path"))), ["_walk"]).drop("_walk")
 
 
 def mark_hardlinks(entries: DataFrame) -> DataFrame:
     """Adds ``link_ref``: of the regular files that share device and inode the first keeps its data, the others
-    become hardlinks to it without a size.  Inode 0 is no inode."""
+    become hardlinks to it without a size.  Inode 0 is no inode.  Only inodes with several files are joined, on the least id
+    that partial aggregation found; entries without an inode go past it."""
     shared = (F.col("kind") == "file") & (F.col("ino") != 0)
-    first = F.when(shared, F.first("id").over(Window.partitionBy("dev", "ino", shared).orderBy("id")))
+    several = entries.where(shared).groupBy("dev", "ino").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    first = several.select(F.col("dev").alias("_dev"), F.col("ino").alias("_ino"), "_first")
+    joined = entries.join(first, shared & (F.col("dev") == F.col("_dev")) & (F.col("ino") == F.col("_ino")), "left")
     link = F.col("_first") != F.col("id")
-    return entries.withColumn("_first", first).withColumns({
+    return joined.withColumns({
         "link_ref": F.when(link, F.col("_first")), "size": F.when(link, 0).otherwise(F.col("size")), "kind": F.when(link, "hardlink").otherwise(F.col("kind")),
-    }).drop("_first")
+    }).drop("_first", "_dev", "_ino")
 
 
 def verify_chain(journal: DataFrame) -> DataFrame:

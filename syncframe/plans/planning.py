@@ -192,9 +192,12 @@ def prune_nested(listing):
     return joins.prune_nested(listing.select("path").unionByName(some).distinct())
 
 
-@query("WITH m AS (SELECT DISTINCT room, addr FROM announces) SELECT a.addr, a.room, b.addr AS other FROM m a JOIN m b ON a.room = b.room AND a.addr <> b.addr")
+@query("""WITH m AS (SELECT room, addr, bool_or(seed) AS seed FROM announces GROUP BY room, addr),
+r AS (SELECT a.addr, a.room, b.addr AS other, b.seed, row_number() OVER (PARTITION BY a.room, a.addr ORDER BY b.seed DESC, md5(b.addr || '#0'), b.addr) AS n FROM m a JOIN m b ON a.room = b.room AND a.addr <> b.addr)
+SELECT addr, room, other FROM r WHERE n <= 4 OR seed""")
 def room_members(announces):
-    return joins.room_members(announces.select("room", "addr").distinct())
+    """What each announce is told: all seeds, and others up to four."""
+    return joins.room_members(_members(announces), 4)
 
 
 @query("""WITH RECURSIVE r AS (SELECT id, ts, 'offer' AS kind, offer AS ref FROM offers UNION ALL SELECT id, ts, 'take', take FROM takes),
@@ -526,10 +529,11 @@ def snapshot_diff(src_files, dst_files):
     return sets.snapshot_diff(src_files, dst_files)
 
 
-@query("SELECT node, name FROM envelopes WHERE version % 3 = 0 EXCEPT SELECT node, name FROM envelopes WHERE version % 2 = 0")
+@query("SELECT node, name, addr FROM envelopes WHERE version % 7 = 0 EXCEPT SELECT node, name, addr FROM envelopes WHERE version % 60 = 0")
 def revoked_names(envelopes):
-    names = lambda rule: envelopes.where(rule).select("node", "name")
-    return names("version % 3 = 0").subtract(names("version % 2 = 0"))
+    """Endpoints that a node's earlier envelopes had and its later ones do not."""
+    names = lambda rule: envelopes.where(rule).select("node", "name", "addr")
+    return names("version % 7 = 0").subtract(names("version % 60 = 0"))
 
 
 @query(f"WITH {_chunks('src_files', 'c')} SELECT path, idx, {IDENT} AS hash FROM c")

@@ -37,12 +37,12 @@ def _tree(src_files: DataFrame) -> str:
     return root
 
 
-@query("SELECT path, true AS ok, sha256(content) AS got_sha FROM src_files WHERE size > 0")
+@query("SELECT path, true AS ok, sha256(content) AS got_sha FROM src_files")
 def assemble_files(src_files):
     return _assembled(src_files, _folder(src_files.sparkSession).removeprefix("file://").removeprefix("file:"))
 
 
-@query("SELECT path, 'file' AS kind, size FROM src_files WHERE size > 0")
+@query("SELECT path, 'file' AS kind, size FROM src_files")
 def read_inventory(src_files):
     return sources.read_inventory(src_files.sparkSession, [_tree(src_files)], levels=2).where("kind = 'file'").select("path", "kind", "size")
 
@@ -52,7 +52,7 @@ def read_chunks(src_files):
     return sources.read_chunks(sources.read_inventory(src_files.sparkSession, [_tree(src_files)], levels=2), 1024).select("path", "idx", "len", "sha")
 
 
-@query("SELECT path, size, sha256(content) AS sha FROM src_files WHERE size > 0")
+@query("SELECT path, size, sha256(content) AS sha FROM src_files")
 def read_blobs(src_files):
     root = _tree(src_files)
     path = F.regexp_extract("path", rf"{root.rpartition('/')[2]}/(.*)$", 1)
@@ -129,3 +129,49 @@ def apply_mirror(src_files, dst_files):
     parts = [sets.mirror_state(src, dst, plan.select("path", "idx", "send")) for plan in (same, changed)]
     sinks.apply_mirror(*parts, folder)
     return spark.read.parquet(folder)
+
+
+@query(f"WITH {_chunks('src_files', 'c')} SELECT path, idx, {IDENT} AS hash FROM c")
+def mirror_deletes_applied(src_files, dst_files):
+    """The destination's chunk table after the source was mirrored into it, with deletes: its oracle is the source."""
+    spark, folder = src_files.sparkSession, _folder(src_files.sparkSession)
+    ident = S.chunk_id(F.col("path"), F.col("idx"), F.col("payload")).alias("hash")
+    src, dst = (chunks_of(x, 256).select("path", "idx", ident) for x in (src_files, dst_files))
+    sinks.mirror_into(dst, folder)
+    sinks.mirror_into(src, folder)
+    return spark.read.parquet(folder).select("path", "idx", "hash")
+
+
+@query(f"WITH {_chunks('src_files', 'c')} SELECT path, idx, sha256(payload) AS sha FROM c")
+def write_spec(src_files):
+    """The chunks of a descriptor of all files, as written."""
+    spark, folder = src_files.sparkSession, _folder(src_files.sparkSession)
+    _described(src_files, folder)
+    files = F.explode(F.from_json("value", "struct<file_entries:array<struct<path:string,chunks:array<string>>>>").file_entries)
+    return spark.read.text(folder, wholetext=True).select(files.alias("f")).select("f.path", F.posexplode("f.chunks").alias("idx", "sha")).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query("SELECT path, size, CAST(mode AS BIGINT) AS mode, sha256(content) AS sha FROM src_files")
+def read_spec(src_files):
+    """The files of a descriptor, written, read back and proved by its id."""
+    folder = _folder(src_files.sparkSession)
+    _described(src_files, folder)
+    return sources.read_spec(src_files.sparkSession, folder)[0]
+
+
+def _described(src_files: DataFrame, folder: str) -> None:
+    files = src_files.select("path", "size", "mode", F.sha2("content", 256).alias("sha"))
+    chunks = chunks_of(src_files, 256).select("path", "idx", F.sha2("payload", 256).alias("sha"))
+    sinks.write_spec(files, chunks, aggregates.spec_hash(files, chunks), folder, "all")
+
+
+@query("""WITH n AS (SELECT session AS journal, count(*) AS n FROM sessions_log GROUP BY session)
+SELECT journal, n AS intact, CAST(NULL AS VARCHAR) AS problem FROM n""")
+def append_to_journal(sessions_log):
+    """Journals that two appends have written, each behind what was there, as a reader verifies them."""
+    spark, folder = sessions_log.sparkSession, _folder(sessions_log.sparkSession)
+    rows = sessions_log.select(F.col("session").alias("journal"), F.col("turn").alias("ord"), F.concat(F.lit("t"), "turn").alias("ts"), "event", F.col("bytes").cast("string").alias("detail"))
+    for part in (rows.where("ord < 2"), rows.where("ord >= 2")):
+        sinks.append_to_journal(part, folder)
+    read = with_computed(sources.read_journal(spark, folder).withColumn("journal", F.regexp_extract("journal", "journal=([0-9]+)$", 1).cast("long")))
+    return windows.verify_chain(read)

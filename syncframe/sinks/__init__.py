@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from syncframe.functions import is_resume_state
+from syncframe.operators.journal import append_journal
+from syncframe.operators.scans import cut
+from syncframe.sources.documents import journal_heads
+
 
 def exposition(counters: DataFrame, prefix: str = "server") -> DataFrame:
     """(name, type, value, line) of a one-row table of counters, in the text format of metrics scrapers."""
@@ -62,14 +67,106 @@ def apply_mirror(kept: DataFrame, sent: DataFrame, path: str) -> None:
     kept.unionByName(sent).write.mode("overwrite").parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def _rewrite(content: DataFrame, touched: DataFrame, folder: str) -> None:
+    """Puts ``content`` in the place of the touched buckets: staged first, as it is read from the folder that it goes to."""
+    staged = cut(content)
+    full = {r.bucket for r in staged.select("bucket").distinct().collect()}  # at most a row for each bucket
+    staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    for b in sorted({r.bucket for r in touched.select("bucket").collect()} - full):  # a bucket that has become empty
+        _remove(content.sparkSession, f"{folder}/bucket={b}")
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def replace_paths(rows: DataFrame, paths: DataFrame, folder: str, key: str = "path", buckets: int = 64) -> None:
+    """In the bucketed dataset of ``folder``, puts ``rows`` in the place of all that it has of ``paths``; rewrites their buckets only."""
+    spark = rows.sparkSession
+    new = rows.withColumn("bucket", _bucket(key, buckets))
+    if not exists(spark, folder):
+        spark.createDataFrame([], new.schema).write.partitionBy("bucket").parquet(folder)
+    old = spark.read.schema(new.schema).parquet(folder)
+    touched = cut(paths.select(_bucket(key, buckets).alias("bucket")).distinct())
+    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(paths.select(key).distinct(), key, "left_anti").select(*new.columns)
+    _rewrite(kept.unionByName(new), touched, folder)
+
+
+def mirror_into(src: DataFrame, folder: str, key: str = "path", same: tuple[str, ...] = ("idx", "hash"), delete: bool = True, buckets: int = 64, protect: Column | None = None) -> DataFrame:
+    """Makes the dataset in ``folder`` a mirror of ``src`` and returns (bucket, added, changed, deleted) of the buckets that were
+    rewritten.
+
+    The dataset is partitioned by a hash of the path, fixed by its first write.  Rows of the same path and ``same`` columns are
+    equal; a bucket whose rows all are stays as it is, files and names included.  Of the others the new content is staged
+    in the checkpoint folder and takes their place by dynamic partition overwrite, so a run that dies before leaves the
+    destination whole, and one that is repeated finds nothing to do.  Paths that the source does not have go if ``delete``,
+    but for those that ``protect`` holds for (resume states, by default)."""
+    spark = src.sparkSession
+    new = src.withColumn("bucket", _bucket(key, buckets))
+    if not exists(spark, folder):
+        spark.createDataFrame([], new.schema).write.partitionBy("bucket").parquet(folder)
+    old = spark.read.schema(new.schema).parquet(folder)
+    keys = [key, *same]
+    gone = old.join(new.select(key).distinct(), key, "left_anti")
+    held = protect if protect is not None else is_resume_state(F.col(key))
+    staying = gone if not delete else gone.where(held)
+    leaving = gone.where(~held) if delete else gone.limit(0)
+    fresh = new.join(old.select(*keys), keys, "left_anti").join(old.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    worn = old.join(new.select(*keys), keys, "left_anti").join(new.select(key).distinct(), key, "left_semi")
+    changes = fresh.select("bucket", key, F.when(F.col("_known"), "changed").otherwise("added").alias("what"))
+    changes = changes.unionByName(worn.select("bucket", key, F.lit("changed").alias("what"))).unionByName(leaving.select("bucket", key, F.lit("deleted").alias("what")))
+    paths = changes.distinct().groupBy("bucket").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("added", "changed", "deleted")])
+    touched = cut(paths)
+    content = new.unionByName(staying).join(F.broadcast(touched.select("bucket")), "bucket", "left_semi")  # at most a row for each bucket
+    _rewrite(content.select(*new.columns), touched, folder)
+    return touched
+
+
+def append_to_journal(rows: DataFrame, folder: str) -> None:
+    """Appends entries (journal, ord, ts, event, detail) to the journals ``folder/journal=<name>``, each as a further piece.
+
+    Entries chain behind the intact head of their journal.  A torn tail, which a writer that died has left, stays in its own
+    piece, where it hides nothing that comes later.  If a journal that is appended to has whole lines that do not parse, that
+    is no torn tail but evidence: nothing at all is written and the journals are named."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("journal", F.col("journal").cast("string"))
+    gen, heads = F.lit(0).cast("long"), None
+    if exists(spark, folder):
+        name = F.url_decode(F.regexp_extract("journal", r"journal=([^/]*)$", 1))
+        heads = cut(journal_heads(spark, folder).withColumn("journal", name).join(rows.select("journal").distinct(), "journal", "left_semi"))
+        corrupt = [r.journal for r in heads.where("corrupt").orderBy("journal").limit(5).collect()]
+        if corrupt:
+            raise ValueError(f"journals with unreadable entries before their end, nothing is appended: {', '.join(corrupt)}")
+    chained = append_journal(rows, None if heads is None else heads.select("journal", "seq", "hash"))
+    if heads is not None:
+        chained = chained.join(heads.select("journal", F.col("gen").alias("last")), "journal", "left")
+        gen = F.coalesce(F.col("last") + 1, F.lit(0).cast("long"))
+    text = [F.to_json(F.struct(F.col(c).alias("v"))) for c in ("ts", "event")]
+    ts, event = (F.substring(t, 6, 2**31 - 1) for t in text)  # as JSON text, without {"v": and }
+    ts, event = (F.regexp_replace(t, r"\}$", "") for t in (ts, event))
+    line = F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit(',"ts":'), ts, F.lit(',"event":'), event, F.lit(',"detail":'), "detail", F.lit(',"prev":"'), "prev", F.lit('","hash":"'), "hash", F.lit('"}'))
+    lines = chained.select("journal", F.format_string("%08d", gen).alias("gen"), "seq", line.alias("value")).repartition("journal").sortWithinPartitions("journal", "gen", "seq")
+    lines.select("journal", "gen", "value").write.mode("append").partitionBy("journal", "gen").text(folder)
+
+
 def assemble_files(chunks: DataFrame, wanted: DataFrame, dest: str) -> DataFrame:
     """(path, ok, got_sha): files written under ``dest``, a folder that all executors share, from (path, idx, off, payload,
     sha) and checked against (path, sha) of ``wanted``.
 
     A file's chunks go in order through one task that writes and hashes as it reads, so memory holds one chunk; a
-    chunk that fails its hash, or a whole file that does, leaves no file."""
+    chunk that fails its hash, or a whole file that does, leaves no file.  A wanted file without chunks is an empty file."""
     whole = wanted.select("path", F.col("sha").alias("want"))
-    rows = chunks.join(whole, "path").select("path", "idx", "off", "payload", "sha", "want").repartition("path").sortWithinPartitions("path", "idx")
+    rows = whole.join(chunks, "path", "left").select("path", "idx", "off", "payload", "sha", "want").repartition("path").sortWithinPartitions("path", "idx")
 
     def write(batches):
         import hashlib
@@ -102,6 +199,8 @@ def assemble_files(chunks: DataFrame, wanted: DataFrame, dest: str) -> DataFrame
                     os.makedirs(os.path.dirname(full), exist_ok=True)
                     part = f"{full}.fs-part-{os.getpid()}"
                     file = open(part, "wb")  # noqa: SIM115
+                if payload is None:  # no chunk
+                    continue
                 sound &= hashlib.sha256(payload).hexdigest() == mark and file.tell() == off
                 file.write(payload)
                 sha.update(payload)

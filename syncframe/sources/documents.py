@@ -22,18 +22,58 @@ POLICY = "endpoints map<string,struct<addr:string,include:array<string>,exclude:
 ENVELOPE = f"version bigint, origin string, ts string, endpoints map<string,{ENDPOINT}>, pubkey string, sig string"
 
 
+def journal_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(journal, piece, line_no, line, whole) of journals as text: one file, or a folder of pieces ``gen=<number>`` that later
+    appends have added.
+
+    Files are split: a line's number is its place in its block behind the line counts of the blocks and pieces before, so
+    no task needs a file as a whole.  A line is whole if a newline ends it: the lines' bytes say whether the file ends with one."""
+    meta = F.col("_metadata")
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    gen = r"/gen=([0-9]+)/[^/]*$"
+    rows = text.select(
+        F.regexp_replace(meta.file_path, gen, "").alias("journal"), F.coalesce(F.regexp_extract(meta.file_path, gen, 1).try_cast("long"), F.lit(0).cast("long")).alias("gen"),
+        meta.file_path.alias("file"), meta.file_block_start.alias("block"), meta.file_size.alias("bytes"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"),
+    )
+    piece = ["journal", "gen", "file", "bytes"]
+    local = F.row_number().over(Window.partitionBy(*piece, "block").orderBy("at"))
+    placed = rows.withColumn("local", local)
+    blocks = rows.groupBy(*piece, "block").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("seen"))
+    behind = Window.partitionBy("journal").orderBy("gen", "file", "block")
+    last = F.lead("block").over(Window.partitionBy(*piece).orderBy("block")).isNull()
+    torn = F.sum("seen").over(Window.partitionBy(*piece)) > F.col("bytes")
+    blocks = blocks.select(*piece, "block", "n", (F.sum("n").over(behind) - F.col("n")).alias("before"), (last & torn).alias("torn"))
+    joined = placed.join(blocks, [*piece, "block"])
+    whole = ~(F.col("torn") & (F.col("local") == F.col("n")))
+    return joined.select("journal", "gen", (F.col("before") + F.col("local") - 1).alias("line_no"), "line", whole.alias("whole"))
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """(journal, line_no, seq, ts, event, detail, prev, hash) of the intact prefix of each file.
+    """(journal, line_no, seq, ts, event, detail, prev, hash) of the intact prefix of each journal.
 
     Blank lines are skipped; the first whole line that does not parse ends the prefix; a last line without a
     newline is a torn tail and is left out.  ``detail`` is the text as written, which the hash covers."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("journal"), "value")
-    lines = text.select("journal", F.posexplode(F.split("value", "\n")).alias("line_no", "line"), (F.size(F.split("value", "\n")) - 1).alias("last"))
-    whole = lines.where("line_no < last and line <> ''").withColumn("e", F.from_json("line", ENTRY))
-    sound = F.col("e.seq").isNotNull() & F.col("e.hash").isNotNull()
-    intact = F.min(sound.cast("int")).over(Window.partitionBy("journal").orderBy("line_no"))
+    entries = _entries(spark, path)
+    broken = entries.where("not sound").groupBy("journal").agg(F.min("line_no").alias("stop"))
+    kept = entries.join(broken, "journal", "left").where("sound and (stop is null or line_no < stop)")
     detail = F.regexp_extract("line", r'"detail":(.*),"prev":"[0-9a-f]*","hash":"[0-9a-f]*"\}$', 1)
-    return whole.withColumn("intact", intact).where("intact = 1").select("journal", "line_no", "e.seq", "e.ts", "e.event", detail.alias("detail"), "e.prev", "e.hash")
+    return kept.select("journal", "line_no", "e.seq", "e.ts", "e.event", detail.alias("detail"), "e.prev", "e.hash")
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    lines = journal_lines(spark, path).where("whole and line <> ''").withColumn("e", F.from_json("line", ENTRY))
+    return lines.withColumn("sound", F.col("e.seq").isNotNull() & F.col("e.hash").isNotNull())
+
+
+def journal_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(journal, gen, seq, hash, corrupt): where each journal's intact prefix ends, its newest piece, and whether whole lines
+    that do not parse follow."""
+    entries = _entries(spark, path)
+    broken = entries.where("not sound").groupBy("journal").agg(F.min("line_no").alias("stop"))
+    seen = entries.join(broken, "journal", "left")
+    head = F.max_by(F.struct("e.seq", "e.hash"), F.when(F.col("sound") & (F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))), F.col("line_no")))
+    found = seen.groupBy("journal").agg(F.max("gen").alias("gen"), head.alias("head"), F.bool_or(F.col("stop").isNotNull()).alias("corrupt"))
+    return found.select("journal", "gen", F.coalesce("head.seq", F.lit(0).cast("long")).alias("seq"), F.coalesce("head.hash", F.lit("")).alias("hash"), "corrupt")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Event streams.  Functions with a ``watermark`` work on batch and on streaming DataFrames alike; the others are
-the batch forms of the folds in ``stateful``.  All spans of time are parameters."""
+the batch forms of the rules in ``timed``.  All spans of time are parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from syncframe.operators.scans import running
+
 
 def _marked(events: DataFrame, watermark: str | None) -> DataFrame:
     return events.withWatermark("ts", watermark) if watermark and events.isStreaming else events
@@ -69,22 +71,21 @@ def stalled(events: DataFrame, idle: str, end: str) -> DataFrame:
 
 
 def apply_envelopes(envelopes: DataFrame, now: str, age: str = "30 days") -> DataFrame:
-    """(node, version, verdict, applied): each node's envelopes in the order of time, against the version it holds."""
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<version:bigint,verdict:string,applied:bigint>>").alias("out"))
-    old = F.to_timestamp(F.lit(now)).cast("timestamp_ntz") - F.expr(f"interval {age}")
+    """(node, version, verdict, applied): each node's envelopes in the order of time, against the version it holds.
 
-    def step(state, e):
-        held = state["held"]
-        verdict = (
-            F.when(~e["key_ok"], "foreign key").when((e["version"] == held) & e["sig_ok"], "same").when(e["version"] <= held, "stale")
-            .when(~e["sig_ok"], "bad signature").when((held == 0) & (e["ts"] < old), "too old").otherwise("applied")
-        )
-        now_held = F.when(verdict == "applied", e["version"]).otherwise(held)
-        done = F.struct(e["version"].alias("version"), verdict.alias("verdict"), now_held.alias("applied"))
-        return F.struct(now_held.alias("held"), F.concat(state["out"], F.array(done)).alias("out"))
-
-    ordered = envelopes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("ts", "version", "sig_ok", "key_ok"))).alias("all"))
-    return ordered.select("node", F.explode(F.aggregate("all", start, step)["out"]).alias("x")).select("node", "x.*")
+    What a node holds before an envelope is the greatest version among its earlier sound envelopes that are young enough:
+    as rows come by time, none of the older ones can have been taken, and after the first no age counts.  So it is a running
+    maximum, carried from part to part; no array or window holds a node's rows."""
+    old = F.to_timestamp(F.lit(now)).cast("timestamp_ntz") - F.expr(f"interval {age}")
+    sound = F.col("key_ok") & F.col("sig_ok")
+    taken = F.when(sound & (F.col("ts") >= old) & (F.col("version") > 0), F.col("version"))
+    seen = running(envelopes.select("node", "ts", "version", "sig_ok", "key_ok"), ["node"], ["ts", "version", "sig_ok", "key_ok"], {"held": taken}, F.max, before=True)
+    held, version = F.coalesce("held", F.lit(0).cast("long")), F.col("version")
+    verdict = (
+        F.when(~F.col("key_ok"), "foreign key").when((version == held) & F.col("sig_ok"), "same").when(version <= held, "stale")
+        .when(~F.col("sig_ok"), "bad signature").when((held == 0) & (F.col("ts") < old), "too old").otherwise("applied")
+    )
+    return seen.select("node", "version", verdict.alias("verdict"), F.when(verdict == "applied", version).otherwise(held).alias("applied"))
 
 
 def chunk_arrivals(arrivals: DataFrame, counts: DataFrame) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Stateful streams: small folds over the rows of a key, kept in Spark's state store.
+"""Stateful streams without deadlines: small folds over the rows of a key, kept in Spark's state store.
 
 A fold takes the key, its state (any JSON value, None at first) and one row, and returns the new state and the rows
 to emit.  Rows of a micro-batch are folded in the order of their time."""
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from syncframe.operators.journal import chained
+
 Fold = Callable[[tuple, object, dict], tuple[object, list[tuple]]]
 
 
@@ -33,39 +34,6 @@ def fold_stream(rows: DataFrame, keys: list[str], order: list[str], fold: Fold,
     return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def pair_stream(rows: DataFrame, ttl_seconds: float) -> DataFrame:
-    """(kind, ref, id, offer, verdict) of offers and takes (id, ts, kind, ref) with one-shot use and expiry."""
-
-    def fold(key, held, row):
-        at = pd.Timestamp(row["ts"]).value / 1e9
-        live = held is not None and at <= held[1]
-        if row["kind"] == "offer":
-            held = held if live else [int(row["ref"]), at + ttl_seconds]
-            return held, [("offer", int(row["ref"]), int(key[0]), None, "duplicate" if live else "open")]
-        return None, [("take", int(row["ref"]), int(key[0]), held[0] if live else None, "paired" if live else "rejected")]
-
-    return fold_stream(rows, ["id"], ["ts", "kind", "ref"], fold, "kind string, ref long, id long, offer long, verdict string")
-
-
-def arrivals_stream(rows: DataFrame) -> DataFrame:
-    """(path, idx, what) for (path, idx, chunk_count, ts): new or out of range, and complete once."""
-
-    def fold(key, held, row):
-        seen, done = held or [[], False]
-        idx, count = int(row["idx"]), int(row["chunk_count"])
-        if not 0 <= idx < count:
-            return [seen, done], [(key[0], idx, "out of range")]
-        if idx in seen:
-            return [seen, done], []
-        seen = [*seen, idx]
-        out = [(key[0], idx, "new")]
-        if len(seen) == count and not done:
-            out.append((key[0], idx, "complete"))
-        return [seen, len(seen) == count], out
-
-    return fold_stream(rows, ["path"], ["ts"], fold, "path string, idx long, what string")
-
-
 def ban_stream(rows: DataFrame) -> DataFrame:
     """(session, peer, ref, banned) for fetches (session, peer, ts, ref, ok): rows after the first failing one."""
 
@@ -76,66 +44,12 @@ def ban_stream(rows: DataFrame) -> DataFrame:
     return fold_stream(rows, ["session", "peer"], ["ts", "ref"], fold, "session long, peer string, ref long, banned boolean")
 
 
-def envelope_stream(rows: DataFrame) -> DataFrame:
-    """(node, version, verdict) for envelopes (node, ts, version, sig_ok, key_ok)."""
-
-    def fold(key, held, row):
-        held, version = held or 0, int(row["version"])
-        if not row["key_ok"]:
-            verdict = "foreign key"
-        elif version == held and row["sig_ok"]:
-            verdict = "same"
-        elif version <= held:
-            verdict = "stale"
-        elif not row["sig_ok"]:
-            verdict = "bad signature"
-        else:
-            verdict, held = "applied", version
-        return held, [(int(key[0]), version, verdict)]
-
-    return fold_stream(rows, ["node"], ["ts", "version"], fold, "node long, version long, verdict string")
-
-
-def stall_stream(rows: DataFrame, idle_seconds: float) -> DataFrame:
-    """(session, since, until) in epoch seconds, when an event shows that the session was idle too long before it."""
-
-    def fold(key, held, row):
-        at = pd.Timestamp(row["ts"]).value / 1e9
-        return at, [(int(key[0]), held, at)] if held is not None and at - held > idle_seconds else []
-
-    return fold_stream(rows, ["session"], ["ts"], fold, "session long, since double, until double")
-
-
-def room_stream(rows: DataFrame, member_seconds: float, seed_seconds: float) -> DataFrame:
-    """(room, addr, what) for announces (room, addr, ts, seed): joined, refreshed or, at the announce that shows it,
-    rejoined after expiry.  Only joining sets the seed flag."""
-
-    def fold(key, held, row):
-        at = pd.Timestamp(row["ts"]).value / 1e9
-        if held is None:
-            return [at, bool(row["seed"])], [(int(key[0]), key[1], "joined")]
-        if at > held[0] + (seed_seconds if held[1] else member_seconds):
-            return [at, bool(row["seed"])], [(int(key[0]), key[1], "rejoined")]
-        return [at, held[1]], [(int(key[0]), key[1], "refreshed")]
-
-    return fold_stream(rows, ["room", "addr"], ["ts"], fold, "room long, addr string, what string")
-
-
-def entry_hash(prev: str, seq: int, ts: str, event: str, detail: str) -> str:
-    return hashlib.sha256(f"{prev}\0{seq}\0{ts}\0{event}\0{detail}".encode()).hexdigest()
-
-
 def journal_stream(rows: DataFrame) -> DataFrame:
     """(journal, seq, ts, event, detail, prev, hash): chained entries of (journal, ord, ts, event, detail)."""
 
     def fold(key, held, row):
         seq, prev = held or [0, ""]
-        mark = entry_hash(prev, seq + 1, row["ts"], row["event"], row["detail"])
+        mark = chained(prev, seq + 1, row["ts"], row["event"], row["detail"])
         return [seq + 1, mark], [(key[0], seq + 1, row["ts"], row["event"], row["detail"], prev, mark)]
 
     return fold_stream(rows, ["journal"], ["ord"], fold, "journal string, seq long, ts string, event string, detail string, prev string, hash string")
-
-
-def continuous_mirror(stream: DataFrame, plan: Callable[[DataFrame, int], None], checkpoint: str):
-    """Runs ``plan`` on each micro-batch of changed entries until what is there has been handled."""
-    return stream.writeStream.foreachBatch(plan).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

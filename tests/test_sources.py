@@ -4,10 +4,11 @@ import hashlib
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from syncframe import sinks, sources, streaming
-from syncframe.operators import aggregates, joins, windows
+from syncframe.operators import aggregates, windows
 from syncframe.operators.filters import chunks_of
 from syncframe.streaming import stateful
 
@@ -45,6 +46,9 @@ def test_chunks_and_assembly(spark, tmp_path):
     wanted = blobs.select("path", F.when(F.col("path") == "skip.log", "wrong").otherwise(F.sha2("content", 256)).alias("sha"))
     done = {r.path: r.ok for r in sinks.assemble_files(payloads, wanted, str(tmp_path / "dst")).collect()}
     assert done.pop("skip.log") is False and all(done.values())
+    none = spark.createDataFrame([], "path string, idx long, off long, payload binary, sha string")
+    empty = spark.createDataFrame([("e/empty", hashlib.sha256(b"").hexdigest())], "path string, sha string")
+    assert [r.ok for r in sinks.assemble_files(none, empty, str(tmp_path / "dst")).collect()] == [True] and (tmp_path / "dst/e/empty").read_bytes() == b""
     assert (tmp_path / "dst/sub/deep/y.txt").read_bytes() == b"y" * 3000 and not (tmp_path / "dst/skip.log").exists()
 
 
@@ -71,6 +75,66 @@ def test_journal_variants(spark, tmp_path):
     read = sources.read_journal(spark, str(tmp_path)).withColumn("journal", F.regexp_extract("journal", "([^/]+)$", 1))
     got = {r.journal: (r.intact, r.problem) for r in windows.verify_chain(with_computed(read)).collect()}
     assert got == {"good": (5, None), "torn": (5, None), "junk": (2, None), "edited": (2, "altered entry"), "lost": (1, "broken link")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # every file in many splits
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        split = sources.read_journal(spark, str(tmp_path)).withColumn("journal", F.regexp_extract("journal", "([^/]+)$", 1))
+        assert split.rdd.getNumPartitions() >= 1 and sources.journal_lines(spark, str(tmp_path)).count() == 5 + 6 + 5 + 5 + 4
+        assert sorted(map(tuple, split.collect())) == sorted(map(tuple, read.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+ENTRIES = "journal string, ord long, ts string, event string, detail string"
+
+
+def entries_of(spark, name, first, n):
+    return spark.createDataFrame([(name, k, f"t{k}", 'an "event"', json.dumps({"n": k})) for k in range(first, first + n)], ENTRIES)
+
+
+def verdicts(spark, folder):
+    from syncframe.operators.journal import with_computed
+
+    read = sources.read_journal(spark, folder).withColumn("journal", F.regexp_extract("journal", "journal=([^/]+)$", 1))
+    return {r.journal: (r.intact, r.problem) for r in windows.verify_chain(with_computed(read)).collect()}
+
+
+def pieces(tmp_path):
+    return {str(p): p.read_bytes() for p in (tmp_path / "j").rglob("*.txt")}
+
+
+def test_appends_go_on_after_a_torn_tail(spark, tmp_path):
+    folder = str(tmp_path / "j")
+    sinks.append_to_journal(entries_of(spark, "a b", 0, 3).unionByName(entries_of(spark, "c", 0, 2)), folder)
+    assert verdicts(spark, folder) == {"a b": (3, None), "c": (2, None)} or verdicts(spark, folder) == {"a%20b": (3, None), "c": (2, None)}
+    (torn,) = [p for p in (tmp_path / "j").rglob("*.txt") if "c" in p.parent.parent.name.split("=")[1]]
+    with open(torn, "ab") as f:
+        f.write(b'{"seq":3,"ts":"2026-01-01T00:00:0')
+    for crc in (tmp_path / "j").rglob(".*.crc"):
+        crc.unlink()
+    sinks.append_to_journal(entries_of(spark, "c", 2, 1), folder)
+    sinks.append_to_journal(entries_of(spark, "c", 3, 2).unionByName(entries_of(spark, "new", 0, 1)), folder)
+    assert verdicts(spark, folder)["c"] == (5, None) and verdicts(spark, folder)["new"] == (1, None)
+    seqs = [r.seq for r in sources.read_journal(spark, folder).where("journal like '%journal=c'").orderBy("line_no").collect()]
+    assert seqs == [1, 2, 3, 4, 5]
+
+
+def test_appends_are_refused_after_corruption(spark, tmp_path):
+    folder = str(tmp_path / "j")
+    sinks.append_to_journal(entries_of(spark, "a", 0, 5).unionByName(entries_of(spark, "b", 0, 2)), folder)
+    (path,) = [p for p in (tmp_path / "j").rglob("*.txt") if p.parent.parent.name == "journal=a"]
+    lines_ = path.read_text().split("\n")
+    lines_[2] = "{ tampered, not json"
+    path.write_text("\n".join(lines_))
+    for crc in (tmp_path / "j").rglob(".*.crc"):
+        crc.unlink()
+    before = pieces(tmp_path)
+    with pytest.raises(ValueError, match="a"):
+        sinks.append_to_journal(entries_of(spark, "b", 2, 1).unionByName(entries_of(spark, "a", 5, 1)), folder)
+    assert pieces(tmp_path) == before and verdicts(spark, folder) == {"a": (2, None), "b": (2, None)}
+    sinks.append_to_journal(entries_of(spark, "b", 2, 1), folder)  # other journals go on
+    assert verdicts(spark, folder) == {"a": (2, None), "b": (3, None)}
 
 
 def test_documents_round_trip(spark, tmp_path):
@@ -124,20 +188,7 @@ def test_stream_debounce_equals_batch(spark, sf_dir, tmp_path):
     assert streamed(spark, tmp_path, events, run, "complete").exceptAll(run(events)).isEmpty()
 
 
-def test_pair_stream_equals_batch(spark, sf_dir, tmp_path):
-    from syncframe.plans.registry import view
-
-    offers, takes = view(spark, sf_dir, "offers"), view(spark, sf_dir, "takes")
-    rows = offers.selectExpr("id", "cast(ts as timestamp) ts", "'offer' kind", "offer ref").unionByName(takes.selectExpr("id", "cast(ts as timestamp) ts", "'take' kind", "take ref"))
-    got = streamed(spark, tmp_path, rows, lambda s: stateful.pair_stream(s, 3 * 86400))
-    batch = joins.pair_offers(offers, takes, "3 days").select("kind", "ref", "id", "offer", "verdict")
-    assert got.count() == batch.count() and got.exceptAll(batch).isEmpty()
-
-
 def test_other_folds(spark, tmp_path):
-    arrivals = spark.createDataFrame([("f", 0, 2, 1), ("f", 0, 2, 2), ("f", 5, 2, 3), ("f", 1, 2, 4), ("f", 1, 2, 5)], "path string, idx long, chunk_count long, ts long")
-    got = sorted(tuple(r) for r in streamed(spark, tmp_path / "a", arrivals, stateful.arrivals_stream).collect())
-    assert got == [("f", 0, "new"), ("f", 1, "complete"), ("f", 1, "new"), ("f", 5, "out of range")]
     rows = spark.createDataFrame([("j", k, f"t{k}", "e", "{}") for k in range(4)], "journal string, ord long, ts string, event string, detail string")
     from syncframe.operators.journal import append_journal
 
