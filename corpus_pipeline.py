@@ -1,13 +1,14 @@
 """A training-data pipeline of five corpus operators, each stage written and read again.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``.  Null texts count as empty; extra columns of ``docs`` are kept as they are; an empty table goes
-through every stage."""
+``documents``.  Null texts count as empty; extra columns of ``docs`` are kept as they are; rows without an id, or of one id
+but different contents, are documents of their own; an empty table goes through every stage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from syncframe.llm.common import Workspace, order_key
 from syncframe.llm.line_dedup import line_dedup
@@ -16,48 +17,60 @@ from syncframe.llm.ngram_join import ngram_jaccard_join
 from syncframe.llm.packing import pack_documents
 from syncframe.llm.quality_classifier import quality_scores
 from syncframe.llm.queries import tokenizer_path
+from syncframe.operators.scans import numbered
 
 
-def _beside(docs: DataFrame, decisions: DataFrame, how: str) -> tuple[DataFrame, str]:
-    """Documents with an operator's decisions beside them, one row of decisions per id, and the mark in front of the
-    decisions' names, which no column of the documents starts with."""
-    mark = "op_"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark = f"_{mark}"
-    named = decisions.select([F.col(c).alias(mark + c) for c in decisions.columns]).dropDuplicates([f"{mark}doc_id"])
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col(f"{mark}doc_id")), how), mark
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """Documents with a column that names each row: a long that is never null or repeated and rises with the id; the column's
+    name, which the documents do not have; and whether it is the id itself.
+
+    It is, where the ids are sound.  Else rows are numbered by id, null last, and by all that they hold, so that rows without
+    an id and different texts of one id stay apart through an operator and find their own decisions again."""
+    row = "op_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType) and docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row, True
+    work = Workspace(docs.sparkSession)
+    order = [F.col("doc_id").isNull(), "doc_id", F.sha2(F.to_json(F.struct(*docs.columns)), 256)]
+    return numbered(docs, order, row, lambda x: work.save(x, "keyed")), row, False
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _beside(docs, scores.where("predicted = 0").select("doc_id"), "left_anti")[0]
+    keyed, row, same = _keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    if not same:
+        labels = labels.join(keyed.select("doc_id", row), "doc_id").drop("doc_id").withColumnRenamed(row, "doc_id")
+    scores = quality_scores(keyed.select(F.col(row).alias("doc_id"), "text"), labels)
+    return keyed.join(scores.where("predicted = 0").select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier document has; those with no line left go."""
-    cleaned = line_dedup(docs).where("n_removed > 0").select("doc_id", "n_lines", "n_removed", "cleaned_text")
-    joined, op = _beside(docs, cleaned, "left")
-    joined = joined.where(f"{op}n_removed is null or {op}n_removed < {op}n_lines")
-    text = F.coalesce(f"{op}cleaned_text", "text")
-    changed = {"text": text, "n_chars": F.when(F.col(f"{op}n_removed").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}
+    keyed, row, _ = _keyed(docs)
+    cleaned = line_dedup(keyed.select(F.col(row).alias("doc_id"), "text")).where("n_removed > 0")
+    cleaned = cleaned.select(F.col("doc_id").alias(row), F.struct("n_lines", "n_removed", "cleaned_text").alias(f"{row}_lines"))
+    cut = F.col(f"{row}_lines")
+    joined = keyed.join(cleaned, row, "left").where(cut.isNull() | (cut.n_removed < cut.n_lines))
+    text = F.when(cut.isNull(), F.col("text")).otherwise(cut.cleaned_text)
+    changed = {"text": text, "n_chars": F.when(cut.isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}
     return joined.select([changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest id; documents without words stay."""
-    groups = ngram_jaccard_join(docs).where("component_id <> doc_id")
-    return _beside(docs, groups.select("doc_id"), "left_anti")[0]
+    keyed, row, _ = _keyed(docs)
+    groups = ngram_jaccard_join(keyed.select(F.col(row).alias("doc_id"), "text")).where("component_id <> doc_id")
+    return keyed.join(groups.select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of their training positions."""
-    plan = curriculum_mix(docs).select("doc_id", "repeats", "position", "last_position").where("repeats > 0")
-    taken, op = _beside(docs, plan, "inner")
-    taken = taken.withColumn(f"{op}copy", F.explode(F.sequence(F.lit(1), F.col(f"{op}repeats"))))
-    share = (F.col(f"{op}copy") - 1) / F.greatest(F.col(f"{op}repeats") - 1, F.lit(1))
-    at = F.col(f"{op}position") + share * (F.col(f"{op}last_position") - F.col(f"{op}position"))
-    return taken.orderBy(at, order_key("doc_id"), "doc_id").select(docs.columns)
+    keyed, row, _ = _keyed(docs)
+    plan = curriculum_mix(keyed.select(F.col(row).alias("doc_id"), "text", "source"), copies=True)
+    plan = plan.select(F.col("doc_id").alias(row), F.col("position").alias(f"{row}_at"))
+    return keyed.join(plan, row).orderBy(f"{row}_at", order_key(row), row).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
