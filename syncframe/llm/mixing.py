@@ -10,10 +10,11 @@ from syncframe.llm.common import WORD, Workspace, order_key, text_of
 
 def curriculum_mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, slope: float = 0.5,
+    cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, slope: float = 0.5, copies: bool = False,
 ) -> DataFrame:
     """One row per input row, sorted by training position: doc_id, source, size, source_size, target,
-    repeats, taken, position, last_position.
+    repeats, taken, position, last_position.  With ``copies``, one row per copy that is taken: doc_id, source, size, copy
+    (from 0) and position, which inverts the demand for each copy's own words.
 
     ``size`` counts words.  Sources sorted by code point, null last, take their mean weight from
     ``cycle`` in turn and share all words; a target stops at ``most`` times the source's size and the
@@ -79,6 +80,11 @@ def curriculum_mix(
         root = (F.sqrt(rising * rising + 4 * F.col("_a") * u) - rising) / (2 * F.col("_a"))
         return F.when((F.col("repeats") > 0) & (F.col("target") > 0), F.when(F.col("_a") == 0, u).otherwise(root))
 
+    if copies:
+        each = placed.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
+        at = time_of(F.col("copy") * F.col("source_size") + F.col("_at"))
+        return each.select("doc_id", "source", "size", "copy", at.alias("position"), "_key").orderBy("position", "_key", "doc_id", "copy").drop("_key")
+
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"),
         time_of(F.col("_at")).alias("position"),
