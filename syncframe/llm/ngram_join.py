@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syncframe.llm.arrow import record_batch, texts_of
-from syncframe.llm.common import Workspace, text_of
+from syncframe.llm.common import Workspace, order_key, rank_within, text_of
 from syncframe.llm.components import connected_components
 from syncframe.llm.shingles import set_key, shingle_sets
 
@@ -194,20 +194,36 @@ def _crossing_short(lists: DataFrame) -> DataFrame:
     )
 
 
-def _crossing_long(work: Workspace, lists: DataFrame, texts: DataFrame) -> DataFrame:
+def _enough(shared: str) -> Column:
+    """Whether two documents that share so much at most can link."""
+    return F.expr(f"{TOP + BOTTOM} * ({shared}) >= {TOP} * (x.n + y.n)")
+
+
+def _neighbours(split: DataFrame, reach: int) -> DataFrame:
+    """Pairs (a, b) of a hub's members (hub, doc_id, component, n, inside) in different components: each member and the ``reach``
+    that follow it in a fixed pseudo-random order, if the sizes allow a link.
+
+    Where many members of a hub lie in components of their own, a few of their links join most of them.  Only hubs of
+    more than ``2 * reach`` members take part; pairs are at most ``reach`` for each member."""
+    sizes = split.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 2 * reach)
+    rows = split.select("hub", "doc_id", "component", "n", "inside").join(sizes, "hub").withColumn("order", order_key("doc_id"))
+    ranked = rank_within(rows, ["hub"], "order", ["doc_id"], "place").drop("order", "members")
+    ahead = ranked.withColumn("place", F.explode(F.sequence(F.col("place") + 1, F.col("place") + reach)))
+    shared = "least(x.inside, y.inside) + least(x.n - x.inside, y.n - y.inside)"
+    met = ahead.alias("x").join(ranked.alias("y"), F.expr(f"x.hub = y.hub and x.place = y.place and x.component <> y.component and {NEAR}"))
+    return met.where(_enough(shared)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
+def _crossing_long(work: Workspace, split: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that may link although they meet in long lists only.
 
     Two documents share at most the smaller of their two shares of the list's hub, and what they share beyond it.
     So they can only link if they share a shingle beyond the hub, or if what they share of the hub is enough for both
     sizes by itself.  The first kind meets by shingles beyond the hub: those that documents of other components have too
-    are counted for each hub, and multi-match prefixes put the ones of fewest documents first, so that a passage of
-    many documents brings those together only that have little else.  A document of which the hub has what a link takes lists
-    all, and two such are counted out.  The second kind meets by shingles within the hub, as many as a prefix of a document's
+    are counted for each hub, and members of equal sizes that have the same of them are one profile.  Profiles meet by
+    multi-match prefixes, which put the shingles of fewest documents first (one of which the hub has what a link takes lists
+    all), and those that meet are counted out before their members are paired.  The second kind meets by shingles within the hub, as many as a prefix of a document's
     share of the hub takes.  No pair is looked at that has no shingle in common."""
-    members = lists.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    component = lists.groupBy("doc_id").agg(F.first("component").alias("component"))
-    split = work.save(_beyond_hub(members, texts), "split").join(component, "doc_id")
-
     def crossing(side: str) -> DataFrame:
         """Tokens that documents of two components or more have, with the number of their documents."""
         rows = split.select("hub", "doc_id", "component", "n", "inside", F.explode(side).alias("token"))
@@ -217,27 +233,43 @@ def _crossing_long(work: Workspace, lists: DataFrame, texts: DataFrame) -> DataF
     def meeting(rows: DataFrame) -> DataFrame:
         return rows.alias("x").join(rows.alias("y"), F.expr(f"x.hub = y.hub and x.token = y.token and x.component < y.component and {NEAR}"))
 
-    keys = ["hub", "doc_id", "component"]
-    shared = crossing("beyond").groupBy(*keys, "n", "inside").agg(F.collect_list(F.struct("df", "token")).alias("shared")).where(f"size(shared) >= {REQUIRED} - inside")
-    beyond = work.save(_prefixes(shared, *keys), "beyond-prefixes").select(*keys, "n", "inside", "asked", "alone", F.posexplode("tokens").alias("pos", "token"))
+    # Members of a hub that have as much of it and the same shingles beyond it are one profile: profiles meet, not members.
+    shared = crossing("beyond").groupBy("hub", "doc_id", "component", "n", "inside").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    marks = {f"p{k}": F.xxhash64("n", "inside", "shared", F.lit(k)) for k in (1, 2)}
+    shared = work.save(shared.where(f"size(shared) >= {REQUIRED} - inside").withColumns(marks), "shared")
+    members = shared.select("hub", "p1", "p2", "doc_id", "component")
+    key = ["hub", "p1", "p2"]
+    profiles = shared.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("n", "inside", "shared")], F.min("component").alias("lo"), F.max("component").alias("hi"))
+    profiles = work.save(profiles, "profiles")
+    keys = [*key, "lo", "hi"]
+    beyond = work.save(_prefixes(profiles, *keys), "beyond-prefixes").select(*keys, "n", "inside", "asked", "alone", F.posexplode("tokens").alias("pos", "token"))
     beyond = work.save(beyond.select(*keys, "n", "inside", "asked", F.expr(FROM_MATCH).alias("from_match"), F.expr(f"inside >= {REQUIRED}").alias("whole"), "token"), "beyond-postings")
 
-    enough = lambda shared: F.expr(f"{TOP + BOTTOM} * ({shared}) >= {TOP} * (x.n + y.n)")
     least = "least(x.inside, y.inside)"
     pair = F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
     matched = F.expr("greatest(x.from_match, y.from_match) <= least(x.asked, y.asked)")
-    by_beyond = (
-        meeting(beyond).where(enough(f"{least} + least(x.n - x.inside, y.n - y.inside)"))
-        .groupBy("x.hub", *pair).agg(
-            F.count("*").alias("c"), F.count_if(matched).alias("matches"), F.first(F.expr("least(x.asked, y.asked)")).alias("asked"),
-            F.first(F.expr(least)).alias("inside"), F.first(F.expr("x.n + y.n")).alias("sizes"), F.first(F.expr("x.whole and y.whole")).alias("exact"),
-        )
-        .where(f"if(exact, {TOP + BOTTOM} * (inside + c) >= {TOP} * sizes, matches >= asked)").select("a", "b")
+    once = "(x.p1 < y.p1 or (x.p1 = y.p1 and x.p2 <= y.p2)) and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)"
+    met = beyond.alias("x").join(beyond.alias("y"), F.expr(f"x.hub = y.hub and x.token = y.token and {once} and {NEAR}"))
+    sides = [F.col(f"{side}.{c}").alias(f"{side}{c}") for side in "xy" for c in ("p1", "p2")]
+    likely = (
+        met.where(_enough(f"{least} + least(x.n - x.inside, y.n - y.inside)"))
+        .groupBy(F.col("x.hub").alias("hub"), *sides)
+        .agg(F.count_if(matched).alias("matches"), F.first(F.expr("least(x.asked, y.asked)")).alias("asked"), F.first(F.expr("x.whole and y.whole")).alias("exact"))
+        .where("exact or matches >= asked").drop("matches", "asked", "exact")
     )
-    return by_beyond.unionByName(meeting(crossing("within")).where(enough(least)).select(*pair).distinct())
-
-
-def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = 16, extra: float = 0.05) -> DataFrame:
+    # What two profiles share beyond the hub is counted whole.
+    tokens = profiles.select(*key, "n", "inside", F.transform("shared", lambda t: t["token"]).alias("tokens"))
+    for side in "xy":
+        likely = likely.join(tokens.select("hub", *[F.col(c).alias(f"{side}{c}") for c in ("p1", "p2")], F.struct("n", "inside", "tokens").alias(side)), ["hub", f"{side}p1", f"{side}p2"])
+    likely = likely.where(_enough(f"{least} + size(array_intersect(x.tokens, y.tokens))")).select("hub", *[f"{side}{c}" for side in "xy" for c in ("p1", "p2")])
+    likely = work.save(likely, "likely-profiles")
+    one = likely.alias("l").join(members.alias("x"), F.expr("l.hub = x.hub and l.xp1 = x.p1 and l.xp2 = x.p2")).select("l.hub", "yp1", "yp2", F.col("x.doc_id").alias("left"), F.col("x.component").alias("of"))
+    by_beyond = one.alias("o").join(members.alias("y"), F.expr("o.hub = y.hub and o.yp1 = y.p1 and o.yp2 = y.p2 and o.of <> y.component"))
+    by_beyond = by_beyond.select(F.least("o.left", "y.doc_id").alias("a"), F.greatest("o.left", "y.doc_id").alias("b")).distinct()
+    return by_beyond.unionByName(meeting(crossing("within")).where(_enough(least)).select(*pair).distinct())
+
+
+def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = 16, extra: float = 0.05, reach: int = 32) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two documents link when their sets of distinct five-word shingles (words by white space, A-Z in lower
@@ -251,10 +283,11 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted whole, which orders their tokens by the number of documents; each document then lengthens its prefix by the
     estimated cost of its candidates, and those of which more than a fifth stands in no other document drop out.
 
-    Candidates are checked on their whole sets in two rounds.  First each document of a token's list meets
+    Candidates are checked on their whole sets in three rounds.  First each document of a token's list meets
     the list's hub, its smallest id, at one shared token, which is linear in the lists and already joins groups of copies.
-    Lists that then lie in one component are done, so a group never meets itself pair by pair.  In other
-    lists documents of different components meet: directly in lists of up to ``short`` documents, and
+    Lists that then lie in one component are done, so a group never meets itself pair by pair.  Second, where more than
+    ``2 * reach`` members of a hub are left in several components, each meets the ``reach`` next to it in a random order.
+    In lists that are open still documents of different components meet: directly in lists of up to ``short`` documents, and
     in longer ones only those that may link by what each shares with the hub and by what they share beyond
     it.  No component can be missed: a link is checked or within a component, and pairs that are
     left out cannot reach the similarity.
@@ -296,12 +329,29 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     open_lists = work.save(placed.join(work.save(mixed.drop("lo", "hi"), "mixed"), ["token", "low"]), "open")
     work.drop("placed", "mixed")
     long_lists = open_lists.where(F.col("length") > short)
+    members = long_lists.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    split = work.save(_beyond_hub(members, texts), "split")
+    component = work.save(open_lists.groupBy("doc_id").agg(F.first("component").alias("component")), "component")
+    near_pairs = _neighbours(split.join(component, "doc_id"), reach).join(to_hubs, ["a", "b"], "left_anti")
+    near_pairs = work.save(near_pairs, "near-pairs")
+    if not near_pairs.isEmpty():
+        links = work.save(links.unionByName(_similar(near_pairs, texts)), "near-links")
+        to_hubs = work.save(to_hubs.unionByName(near_pairs), "met")
+        groups = connected_components(work, links, "second").withColumnRenamed("node", "doc_id")
+        component = component.drop("component").join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        component = work.save(component, "component-2")
+    placed = open_lists.drop("component", "length").join(component, "doc_id")
+    mixed = placed.groupBy("token", "low").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("length")).where("lo < hi")
+    open_lists = work.save(placed.join(work.save(mixed.drop("lo", "hi"), "mixed-2"), ["token", "low"]), "open-2")
+    long_lists = open_lists.where(F.col("length") > short)
+    left = long_lists.where("hub <> doc_id").select("hub", "doc_id").distinct()
+    split = split.join(left, ["hub", "doc_id"], "left_semi").join(component, "doc_id")
     in_long = long_lists.select("doc_id").distinct().withColumn("in_long", F.lit(True))
     short_lists = work.save(open_lists.where(F.col("length") <= short).join(in_long, "doc_id", "left").withColumn("in_long", F.coalesce("in_long", F.lit(False))), "short")
-    crossing = _crossing_short(short_lists).unionByName(_crossing_long(work, long_lists, texts)).distinct()
+    crossing = _crossing_short(short_lists).unionByName(_crossing_long(work, split)).distinct()
     crossing = work.save(crossing.join(to_hubs, ["a", "b"], "left_anti"), "crossing")
     links = work.save(links.unionByName(_similar(crossing, texts)), "all-links")
-    work.drop("texts", "open", "short", "split", "beyond-mixed", "beyond-open", "beyond-prefixes", "beyond-postings", "within-mixed", "within-open", "crossing", "to-hubs")
+    work.drop("texts", "open", "open-2", "mixed-2", "component", "component-2", "near-pairs", "near-links", "met", "short", "split", "beyond-mixed", "beyond-open", "shared", "profiles", "likely-profiles", "beyond-prefixes", "beyond-postings", "within-mixed", "within-open", "crossing", "to-hubs")
     groups = connected_components(work, links, "last")
     named = work.save(nodes.join(groups, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id")), "named")
     own = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))

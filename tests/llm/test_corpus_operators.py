@@ -127,8 +127,8 @@ def components(sets):
     return {k: find(k) for k in sets}
 
 
-@pytest.mark.parametrize("short", [2, 16])
-def test_ngram_join_brute_force(spark, short):
+@pytest.mark.parametrize(("short", "reach"), [(2, 32), (2, 2), (16, 32)])
+def test_ngram_join_brute_force(spark, short, reach):
     base = prose(5, 60).split(" ")
     rows = [r[:2] for r in corpus(3, 60)]
     chance = random.Random(8)
@@ -140,10 +140,27 @@ def test_ngram_join_brute_force(spark, short):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = {k: shingles(t) for k, t in rows}
     want = components(sets)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs, short=short).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs, short=short, reach=reach).collect()}
     assert got == {k: (len(s), want[k]) for k, s in sets.items()}
 
 
+def test_ngram_join_of_members_that_share_a_passage(spark):
+    """Copies of one text, each with edits of its own and all with one passage that the text has not: profiles meet."""
+    chance = random.Random(21)
+    base, passage = prose(6, 70).split(" "), prose(7, 14).split(" ")
+    rows = [(0, " ".join(base))]
+    for k in range(90):
+        words = list(base)
+        for _ in range(chance.randrange(0, 3)):
+            words[chance.randrange(20)] = f"own{chance.randrange(60)}"
+        rows.append((1 + k, " ".join(words[:40] + passage[: chance.choice([9, 14])] + words[40:])))
+    sets = {k: shingles(t) for k, t in rows}
+    want = components(sets)
+    for reach in (3, 1000):
+        out = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), short=2, reach=reach)
+        assert {r.doc_id: r.component_id for r in out.collect()} == want
+
+
 def strings_removed(rows, length):
     seen, out = set(), {}
     for doc, text in sorted(rows):
