@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -122,18 +123,33 @@ def pack_plan(histogram: dict[int, int], capacity: int) -> list[tuple[Config, in
     """Configurations and how often each is used: together exactly the histogram.
 
     The configuration program is solved and rounded at every size of the histogram: over full configurations, and if that
-    takes more sequences than the volume, also over any configurations; the better plan counts.  What no
+    takes more sequences than the dual bound, also over any configurations; the better plan counts.  What no
     full configuration holds, mostly a handful of pieces, goes by best-fit decreasing; more than ``8 * capacity``
     such pieces, of lengths that do not add up to the capacity, go by a program over configurations that leave room.
     The number of configurations is bounded by the capacity and the rounds, not by the number of pieces."""
-    volume = sum(length * n for length, n in histogram.items())
     used = lambda plan: sum(times for _, times in plan)
     plan = _plan(histogram, capacity, (True, False))
-    if used(plan) > -(-volume // capacity):
+    if used(plan) > dual_bound(histogram, capacity):
         plan = min(plan, _plan(histogram, capacity, (False,)), key=used)
     return plan
 
 
+def dual_bound(histogram: dict[int, int], capacity: int, most: int = 24) -> int:
+    """Sequences that any packing needs: the best of a family of dual solutions of the configuration program.
+
+    Prices are dual feasible if no configuration costs more than 1.  The volume's are (length / capacity), and so are, for each k,
+    floor((k + 1) * length / capacity) / k (the length's share itself where the division has no rest), which tell pieces apart
+    that cannot share a sequence."""
+    best = -(-sum(length * n for length, n in histogram.items()) // capacity)
+    for k in range(1, most + 1):
+        total = Fraction(0)
+        for length, n in histogram.items():
+            whole, rest = divmod((k + 1) * length, capacity)
+            total += n * (Fraction(whole, k) if rest else Fraction(length, capacity))
+        best = max(best, -(-total.numerator // total.denominator))
+    return best
+
+
 class _Places:
     """For a length and a rank in it, the sequence and the offset: the plan's configurations take the
     ranks of each length in turn."""

@@ -127,10 +127,12 @@ def shard_documents(
     Groups above ``1 / bundles`` of all bytes, of which there are fewer than ``bundles``, are units of
     their own; the others join one of ``bundles`` bundles by a hash of their text.  So at most
     ``2 * bundles`` units reach the driver whatever the corpus size, and best-fit decreasing puts them
-    into bins of one capacity: the given ``capacity`` (the fewest shards follow), or the least one at
+    into bins of one capacity: the given ``capacity`` (the fewest shards follow; bundles are then so many that
+    one is a sixteenth of it at most, as far as groups allow), or the least one at
     which ``shards`` bins are enough, which makes the shards nearly equal in bytes.  The shard of a row
     is then a map-side lookup in those units.  A group larger than a bin's fair share fills a bin beyond
-    it: a group is never divided.  ``slot`` numbers a shard's rows from 0 without gaps.
+    it: a group is never divided, and one larger than a given capacity raises that to its own size, as the column
+    ``capacity`` says.  ``slot`` numbers a shard's rows from 0 without gaps.
 
     Null texts have size 1 and share a group with empty texts; repeated rows keep a slot each; an empty
     table gives an empty result."""
@@ -144,16 +146,22 @@ def shard_documents(
         "sizes",
     )
     total = docs.agg(F.sum("size")).first()[0] or 0
-    bundle = F.substring("_group", 1, 8)
-    bundle = F.pmod(F.conv(bundle, 16, 10).cast("long"), F.lit(bundles)).cast("string")
     groups = docs.groupBy("_group").agg(F.sum("size").alias("size"))
-    unit = F.when(F.col("size") > total / bundles, F.col("_group")).otherwise(bundle)
-    units = sorted(map(tuple, groups.groupBy(unit.alias("unit")).agg(F.sum("size").alias("size")).collect()))
-    sizes = [size for _, size in units]
+    if capacity is not None:
+        groups = work.save(groups, "groups")
+        capacity = max(capacity, groups.agg(F.max("size")).first()[0] or 0)
+        bundles = max(bundles, -(-16 * total // max(capacity, 1)))
+    while True:
+        bundle = F.pmod(F.conv(F.substring("_group", 1, 8), 16, 10).cast("long"), F.lit(bundles)).cast("string")
+        unit = F.when(F.col("size") > total / bundles, F.col("_group")).otherwise(bundle)
+        units = sorted(map(tuple, groups.groupBy(unit.alias("unit")).agg(F.sum("size").alias("size")).collect()))
+        sizes = [size for _, size in units]
+        if capacity is None or max(sizes, default=0) <= capacity:
+            break
+        bundles *= 2  # a bundle, which is no group, is too large
     if capacity is None:
         capacity, bins = _smallest_capacity(sizes, shards)
     else:
-        capacity = max([capacity, *sizes])
         bins = best_fit_decreasing(sizes, capacity)
     placed = df.sparkSession.createDataFrame([(u, b) for (u, _), b in zip(units, bins, strict=True)], "unit string, shard int")
     large = placed.where(F.length("unit") == 32).select(F.col("unit").alias("_group"), F.col("shard").alias("_own"))
