@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,12 +13,23 @@ from syncframe.llm.common import SPACE, WORD, text_of
 SYMBOLS = "[#*$%&|<>]"
 #: A line that ends as a sentence does, closing quotes and brackets aside.
 SENTENCE_END = r"""[.!?:;…。！？]['"”’»)\]]*[\x20\x09-\x0D]*$"""
-#: Separators of menus and breadcrumbs, three or more in a line.
-NAVIGATION = r"(?:[|›»•→][^|›»•→]*){3}"
-BOILERPLATE = (
-    r"(?i)cookie|privacy policy|terms of (?:use|service)|all rights reserved|javascript"
-    r"|(?:sign|log) in\b|click here|subscribe (?:now|to)|lorem ipsum"
-)
+#: Separators of menus and breadcrumbs, three or more in a line; an angle bracket counts with a space on either side.
+NAVIGATION = r"(?:(?:[|›»•→·]|\x20>\x20)[^\n]*?){3}"
+#: Stock phrases of web pages by language, in lower case.  Fixed values.
+STOCK = {
+    "any": ["cookie", "javascript", "lorem ipsum", "copyright ©"],
+    "en": ["privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "subscribe now", "subscribe to", "skip to content"],
+    "de": ["datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken", "jetzt anmelden", "jetzt abonnieren", "impressum"],
+    "fr": ["politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "cliquez ici", "se connecter", "s'abonner", "mentions légales"],
+    "es": ["política de privacidad", "términos de uso", "todos los derechos reservados", "haga clic aquí", "iniciar sesión", "suscríbete", "aviso legal"],
+}
+PHRASES = [phrase for phrases in STOCK.values() for phrase in phrases]
+SIGN_IN = r"(?:sign|log) in\b"
+
+
+def _stock(line: Column) -> Column:
+    """Whether a line in lower case holds a stock phrase."""
+    return functools.reduce(Column.__or__, [F.contains(line, F.lit(p)) for p in PHRASES], line.rlike(SIGN_IN))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,7 +78,7 @@ def line_first_rules(
 
     A line with a word fails if it has no sentence end (punctuation rule), if more than
     ``max_symbol_percent`` of its characters are symbols, if it has three or more menu separators
-    (navigation) or if it holds a stock phrase of web pages (boilerplate).  Failed lines leave
+    (navigation) or if it holds a stock phrase of web pages in one of four languages (boilerplate).  Failed lines leave
     ``cleaned_text``.  A document is rejected if its base counts fail (fewer than ``min_words`` words, or
     more than ``max_repeat_percent`` of its words in repeated five-word windows) or if the failed lines
     held more than ``max_lost_percent`` of its characters in lines with words.
@@ -77,7 +89,7 @@ def line_first_rules(
     text = text_of(text_col)
     has_word = lambda line: line.rlike(WORD)
     fails = lambda line: (
-        ~line.rlike(SENTENCE_END) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+        ~line.rlike(SENTENCE_END) | line.rlike(NAVIGATION) | F.exists(F.array(F.lower(line)), _stock)
         | (100 * F.regexp_count(line, F.lit(SYMBOLS)) > max_symbol_percent * F.length(line))
     )
     read = df.select(

@@ -16,7 +16,7 @@ from syncframe.llm.ngram_join import ngram_jaccard_join
 from syncframe.llm.packing import pack_documents
 from syncframe.llm.prefix_trie import conversation_trie
 from syncframe.llm.quality_classifier import quality_scores
-from syncframe.llm.quality_rules import line_first_rules
+from syncframe.llm.quality_rules import NAVIGATION, PHRASES, SIGN_IN, line_first_rules
 from syncframe.llm.sharding import shard_documents
 from syncframe.llm.suffix_dedup import suffix_dedup
 from syncframe.llm.url_filters import list_verdict, url_filter, url_parts
@@ -73,14 +73,14 @@ def op8_quality_rules(spark, sf_dir):
 
 
 def labelled_urls(spark, sf_dir) -> DataFrame:
-    """What the tables say of URLs: those that a given rule decides are bad if it blocks them; others are bad if their path
-    names a labelled document that is of low quality or toxic, and count as good if nothing speaks against them."""
+    """What the tables say of URLs: those that a given rule decides are bad if it blocks them; others are bad or good as the
+    labelled document is that their path names; of the rest nothing is known, and nothing is learnt from them."""
     pages = table(spark, sf_dir, "pages").select("url")
     host, path = url_parts(F.col("url"))
     named = pages.select("url", list_verdict(host, path, URL_RULES)[1].alias("verdict"), F.regexp_extract(path, r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long").alias("doc_id"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("_bad"))
-    bad = F.coalesce(F.col("verdict") == "block", F.col("_bad"), F.lit(False))
-    return named.join(labels, "doc_id", "left").select("url", bad.alias("bad"))
+    bad = F.coalesce(F.col("verdict") == "block", F.col("_bad"))
+    return named.join(labels, "doc_id", "left").select("url", bad.alias("bad")).where("bad is not null")
 
 
 def op9_url_filters(spark, sf_dir):
@@ -162,8 +162,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 e AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 f AS (SELECT *, list_filter(ls, lambda x: NOT regexp_matches(x, '[.!?:;…。！？][''"”’»)\]]*[\x20\x09-\x0D]*$')
-             OR regexp_matches(x, '(?:[|›»•→][^|›»•→]*){3}')
-             OR regexp_matches(x, '(?i)cookie|privacy policy|terms of (?:use|service)|all rights reserved|javascript|(?:sign|log) in\b|click here|subscribe (?:now|to)|lorem ipsum')
+             OR regexp_matches(x, '@NAVIGATION@')
+             OR regexp_matches(lower(x), '@SIGN_IN@') OR @STOCK@
              OR 100 * len(regexp_extract_all(x, '[#*$%&|<>]')) > 10 * length(x)) AS bad FROM e),
 v AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4] AS win
       FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM e)),
@@ -183,6 +183,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b"""
 
 
+def _op8() -> str:
+    stock = " OR ".join("contains(lower(x), '{}')".format(p.replace("'", "''")) for p in PHRASES)
+    return OP8.replace("@NAVIGATION@", NAVIGATION).replace("@SIGN_IN@", SIGN_IN).replace("@STOCK@", stock)
+
+
 OP11 = r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT DISTINCT h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -224,7 +229,8 @@ l AS MATERIALIZED (SELECT c, list(turn ORDER BY i) AS turns FROM t GROUP BY c),
 r AS MATERIALIZED (SELECT k.c, list_concat(coalesce(o.turns, [])[1:h], l.turns[h + 1:]) AS p FROM k JOIN l ON l.c = k.c LEFT JOIN l o ON o.c = k.b),
 m AS MATERIALIZED (SELECT c, d, p[1:d] AS p, len(p) = d AS ends FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM r)),
 n AS MATERIALIZED (SELECT min(c) AS conv_id, d AS depth, p, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
-      (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].x, '[^ 	-]+')) END AS saved FROM m GROUP BY d, p),
+      (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].x, '[^ 	-
+]+')) END AS saved FROM m GROUP BY d, p),
 e AS (SELECT p.conv_id, p.depth, count(*) AS n FROM n JOIN n p ON p.depth = n.depth - 1 AND p.p = n.p[1:n.depth - 1] GROUP BY ALL),
 w AS MATERIALIZED (SELECT n.*, coalesce(e.n, 0) AS n_children FROM n LEFT JOIN e ON e.conv_id = n.conv_id AND e.depth = n.depth)
 SELECT a.conv_id, a.depth::BIGINT AS depth, (SELECT conv_id FROM n WHERE n.depth = a.depth - 1 AND n.p = a.p[1:a.depth - 1]) AS parent_conv_id, a.n_convs, a.n_children::BIGINT AS n_children,
@@ -235,4 +241,4 @@ FROM w a JOIN (SELECT a.conv_id, a.depth, count(*) FILTER (b.n_children = 0) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op7_mixing": OP7, "op8_quality_rules": OP8, "op11_warc": OP11, "op12_centroid_clustering": _op12(), "op13_prefix_trie": OP13}
+    return {"op2_exact_dedup": OP2, "op7_mixing": OP7, "op8_quality_rules": _op8(), "op11_warc": OP11, "op12_centroid_clustering": _op12(), "op13_prefix_trie": OP13}

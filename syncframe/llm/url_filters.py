@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +49,16 @@ def _holding(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return listed.join(rules, F.col("_token") == F.col("index_token")).where(F.size(F.array_except("rule", "tokens")) == 0).drop("_token")
 
 
-def mine_rules(labelled: DataFrame, work: Workspace, min_rows: int, min_confidence: float, z: float) -> DataFrame:
+#: Copies of a token set that one row of the miner's input may stand for before they are dealt out.
+COPIES = 4096
+
+
+def mine_rules(labelled: DataFrame, work: Workspace, min_rows: int, min_confidence: float, z: float, min_support: float = 1e-5) -> DataFrame:
     """Rules (rule, index_token, confidence, lift, support) that conclude ``block``, from rows of ``tokens`` and ``bad``.
 
-    FP-growth mines the token sets of ``min_rows`` bad rows or more, of any size.  Tokens of all rows say nothing, and of tokens
+    FP-growth mines the token sets of ``min_rows`` bad rows or of a share of ``min_support`` of them, whichever are more, of any
+    size; so what its driver holds is at most a row's tokens / ``min_support`` of them.  Equal token sets are counted
+    first and dealt to the miner in blocks of ``COPIES``.  Tokens of all rows say nothing, and of tokens
     that always occur together the first stands for all, so neither multiplies the sets.  A set is a rule if
     its share of bad rows among all labelled rows is at least ``min_confidence`` by Wilson's bound and above the overall
     share; rules whose tokens include those of a rule at least as confident are pruned."""
@@ -61,12 +69,14 @@ def mine_rules(labelled: DataFrame, work: Workspace, min_rows: int, min_confiden
         F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum(F.col("of").cast("decimal(38,0)")).alias("where"),
     )
     single = work.save(single, "single")
-    often = single.where((F.col("hits") >= min_rows) & (F.col("n") < rows)).groupBy("n", "hits", "where").agg(F.min("token").alias("token")).select("token")
+    least = max(min_rows, math.ceil(min_support * hits))
+    often = single.where((F.col("hits") >= least) & (F.col("n") < rows)).groupBy("n", "hits", "where").agg(F.min("token").alias("token")).select("token")
     bad = baskets.where("hits > 0").select("tokens", "hits", F.explode("tokens").alias("token")).join(often, "token")
     bad = bad.groupBy("tokens", "hits").agg(F.collect_list("token").alias("items"))
-    bad = work.save(bad.select(F.explode(F.expr("array_repeat(items, cast(hits as int))")).alias("items")), "bad")
-    mined = FPGrowth(itemsCol="items", minSupport=min(1.0, min_rows / max(bad.count(), min_rows)), minConfidence=1.0).fit(bad).freqItemsets
-    mined = mined.where(F.col("freq") >= min_rows).select(F.array_sort("items").alias("rule"), F.col("freq").alias("hits"))
+    bad = bad.withColumn("block", F.explode(F.expr(f"sequence(0, (hits - 1) div {COPIES})"))).repartition(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bad = work.save(bad.select(F.explode(F.expr(f"array_repeat(items, cast(least({COPIES}, hits - {COPIES} * block) as int))")).alias("items")), "bad")
+    mined = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(bad.count(), least)), minConfidence=1.0).fit(bad).freqItemsets
+    mined = mined.where(F.col("freq") >= least).select(F.array_sort("items").alias("rule"), F.col("freq").alias("hits"))
     rarest = single.select(F.col("token").alias("_token"), F.col("n").alias("_n"))
     indexed = mined.withColumn("_token", F.explode("rule")).join(rarest, "_token").groupBy("rule", "hits").agg(F.min_by("_token", F.struct("_n", "_token")).alias("index_token"))
     indexed = work.save(indexed, "itemsets")
