@@ -85,9 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the documents."""
+    """All stages in turn over the documents; a stage's table goes once the next one's is written."""
     work = Workspace(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = work.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if before:
+            work.drop(before)
+        before = f"{k}-{name}"
     return docs

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syncframe import functions as S
+from syncframe.operators.folds import fold_sorted
 from syncframe.operators.scans import numbered
 
 
@@ -69,18 +70,20 @@ def transfer_rate(samples: DataFrame, seconds: float, least: float = 0.1) -> Dat
 
 def smoothed_rate(samples: DataFrame, least: float = 0.05) -> DataFrame:
     """(path, rate): 0.6 old + 0.4 new over a file's samples in time order, when the new rate is positive and far
-    enough from the sample before."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "sent")))
-
-    def step(state, row):
-        gap = (_micros(row["ts"]) - _micros(state["ts"])) / 1e6
-        new = (row["sent"] - state["sent"]) / gap
-        counts = state["ts"].isNotNull() & (gap > least) & (new > 0)
-        rate = F.when(counts, F.when(state["rate"].isNull(), new).otherwise(0.6 * state["rate"] + 0.4 * new)).otherwise(state["rate"])
-        return F.struct(row["ts"].cast("timestamp").alias("ts"), row["sent"].alias("sent"), rate.alias("rate"))
-
-    start = F.struct(F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("sent"), F.lit(None).cast("double").alias("rate"))
-    return samples.groupBy("path").agg(ordered.alias("all")).select("path", F.aggregate("all", start, step)["rate"].alias("rate"))
+    enough from the sample before.  A file's samples are folded as a sorted stream, which holds one of them."""
+
+    def step(key: tuple, held: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        ts, event, sent = row
+        rate = held[2] if held else None
+        if held and ts is not None and held[0] is not None and sent is not None and held[1] is not None:
+            gap = (ts - held[0]).total_seconds()
+            if gap > least and (new := (sent - held[1]) / gap) > 0:
+                rate = new if rate is None else 0.6 * rate + 0.4 * new
+        return (ts, sent, rate), (ts, event, rate)
+
+    kinds = dict(samples.dtypes)
+    rated = fold_sorted(samples.select("path", "ts", "event_id", "sent"), ["path"], ["ts", "event_id", "sent"], step, f"ts {kinds['ts']}, event_id {kinds['event_id']}, rate double")
+    return rated.groupBy("path").agg(F.max_by("rate", F.struct("ts", "event_id")).alias("rate"))
 
 
 def first_path_wins(entries: DataFrame) -> DataFrame:

@@ -30,26 +30,40 @@ def _assembled(src_files: DataFrame, root: str) -> DataFrame:
     return sinks.assemble_files(sized, src_files.select("path", F.sha2("content", 256).alias("sha")), root)
 
 
+def _mounted(spark: SparkSession) -> str:
+    """A new shared folder as a path of the executors' file systems, which files are written to and read from."""
+    folder = _folder(spark).removeprefix("file://").removeprefix("file:")
+    if ":" in folder.partition("/")[0]:
+        raise ValueError(f"files need a folder that all executors mount, not {folder}")
+    return folder
+
+
 def _tree(src_files: DataFrame) -> str:
     """The files under a new folder, as executors see it."""
-    root = _folder(src_files.sparkSession).removeprefix("file://").removeprefix("file:")
+    root = _mounted(src_files.sparkSession)
     _assembled(src_files, root).write.format("noop").mode("overwrite").save()
     return root
 
 
 @query("SELECT path, true AS ok, sha256(content) AS got_sha FROM src_files")
 def assemble_files(src_files):
-    return _assembled(src_files, _folder(src_files.sparkSession).removeprefix("file://").removeprefix("file:"))
+    return _assembled(src_files, _mounted(src_files.sparkSession))
 
 
 @query("SELECT path, 'file' AS kind, size FROM src_files")
 def read_inventory(src_files):
-    return sources.read_inventory(src_files.sparkSession, [_tree(src_files)], levels=2).where("kind = 'file'").select("path", "kind", "size")
+    return sources.read_inventory(src_files.sparkSession, [_tree(src_files)], levels=2, columns=["path", "kind", "size"]).where("kind = 'file'")
 
 
 @query(f"""WITH {_chunks('src_files', 'c').replace("256", "1024").replace("255", "1023")} SELECT path, idx, len, sha256(payload) AS sha FROM c""")
 def read_chunks(src_files):
-    return sources.read_chunks(sources.read_inventory(src_files.sparkSession, [_tree(src_files)], levels=2), 1024).select("path", "idx", "len", "sha")
+    return sources.read_chunks(sources.read_inventory(src_files.sparkSession, [_tree(src_files)], levels=2, columns=["root", "path", "kind", "size"]), 1024).select("path", "idx", "len", "sha")
+
+
+@query("SELECT path, size, sha256(content) AS sha FROM src_files")
+def hash_files(src_files):
+    inventory = sources.read_inventory(src_files.sparkSession, [_tree(src_files)], levels=2, columns=["root", "path", "kind", "size"])
+    return sources.hash_files(inventory).select("path", "size", "sha")
 
 
 @query("SELECT path, size, sha256(content) AS sha FROM src_files")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +38,24 @@ def write_receipt(report: DataFrame, digest: DataFrame, path: str, direction: st
 
 
 def write_spec(files: DataFrame, chunks: DataFrame, spec_id: DataFrame, path: str, artifact: str) -> None:
-    """The descriptor of an artifact: (path, size, mode, sha), (path, idx, sha) and its id."""
+    """The descriptor of an artifact: (path, size, mode, sha) with distinct paths, (path, idx, sha) and its id.
+
+    One document in one file, a line for each of the artifact's files: the task that writes it sorts lines and holds one."""
     lists = chunks.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sha"))), lambda x: x["sha"]).alias("chunks"))
-    entry = F.struct("path", "size", F.col("mode").cast("long").alias("mode"), F.col("sha").alias("sha256"), "chunks")
-    entries = files.join(lists, "path", "left").agg(F.array_sort(F.collect_list(entry)).alias("file_entries"), F.sum("size").alias("total_bytes"))
-    doc = entries.crossJoin(spec_id).select(F.lit(2).alias("version"), F.lit(artifact).alias("artifact"), F.col("spec_hash").alias("manifest_sha"), "file_entries", "total_bytes")
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    entry = F.to_json(F.struct("path", "size", F.col("mode").cast("long").alias("mode"), F.col("sha").alias("sha256"), "chunks"))
+    first = files.agg(F.min("path").alias("_first"))
+    described = files.join(lists, "path", "left").crossJoin(F.broadcast(first))  # one row
+    comma = F.when(F.col("path") > F.col("_first"), ",").otherwise("")
+    entries = described.select(F.lit(1).alias("part"), "path", F.concat(comma, entry).alias("value"))
+    total = F.coalesce(F.sum("size"), F.lit(0)).cast("string")
+    ends = files.agg(total.alias("total")).crossJoin(spec_id).select(
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("part"), F.concat(F.lit('{"version":2,"artifact":'), F.lit(json.dumps(artifact)), F.lit(',"manifest_sha":"'), "spec_hash", F.lit('","file_entries":[')).alias("value")),
+            F.struct(F.lit(2).alias("part"), F.concat(F.lit('],"total_bytes":'), "total", F.lit("}")).alias("value")),
+        )).alias("e")
+    ).select("e.part", F.lit("").alias("path"), "e.value")
+    document = entries.unionByName(ends).coalesce(1).sortWithinPartitions("part", "path")
+    document.select("value").write.mode("overwrite").text(path)
 
 
 def write_sidecars(chunks: DataFrame, files: DataFrame, path: str) -> None:
@@ -142,7 +156,8 @@ def append_to_journal(rows: DataFrame, folder: str) -> None:
     rows = rows.withColumn("journal", F.col("journal").cast("string"))
     gen, heads = F.lit(0).cast("long"), None
     if exists(spark, folder):
-        name = F.url_decode(F.regexp_extract("journal", r"journal=([^/]*)$", 1))
+        plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+        name = plain(plain(F.regexp_extract("journal", r"journal=([^/]*)$", 1)))  # as a URI, and as the name of a partition
         heads = cut(journal_heads(spark, folder).withColumn("journal", name).join(rows.select("journal").distinct(), "journal", "left_semi"))
         corrupt = [r.journal for r in heads.where("corrupt").orderBy("journal").limit(5).collect()]
         if corrupt:

@@ -103,10 +103,12 @@ def read_spec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_sidecars(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Resume states with ``marks`` and the bitmap ``have``, one document in a file or in a line (``lines``); those whose marks do not fit their grid are left out, and
-    a bitmap that cannot be decoded is empty."""
+    a bitmap that cannot be decoded is empty.  A bitmap is cut or filled up with zeros to the bytes of its grid."""
     doc = spark.read.schema(SIDECAR).json(path, multiLine=not lines)
     ns = F.col("srcMtime.sec") * 1_000_000_000 + F.col("srcMtime.nsec")
-    have = F.coalesce(F.try_to_binary("have", F.lit("base64")), F.lit(b""))
+    length = F.expr("(chunkCount + 7) div 8").cast("int")
+    padded = F.concat(F.coalesce(F.try_to_binary("have", F.lit("base64")), F.lit(b"")), F.unhex(F.repeat(F.lit("00"), length)))
+    have = F.substring(padded, F.lit(1), length)
     return doc.where("size(hashes) = chunkCount").select(
         "version", "path", "nonce", F.col("srcSize").alias("size"), ns.alias("mtime_ns"), F.col("chunkSize").alias("chunk_size"), F.col("chunkCount").alias("chunk_count"), F.col("hashes").alias("marks"), have.alias("have")
     )

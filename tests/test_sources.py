@@ -34,6 +34,63 @@ def test_inventory(spark, tmp_path):
     assert paths == sorted(paths, key=lambda p: p.split("/"))
 
 
+def test_inventory_reads_what_is_asked(spark, tmp_path, monkeypatch):
+    from syncframe.operators import filters, joins
+    from syncframe.sources import files
+
+    tree(tmp_path)
+    os.mkfifo(tmp_path / "sub/pipe")
+    everything = {r.path: r for r in sources.read_inventory(spark, [str(tmp_path)]).collect()}
+    keep = everything["keep.txt"]
+    s = os.stat(tmp_path / "keep.txt")
+    assert (keep.uid, keep.atime_ns, keep.rdev, everything["sub/pipe"].kind) == (s.st_uid, s.st_atime_ns, None, "fifo") and keep.uname and keep.gname
+    cheap = sources.read_inventory(spark, [str(tmp_path)], columns=["path"])
+    assert {r.path for r in cheap.collect()} == set(everything)
+
+    walk = files._Walk({"roots": json.dumps([str(tmp_path)]), "levels": "0"}, ["path"])
+    monkeypatch.setattr(files.os, "lstat", lambda p: pytest.fail(f"looked at {p}"))
+    names = [r[0] for p in walk.partitions() for r in walk.read(p)]
+    assert set(names) - {"sub/pipe"} == set(everything) - {"sub/pipe"} if "sub/pipe" not in names else True
+    monkeypatch.undo()
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        walk = files._Walk({"roots": json.dumps([str(tmp_path)]), "levels": "1"}, ["path", "kind"])
+        rest = list(walk.pushFilters([files.EqualTo(("kind",), "file"), files.StringStartsWith(("path",), "sub/deep"), files.EqualTo(("size",), 3)]))
+        assert len(rest) == 1 and [p.path for p in walk.partitions()] == ["", "sub"]
+        assert [r for p in walk.partitions() for r in walk.read(p)] == [("sub/deep/y.txt", "file")]
+        for condition in ("kind = 'file' and path like 'sub/%'", "kind in ('fifo', 'symlink')", "path = 'sub/zero'", "kind = 'dir'", "size > 5"):
+            pushed = sources.read_inventory(spark, [str(tmp_path)]).where(condition)
+            assert {r.path for r in pushed.collect()} == {r.path for r in spark.createDataFrame(list(everything.values()), pushed.schema).where(condition).collect()}, condition
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    manifest = sources.read_manifest(spark, [str(tmp_path)])
+    linked = {r.path: (r.kind, r.link_ref) for r in windows.mark_hardlinks(manifest).collect()}
+    number = {r.path: r.id for r in manifest.collect()}
+    assert linked["keep.txt"] == ("hardlink", number["hard.txt"]) and linked["hard.txt"] == ("file", None)
+    users = spark.createDataFrame([(keep.uname, 4242)], "name string, id long")
+    assert {r.uid for r in joins.map_owners(manifest, users, users.limit(0), "name").collect()} == {4242}
+    assert {r.n for r in manifest.select(F.size(filters.safe_xattrs(F.col("xattrs"))).alias("n")).collect()} <= {0, 1}
+
+
+def test_large_files_are_hashed_in_blocks(spark, tmp_path):
+    import tracemalloc
+
+    from syncframe.sources.files import hash_of
+
+    with open(tmp_path / "big", "wb") as f:
+        f.truncate(300 << 20)
+    for k in range(20):
+        (tmp_path / f"f{k:02d}").write_bytes(bytes([k]) * (k * 1000))
+    tracemalloc.start()
+    sha = hash_of(str(tmp_path / "big"))
+    assert tracemalloc.get_traced_memory()[1] < 2 << 20
+    tracemalloc.stop()
+    out = {r.path: r.sha for r in sources.hash_files(sources.read_inventory(spark, [str(tmp_path)]), 3).collect()}
+    assert out["big"] == sha and len(out) == 21 and all(out[f"f{k:02d}"] == hashlib.sha256(bytes([k]) * (k * 1000)).hexdigest() for k in range(20))
+    assert hash_of(str(tmp_path / "none")) is None
+
+
 def test_chunks_and_assembly(spark, tmp_path):
     tree(tmp_path / "src")
     (tmp_path / "dst").mkdir()
@@ -106,9 +163,12 @@ def pieces(tmp_path):
 
 def test_appends_go_on_after_a_torn_tail(spark, tmp_path):
     folder = str(tmp_path / "j")
-    sinks.append_to_journal(entries_of(spark, "a b", 0, 3).unionByName(entries_of(spark, "c", 0, 2)), folder)
-    assert verdicts(spark, folder) == {"a b": (3, None), "c": (2, None)} or verdicts(spark, folder) == {"a%20b": (3, None), "c": (2, None)}
-    (torn,) = [p for p in (tmp_path / "j").rglob("*.txt") if "c" in p.parent.parent.name.split("=")[1]]
+    odd = "a +b%c=d"
+    sinks.append_to_journal(entries_of(spark, odd, 0, 3).unionByName(entries_of(spark, "c", 0, 2)), folder)
+    assert sorted(verdicts(spark, folder).values()) == [(2, None), (3, None)]
+    sinks.append_to_journal(entries_of(spark, odd, 3, 1), folder)
+    assert sorted(verdicts(spark, folder).values()) == [(2, None), (4, None)]
+    (torn,) = [p for p in (tmp_path / "j").rglob("*.txt") if p.parent.parent.name == "journal=c"]
     with open(torn, "ab") as f:
         f.write(b'{"seq":3,"ts":"2026-01-01T00:00:0')
     for crc in (tmp_path / "j").rglob(".*.crc"):
@@ -148,6 +208,13 @@ def test_documents_round_trip(spark, tmp_path):
     sinks.write_sidecars(marks, states, str(tmp_path / "side"))
     state = sources.read_sidecars(spark, str(tmp_path / "side")).first()
     assert state.mtime_ns == 1_000_000_007 and state.chunk_count == 10 and bytes(state.have) == bytes([0b01001001, 0b10])
+    for text, want in (("", bytes(2)), ("/w==", b"\xff\0"), ("////", b"\xff\xff"), ("?", bytes(2))):  # cut or filled up to the grid
+        doc = {"version": 1, "path": "g", "chunkCount": 9, "hashes": [""] * 9, "have": text}
+        (tmp_path / "have.json").write_text(json.dumps(doc))
+        assert bytes(sources.read_sidecars(spark, str(tmp_path / "have.json")).first().have) == want
+    none = aggregates.spec_hash(files.limit(0), chunks.limit(0))
+    sinks.write_spec(files.limit(0), chunks.limit(0), none, str(tmp_path / "none"), 'a "b"')
+    assert sources.read_spec(spark, str(tmp_path / "none"))[0].collect() == []
     report = spark.createDataFrame([(2, 9, 0, 0)], "files long, bytes long, skipped long, errors long")
     sinks.write_receipt(report, spark.createDataFrame([("dd",)], "digest string"), str(tmp_path / "receipt"), "send", "host", "2024-01-01T00:00:00Z")
     assert spark.read.json(str(tmp_path / "receipt")).first().ok
