@@ -59,7 +59,7 @@ def _entry(root: str, path: str, kind: str | None, columns: list[str]) -> tuple:
     """The columns of an entry; the file itself is looked at only if one of them needs it."""
     full, row = os.path.join(root, path), dict.fromkeys(columns)
     row |= {"root": root, "path": path, "kind": kind}
-    if not CHEAP.issuperset(columns) or kind is None:
+    if not CHEAP.issuperset(columns) or (kind is None and "kind" in columns):
         try:
             s = os.lstat(full)
             kind = FORMATS.get(stat.S_IFMT(s.st_mode), "socket")
@@ -100,21 +100,6 @@ class _Walk(DataSourceReader):
         self.kinds: set[str] | None = None
         self.starts: list[str] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Takes what a directory's listing can decide; Spark keeps the others."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("kind",):
-                self.kinds = {f.value} if self.kinds is None else self.kinds & {f.value}
-            elif isinstance(f, In) and f.attribute == ("kind",):
-                self.kinds = set(f.value) if self.kinds is None else self.kinds & set(f.value)
-            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
-                self.starts.append(f.value)
-            elif isinstance(f, EqualTo) and f.attribute == ("path",):
-                self.starts.append(f.value)
-                yield f
-            else:
-                yield f
-
     def _excluded(self, path: str) -> bool:
         return any(rule.match(path if whole else path.rpartition("/")[2]) for whole, rule in self.rules)
 
@@ -176,6 +161,25 @@ class _Walk(DataSourceReader):
                 todo += reversed(below)
 
 
+class _FilteredWalk(_Walk):
+    """A walk that takes what a directory's listing can decide; Spark has no use for it unless the session lets Python sources
+    have filters."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("kind",):
+                self.kinds = {f.value} if self.kinds is None else self.kinds & {f.value}
+            elif isinstance(f, In) and f.attribute == ("kind",):
+                self.kinds = set(f.value) if self.kinds is None else self.kinds & set(f.value)
+            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
+                self.starts.append(f.value)
+            elif isinstance(f, EqualTo) and f.attribute == ("path",):
+                self.starts.append(f.value)
+                yield f
+            else:
+                yield f
+
+
 class InventorySource(DataSource):
     """``spark.read.format("inventory")`` with the options roots (JSON list), exclude (JSON list) and levels; a schema of fewer
     columns spares the reader what they would need."""
@@ -188,7 +192,7 @@ class InventorySource(DataSource):
         return ENTRY
 
     def reader(self, schema) -> DataSourceReader:
-        return _Walk(self.options, schema.names)
+        return (_FilteredWalk if self.options.get("filters") == "true" else _Walk)(self.options, schema.names)
 
 
 def read_inventory(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, levels: int = 1, columns: list[str] | None = None) -> DataFrame:
@@ -200,7 +204,8 @@ def read_inventory(spark: SparkSession, roots: list[str], exclude: list[str] | N
     import json
 
     spark.dataSource.register(InventorySource)
-    reader = spark.read.format("inventory").options(roots=json.dumps(roots), exclude=json.dumps(exclude or []), levels=str(levels))
+    filters = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("inventory").options(roots=json.dumps(roots), exclude=json.dumps(exclude or []), levels=str(levels), filters=filters)
     return reader.schema(", ".join(KINDS[c] for c in columns)).load() if columns else reader.load()
 
 
