@@ -25,10 +25,19 @@ def name_of(number: Column, names: dict[int, str]) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes below 1,024, else one decimal and a binary unit."""
+    """Bytes below 1,024, else one decimal and a binary unit.
+
+    The decimal is that of the quotient itself, in integers, with ties to the even one, as C and Go print it; a format of Java's rounds
+    ties up."""
     out = F.format_string("%dB", n)
+    exact = n.cast("double").cast("long")  # what the quotient of doubles is taken of
     for k, unit in enumerate("KMGTPE", start=1):
-        out = F.when(n >= 1 << (10 * k), F.format_string(f"%.1f{unit}", n / float(1 << (10 * k)))).otherwise(out)
+        size, half = F.lit(1 << (10 * k)).cast("long"), F.lit(1 << (10 * k - 1)).cast("long")
+        fives = (exact % size) * 5  # tenths are fives to the half: ten times the rest could leave 64 bits
+        tenths, rest = div(fives, half), fives % half
+        up = (rest * 2 > half) | ((rest * 2 == half) & (tenths % 2 == 1))
+        tenths = div(exact, size) * 10 + tenths + up.cast("long")
+        out = F.when(n >= 1 << (10 * k), F.concat(div(tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(unit))).otherwise(out)
     return out
 
 
