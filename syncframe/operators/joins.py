@@ -162,11 +162,17 @@ def prune_nested(selected: DataFrame) -> DataFrame:
     return selected.join(unsafe_parents(selected, selected), "path", "left_anti")
 
 
-def room_members(members: DataFrame, most: int = 64, salt: int = 0) -> DataFrame:
+def room_members(members: DataFrame, most: int | None = 64, salt: int = 0, slices: int = 64) -> DataFrame:
     """(addr, room, other): what each member of a room (room, addr, seed) is told: all seeds, and others up to ``most`` in all.
+    Without ``most`` (None) it is told all others, whose number is the square of the room's: the members that ask are dealt to
+    ``slices``, each of which meets the room's list, so a large room is the work of many tasks.
 
     A room's list is its seeds and the first ``most + 1`` others in a salted order, so a member finds ``most`` without itself;
     members meet that list and never each other."""
+    if most is None:
+        asking = members.select("room", "addr", F.pmod(F.xxhash64("addr"), F.lit(slices)).cast("int").alias("_slice"))
+        others = members.select("room", F.col("addr").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
+        return asking.join(others, ["room", "_slice"]).where("addr <> other").select("addr", "room", "other")
     order = Window.partitionBy("room").orderBy(F.md5(F.concat("addr", F.lit(f"#{salt}"))), "addr")
     plain = members.where("not seed").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1).select("room", "addr", "place")
     other = plain.select("room", F.col("addr").alias("other"), F.lit(False).alias("other_seed"), "place")

@@ -192,12 +192,10 @@ def prune_nested(listing):
     return joins.prune_nested(listing.select("path").unionByName(some).distinct())
 
 
-@query("""WITH m AS (SELECT room, addr, bool_or(seed) AS seed FROM announces GROUP BY room, addr),
-r AS (SELECT a.addr, a.room, b.addr AS other, b.seed, row_number() OVER (PARTITION BY a.room, a.addr ORDER BY b.seed DESC, md5(b.addr || '#0'), b.addr) AS n FROM m a JOIN m b ON a.room = b.room AND a.addr <> b.addr)
-SELECT addr, room, other FROM r WHERE n <= 4 OR seed""")
+@query("WITH m AS (SELECT DISTINCT room, addr FROM announces) SELECT a.addr, a.room, b.addr AS other FROM m a JOIN m b ON a.room = b.room AND a.addr <> b.addr")
 def room_members(announces):
-    """What each announce is told: all seeds, and others up to four."""
-    return joins.room_members(_members(announces), 4)
+    """What each announce is told where no number bounds it: all others."""
+    return joins.room_members(_members(announces), None)
 
 
 @query("""WITH RECURSIVE r AS (SELECT id, ts, 'offer' AS kind, offer AS ref FROM offers UNION ALL SELECT id, ts, 'take', take FROM takes),
