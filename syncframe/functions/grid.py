@@ -40,7 +40,7 @@ def chunk_len(size: Column, chunk_size: Column, index: Column) -> Column:
 
 def range_header(offset: Column, length: Column) -> Column:
     """The HTTP range of a chunk; the end is inclusive."""
-    return F.format_string("bytes=%d-%d", offset, offset + length - 1)
+    return F.concat(F.lit("bytes="), offset.cast("string"), F.lit("-"), (offset + length - 1).cast("string"))
 
 
 def uvarint(n: Column) -> Column:

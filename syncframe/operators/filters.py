@@ -19,6 +19,19 @@ def grid_of(files: DataFrame, chunk_size: int | None = None) -> DataFrame:
     })
 
 
+def header_bounds(files: DataFrame, chunk_size: int | None = None) -> DataFrame:
+    """(path, n, low, high): the number of a file's range headers, the first and the last of them as text; empty files have none.
+
+    Exact without a row for each chunk.  The offset 0 is the least text.  Among offsets of as many digits the greatest
+    number is the greatest text, so the greatest of all is among one for each number of digits."""
+    size, cs = F.col("size"), F.col("_size")
+    sized = files.withColumn("_size", F.lit(chunk_size).cast("long") if chunk_size else S.chunk_size_for(size)).withColumn("n", S.chunk_count(size, F.col("_size"))).where("n > 0")
+    last = [F.least(F.col("n") - 1, F.call_function("div", F.lit(min(10**digits, 2**63) - 1).cast("long"), cs)) for digits in range(1, 20)]
+    header = lambda k: S.range_header(S.chunk_offset(k, cs), S.chunk_len(size, cs, k))
+    bounds = sized.select("path", "n", header(F.lit(0).cast("long")).alias("low"), F.greatest(*map(header, last)).alias("high"))
+    return bounds.groupBy("path").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def chunks_of(files: DataFrame, chunk_size: int) -> DataFrame:
     """The chunks of small files whose bytes are in the column ``content``: path, idx, len, payload."""
     grid = grid_of(files, chunk_size)
