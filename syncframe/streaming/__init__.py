@@ -88,10 +88,14 @@ def apply_envelopes(envelopes: DataFrame, now: str, age: str = "30 days") -> Dat
     return seen.select("node", "version", verdict.alias("verdict"), F.when(verdict == "applied", version).otherwise(held).alias("applied"))
 
 
-def chunk_arrivals(arrivals: DataFrame, counts: DataFrame) -> DataFrame:
-    """(path, arrived, duplicates, out_of_range, complete_at) from (path, idx, ts) and (path, chunk_count)."""
+def chunk_arrivals(arrivals: DataFrame, counts: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """(path, arrived, duplicates, out_of_range, complete_at) from (path, idx, ts) and (path, chunk_count).
+
+    Arrivals are counted and dealt by path to parts of about ``rows``, in which all that follows is done: what a task
+    holds does not grow with their number."""
+    parts = max(int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-arrivals.count() // rows))
     inside = (F.col("idx") >= 0) & (F.col("idx") < F.col("chunk_count"))
-    each = arrivals.join(counts, "path").groupBy("path", "chunk_count", "idx").agg(F.min("ts").alias("first"), F.count("*").alias("n"))
+    each = arrivals.repartition(parts, "path").join(counts.repartition(parts, "path"), "path").groupBy("path", "chunk_count", "idx").agg(F.min("ts").alias("first"), F.count("*").alias("n"))
     whole = F.count_if(inside)
     return each.groupBy("path", "chunk_count").agg(
         whole.alias("arrived"), F.sum(F.when(inside, F.col("n") - 1).otherwise(0)).alias("duplicates"),
