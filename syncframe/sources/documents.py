@@ -90,12 +90,26 @@ def parse_transfer_log(lines: DataFrame) -> DataFrame:
     return lines.select(part(1).try_cast("timestamp").alias("ts"), part(2).alias("kind"), part(3).alias("path"), part(4).alias("msg")).where("ts is not null")
 
 
+def spec_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest_sha) and the entries (f) of one descriptor.
+
+    One with a line for each entry, as the sink writes it, is read in splits and a row is one entry; in any other layout the
+    document is one row."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    opens, ends = F.col("value").endswith('"file_entries":['), F.col("value").startswith('],"total_bytes":')
+    if lines.where(opens).isEmpty():
+        doc = spark.read.schema(SPEC).json(path, multiLine=True)
+        return doc.select("manifest_sha"), doc.select(F.explode("file_entries").alias("f"))
+    head = lines.where(opens).select(F.regexp_extract("value", r'"manifest_sha":"([0-9a-f]*)","file_entries":\[$', 1).alias("manifest_sha"))
+    return head, lines.where(~opens & ~ends).select(F.from_json(F.regexp_replace("value", "^,", ""), FILE).alias("f"))
+
+
 def read_spec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The file rows and the chunk rows of one descriptor; refused if its id is not the hash of its contents."""
-    doc = spark.read.schema(SPEC).json(path, multiLine=True)
-    files = doc.select("manifest_sha", F.explode("file_entries").alias("f")).select("manifest_sha", "f.path", "f.size", "f.mode", F.col("f.sha256").alias("sha"), "f.chunks")
+    head, entries = spec_entries(spark, path)
+    files = entries.select("f.path", "f.size", "f.mode", F.col("f.sha256").alias("sha"), "f.chunks")
     chunks = files.select("path", F.posexplode(F.coalesce("chunks", F.array().cast("array<string>"))).alias("idx", "sha")).withColumn("idx", F.col("idx").cast("long"))
-    found, stored = spec_hash(files.select("path", "size", "mode", "sha"), chunks).first()[0], doc.select("manifest_sha").first()[0]
+    found, stored = spec_hash(files.select("path", "size", "mode", "sha"), chunks).first()[0], head.select("manifest_sha").first()[0]
     if found != stored:
         raise ValueError(f"the descriptor's id {stored} is not the hash of its contents")
     return files.select("path", "size", "mode", "sha"), chunks
