@@ -214,6 +214,30 @@ def _neighbours(split: DataFrame, reach: int) -> DataFrame:
     return met.where(_enough(shared)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
+#: What two profiles share beyond the hub at least, if they link, and how many matches they ask of each other.
+NEED = f"(({TOP} * (x.n + y.n) + {TOP + BOTTOM - 1}) div {TOP + BOTTOM} - least(x.inside, y.inside))"
+ASKED = f"least(x.asked, y.asked, {NEED})"
+
+
+def _met_profiles(postings: DataFrame) -> DataFrame:
+    """Pairs of postings x and y (hub, p1, p2, lo, hi, n, inside, asked, left, token) of the same token, one for each match of two
+    profiles of a hub; ``left`` of the profile's tokens beyond the hub stand from this one on.
+
+    The prefix is that of the pair: for a match it must hold the token on either side, and if two profiles share as many
+    tokens as they need, they share ``ASKED`` of those behind which, with themselves, more than ``NEED - ASKED`` stand.  Two
+    profiles that the hub alone may link need none: any token that they share counts."""
+    once = "(x.p1 < y.p1 or (x.p1 = y.p1 and x.p2 <= y.p2)) and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)"
+    met = postings.alias("x").join(postings.alias("y"), F.expr(f"x.hub = y.hub and x.token = y.token and {once} and {NEAR} and least(x.left, y.left) > {NEED} - {ASKED}"))
+    return met.where(_enough("least(x.inside, y.inside) + least(x.n - x.inside, y.n - y.inside)"))
+
+
+def _likely_profiles(postings: DataFrame) -> DataFrame:
+    """(hub, xp1, xp2, yp1, yp2) of profiles that match as often as they ask."""
+    sides = [F.col(f"{side}.{c}").alias(f"{side}{c}") for side in "xy" for c in ("p1", "p2")]
+    counted = _met_profiles(postings).groupBy(F.col("x.hub").alias("hub"), *sides).agg(F.count(F.lit(1)).alias("matches"), F.first(F.expr(ASKED)).alias("asked"))
+    return counted.where("matches >= asked").drop("matches", "asked")
+
+
 def _crossing_long(work: Workspace, split: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that may link although they meet in long lists only.
 
@@ -221,8 +245,8 @@ def _crossing_long(work: Workspace, split: DataFrame) -> DataFrame:
     So they can only link if they share a shingle beyond the hub, or if what they share of the hub is enough for both
     sizes by itself.  The first kind meets by shingles beyond the hub: those that documents of other components have too
     are counted for each hub, and members of equal sizes that have the same of them are one profile.  Profiles meet by
-    multi-match prefixes, which put the shingles of fewest documents first (one of which the hub has what a link takes lists
-    all), and those that meet are counted out before their members are paired.  The second kind meets by shingles within the hub, as many as a prefix of a document's
+    multi-match prefixes, which put the shingles of fewest documents first and are cut for each pair to what its sizes and its
+    shares of the hub leave open, and those that meet are counted out before their members are paired.  The second kind meets by shingles within the hub, as many as a prefix of a document's
     share of the hub takes.  No pair is looked at that has no shingle in common."""
     def crossing(side: str) -> DataFrame:
         """Tokens that documents of two components or more have, with the number of their documents."""
@@ -243,20 +267,11 @@ def _crossing_long(work: Workspace, split: DataFrame) -> DataFrame:
     profiles = work.save(profiles, "profiles")
     keys = [*key, "lo", "hi"]
     beyond = work.save(_prefixes(profiles, *keys), "beyond-prefixes").select(*keys, "n", "inside", "asked", "alone", F.posexplode("tokens").alias("pos", "token"))
-    beyond = work.save(beyond.select(*keys, "n", "inside", "asked", F.expr(FROM_MATCH).alias("from_match"), F.expr(f"inside >= {REQUIRED}").alias("whole"), "token"), "beyond-postings")
+    beyond = work.save(beyond.select(*keys, "n", "inside", "asked", F.expr("n - inside - alone - pos").alias("left"), "token"), "beyond-postings")
 
     least = "least(x.inside, y.inside)"
     pair = F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
-    matched = F.expr("greatest(x.from_match, y.from_match) <= least(x.asked, y.asked)")
-    once = "(x.p1 < y.p1 or (x.p1 = y.p1 and x.p2 <= y.p2)) and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)"
-    met = beyond.alias("x").join(beyond.alias("y"), F.expr(f"x.hub = y.hub and x.token = y.token and {once} and {NEAR}"))
-    sides = [F.col(f"{side}.{c}").alias(f"{side}{c}") for side in "xy" for c in ("p1", "p2")]
-    likely = (
-        met.where(_enough(f"{least} + least(x.n - x.inside, y.n - y.inside)"))
-        .groupBy(F.col("x.hub").alias("hub"), *sides)
-        .agg(F.count_if(matched).alias("matches"), F.first(F.expr("least(x.asked, y.asked)")).alias("asked"), F.first(F.expr("x.whole and y.whole")).alias("exact"))
-        .where("exact or matches >= asked").drop("matches", "asked", "exact")
-    )
+    likely = _likely_profiles(beyond)
     # What two profiles share beyond the hub is counted whole.
     tokens = profiles.select(*key, "n", "inside", F.transform("shared", lambda t: t["token"]).alias("tokens"))
     for side in "xy":
