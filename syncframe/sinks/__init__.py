@@ -146,31 +146,45 @@ def mirror_into(src: DataFrame, folder: str, key: str = "path", same: tuple[str,
     return touched
 
 
-def append_to_journal(rows: DataFrame, folder: str) -> None:
+def append_to_journal(rows: DataFrame, folder: str, together: bool = False) -> None:
     """Appends entries (journal, ord, ts, event, detail) to the journals ``folder/journal=<name>``, each as a further piece.
 
+    That is a file for each journal and append.  Where journals are many, ``together`` puts those of an append into the files
+    of one piece ``folder/gen=<number>``, as many as its size asks for: a journal lies in one of them, and each line begins with its
+    journal's name.  A folder is appended to in one of the two ways.
+
     Entries chain behind the intact head of their journal.  A torn tail, which a writer that died has left, stays in its own
     piece, where it hides nothing that comes later.  If a journal that is appended to has whole lines that do not parse, that
     is no torn tail but evidence: nothing at all is written and the journals are named."""
     spark = rows.sparkSession
     rows = rows.withColumn("journal", F.col("journal").cast("string"))
-    gen, heads = F.lit(0).cast("long"), None
+    if together:
+        rows = rows.withColumn("journal", F.coalesce("journal", F.lit("__HIVE_DEFAULT_PARTITION__")))  # as a partition without a name
+    gen, heads, last = F.lit(0).cast("long"), None, -1
     if exists(spark, folder):
         plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
         name = plain(plain(F.regexp_extract("journal", r"journal=([^/]*)$", 1)))  # as a URI, and as the name of a partition
-        heads = cut(journal_heads(spark, folder).withColumn("journal", name).join(rows.select("journal").distinct(), "journal", "left_semi"))
+        known = journal_heads(spark, folder).withColumn("journal", name)
+        if together:
+            known = cut(known)
+            last = known.agg(F.coalesce(F.max("gen"), F.lit(-1))).first()[0]
+        heads = cut(known.join(rows.select("journal").distinct(), "journal", "left_semi"))
         corrupt = [r.journal for r in heads.where("corrupt").orderBy("journal").limit(5).collect()]
         if corrupt:
             raise ValueError(f"journals with unreadable entries before their end, nothing is appended: {', '.join(corrupt)}")
     chained = append_journal(rows, None if heads is None else heads.select("journal", "seq", "hash"))
-    if heads is not None:
+    if heads is not None and not together:
         chained = chained.join(heads.select("journal", F.col("gen").alias("last")), "journal", "left")
         gen = F.coalesce(F.col("last") + 1, F.lit(0).cast("long"))
-    text = [F.to_json(F.struct(F.col(c).alias("v"))) for c in ("ts", "event")]
-    ts, event = (F.substring(t, 6, 2**31 - 1) for t in text)  # as JSON text, without {"v": and }
-    ts, event = (F.regexp_replace(t, r"\}$", "") for t in (ts, event))
-    line = F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit(',"ts":'), ts, F.lit(',"event":'), event, F.lit(',"detail":'), "detail", F.lit(',"prev":"'), "prev", F.lit('","hash":"'), "hash", F.lit('"}'))
-    lines = chained.select("journal", F.format_string("%08d", gen).alias("gen"), "seq", line.alias("value")).repartition("journal").sortWithinPartitions("journal", "gen", "seq")
+    quoted = lambda c: F.regexp_replace(F.substring(F.to_json(F.struct(F.col(c).alias("v"))), 6, 2**31 - 1), r"\}$", "")  # noqa: E731  as JSON text
+    entry = F.concat(
+        F.lit('"seq":'), F.col("seq").cast("string"), F.lit(',"ts":'), quoted("ts"), F.lit(',"event":'), quoted("event"),
+        F.lit(',"detail":'), "detail", F.lit(',"prev":"'), "prev", F.lit('","hash":"'), "hash", F.lit('"}'),
+    )
+    if together:  # dealt by journal and in order, as the chain was made
+        chained.select(F.concat(F.lit('{"journal":'), quoted("journal"), F.lit(","), entry).alias("value")).write.mode("append").text(f"{folder}/gen={last + 1:08d}")
+        return
+    lines = chained.select("journal", F.format_string("%08d", gen).alias("gen"), "seq", F.concat(F.lit("{"), entry).alias("value")).repartition("journal").sortWithinPartitions("journal", "gen", "seq")
     lines.select("journal", "gen", "value").write.mode("append").partitionBy("journal", "gen").text(folder)
 
 

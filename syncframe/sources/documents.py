@@ -10,6 +10,8 @@ from syncframe.operators.aggregates import spec_hash
 
 EVENT = "ts timestamp, type string, path string, msg string"
 ENTRY = "seq bigint, ts string, event string, prev string, hash string"
+#: The name that a line of journals kept together begins with, as JSON.
+NAMED = r'^\{"journal":("(?:[^"\\]|\\.)*"),'
 FILE = "struct<path:string,size:bigint,mode:bigint,sha256:string,chunks:array<string>>"
 SPEC = f"version int, artifact string, manifest_sha string, file_entries array<{FILE}>"
 SIDECAR = (
@@ -23,8 +25,8 @@ ENVELOPE = f"version bigint, origin string, ts string, endpoints map<string,{END
 
 
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(journal, piece, line_no, line, whole) of journals as text: one file, or a folder of pieces ``gen=<number>`` that later
-    appends have added.
+    """(journal, gen, file, together, line_no, line, whole) of journals as text: one file, or a folder of pieces ``gen=<number>`` that
+    later appends have added.  Pieces that lie in no ``journal=<name>`` hold many journals ``together``; the journal is then their folder.
 
     Files are split: a line's number is its place in its block behind the line counts of the blocks and pieces before, so
     no task needs a file as a whole.  A line is whole if a newline ends it: the lines' bytes say whether the file ends with one."""
@@ -45,7 +47,8 @@ def journal_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = blocks.select(*piece, "block", "n", (F.sum("n").over(behind) - F.col("n")).alias("before"), (last & torn).alias("torn"))
     joined = placed.join(blocks, [*piece, "block"])
     whole = ~(F.col("torn") & (F.col("local") == F.col("n")))
-    return joined.select("journal", "gen", (F.col("before") + F.col("local") - 1).alias("line_no"), "line", whole.alias("whole"))
+    together = F.col("file").rlike(gen) & ~F.col("file").rlike(f"/journal=[^/]*{gen}")
+    return joined.select("journal", "gen", "file", together.alias("together"), (F.col("before") + F.col("local") - 1).alias("line_no"), "line", whole.alias("whole"))
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
@@ -54,25 +57,42 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     Blank lines are skipped; the first whole line that does not parse ends the prefix; a last line without a
     newline is a torn tail and is left out.  ``detail`` is the text as written, which the hash covers."""
     entries = _entries(spark, path)
-    broken = entries.where("not sound").groupBy("journal").agg(F.min("line_no").alias("stop"))
-    kept = entries.join(broken, "journal", "left").where("sound and (stop is null or line_no < stop)")
+    kept = entries.join(_broken(entries), "journal", "left").where("sound and (stop is null or line_no < stop)")
     detail = F.regexp_extract("line", r'"detail":(.*),"prev":"[0-9a-f]*","hash":"[0-9a-f]*"\}$', 1)
     return kept.select("journal", "line_no", "e.seq", "e.ts", "e.event", detail.alias("detail"), "e.prev", "e.hash")
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """Whole lines as entries ``e``; of pieces that hold journals together a line begins with the name, as the sink writes it, and the
+    journal is null where that cannot be read."""
     lines = journal_lines(spark, path).where("whole and line <> ''").withColumn("e", F.from_json("line", ENTRY))
-    return lines.withColumn("sound", F.col("e.seq").isNotNull() & F.col("e.hash").isNotNull())
+    quoted = F.nullif(F.regexp_extract("line", NAMED, 1), F.lit(""))
+    name = F.from_json(F.concat(F.lit('{"v":'), quoted, F.lit("}")), "v string")["v"]
+    for _ in range(2):  # as a URI, and as the name of a partition
+        name = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+    journal = F.when(F.col("together"), F.concat("journal", F.lit("/journal="), name)).otherwise(F.col("journal"))
+    lines = lines.withColumn("journal", journal)
+    return lines.withColumn("sound", F.col("e.seq").isNotNull() & F.col("e.hash").isNotNull() & F.col("journal").isNotNull())
+
+
+def _broken(entries: DataFrame) -> DataFrame:
+    """(journal, stop): the first line of a journal that does not parse.  One whose journal cannot be read may belong to any that
+    has lines in its file."""
+    nameless = entries.where("together and journal is null").groupBy("file").agg(F.min("line_no").alias("line_no"))
+    holders = entries.where("together and journal is not null").select("journal", "file").distinct().join(nameless, "file").select("journal", "line_no")
+    lines = entries.where("not sound and journal is not null").select("journal", "line_no").unionByName(holders)
+    return lines.groupBy("journal").agg(F.min("line_no").alias("stop"))
 
 
 def journal_heads(spark: SparkSession, path: str) -> DataFrame:
     """(journal, gen, seq, hash, corrupt): where each journal's intact prefix ends, its newest piece, and whether whole lines
-    that do not parse follow."""
+    that do not parse follow: its own, or in pieces of many journals those of which nobody can tell whose they are."""
     entries = _entries(spark, path)
-    broken = entries.where("not sound").groupBy("journal").agg(F.min("line_no").alias("stop"))
-    seen = entries.join(broken, "journal", "left")
+    seen = entries.where("journal is not null").join(_broken(entries), "journal", "left")
     head = F.max_by(F.struct("e.seq", "e.hash"), F.when(F.col("sound") & (F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))), F.col("line_no")))
     found = seen.groupBy("journal").agg(F.max("gen").alias("gen"), head.alias("head"), F.bool_or(F.col("stop").isNotNull()).alias("corrupt"))
+    doubt = entries.where("journal is null").agg((F.count(F.lit(1)) > 0).alias("doubt"))
+    found = found.crossJoin(F.broadcast(doubt)).withColumn("corrupt", F.col("corrupt") | F.col("doubt"))  # one row
     return found.select("journal", "gen", F.coalesce("head.seq", F.lit(0).cast("long")).alias("seq"), F.coalesce("head.hash", F.lit("")).alias("hash"), "corrupt")
 
 
