@@ -92,10 +92,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _rewrite(content: DataFrame, touched: DataFrame, folder: str) -> None:
-    """Puts ``content`` in the place of the touched buckets: staged first, as it is read from the folder that it goes to."""
+    """Puts ``content`` in the place of the touched buckets: staged first, as it is read from the folder that it goes to.
+
+    Buckets are rebalanced: one that is larger than a part should be is written by several tasks."""
     staged = cut(content)
     full = {r.bucket for r in staged.select("bucket").distinct().collect()}  # at most a row for each bucket
-    staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    staged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
     for b in sorted({r.bucket for r in touched.select("bucket").collect()} - full):  # a bucket that has become empty
         _remove(content.sparkSession, f"{folder}/bucket={b}")
 
