@@ -12,6 +12,11 @@ from syncframe.operators.folds import fold_sorted, spark_seconds
 
 def quick_check(src: DataFrame, dst: DataFrame, mode: str = "strict") -> DataFrame:
     """(path, size, status): skip, delta, full, new or empty.  ``mode`` is strict (size and time), size or fresh."""
+    return quick_checked(src, dst, mode).select("path", "size", "status")
+
+
+def quick_checked(src: DataFrame, dst: DataFrame, mode: str = "strict") -> DataFrame:
+    """The source's rows with the status that ``quick_check`` gives them."""
     other = dst.select("path", F.col("kind").alias("dst_kind"), F.col("size").alias("dst_size"), F.col("mtime_ns").alias("dst_ns"))
     same = (F.col("dst_kind") == "file") & (F.col("size") == F.col("dst_size"))
     unchanged = same & {"strict": F.col("mtime_ns") == F.col("dst_ns"), "size": F.lit(True), "fresh": F.lit(False)}[mode]
@@ -19,7 +24,7 @@ def quick_check(src: DataFrame, dst: DataFrame, mode: str = "strict") -> DataFra
         F.when(unchanged, "skip").when(F.col("size") == 0, "empty").when(F.col("dst_size").isNull(), "new")
         .when(same, "delta").otherwise("full")
     )
-    return src.join(other, "path", "left").select("path", "size", status.alias("status"))
+    return src.join(other, "path", "left").select(*src.columns, status.alias("status"))
 
 
 def delta_chunks(src: DataFrame, dst: DataFrame, chunk_size: int) -> DataFrame:

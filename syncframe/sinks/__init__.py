@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from syncframe.functions import is_resume_state
 from syncframe.operators.journal import append_journal
@@ -91,30 +93,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
-def _rewrite(content: DataFrame, touched: DataFrame, folder: str) -> None:
-    """Puts ``content`` in the place of the touched buckets: staged first, as it is read from the folder that it goes to.
+def _rewrite(content: DataFrame, touched: list[int], folder: str) -> None:
+    """Puts ``content`` in the place of the touched buckets.  It may be read from the folder that it goes to: a dynamic overwrite
+    writes all of it beside the buckets before it takes any away, so no further copy is staged.
 
     Buckets are rebalanced: one that is larger than a part should be is written by several tasks."""
-    staged = cut(content)
-    full = {r.bucket for r in staged.select("bucket").distinct().collect()}  # at most a row for each bucket
-    staged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
-    for b in sorted({r.bucket for r in touched.select("bucket").collect()} - full):  # a bucket that has become empty
-        _remove(content.sparkSession, f"{folder}/bucket={b}")
+    files = lambda: set(read_buckets(content.sparkSession, content.schema, folder, touched).inputFiles())
+    before = files()
+    content.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    for b in {f.split("/")[-2] for f in before & files()}:  # was not written, so it has become empty
+        _remove(content.sparkSession, f"{folder}/{b}")
 
 
-def _bucket(key: str, buckets: int) -> Column:
+def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def read_buckets(spark: SparkSession, schema: StructType, folder: str, buckets: Iterable[int]) -> DataFrame:
+    """These buckets of a bucketed dataset; no other folder is looked into."""
+    top, wanted = spark._jvm.org.apache.hadoop.fs.Path(folder), {f"bucket={b}" for b in buckets}
+    names = [s.getPath().getName() for s in top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)] if exists(spark, folder) else []
+    there = [f"{folder}/{name}" for name in names if name in wanted]
+    return spark.read.schema(schema).option("basePath", folder).parquet(*there) if there else spark.createDataFrame([], schema)
+
+
 def replace_paths(rows: DataFrame, paths: DataFrame, folder: str, key: str = "path", buckets: int = 64) -> None:
     """In the bucketed dataset of ``folder``, puts ``rows`` in the place of all that it has of ``paths``; rewrites their buckets only."""
     spark = rows.sparkSession
-    new = rows.withColumn("bucket", _bucket(key, buckets))
+    new = rows.withColumn("bucket", bucket_of(key, buckets))
     if not exists(spark, folder):
         spark.createDataFrame([], new.schema).write.partitionBy("bucket").parquet(folder)
-    old = spark.read.schema(new.schema).parquet(folder)
-    touched = cut(paths.select(_bucket(key, buckets).alias("bucket")).distinct())
-    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(paths.select(key).distinct(), key, "left_anti").select(*new.columns)
+    touched = sorted(r.bucket for r in paths.select(bucket_of(key, buckets).alias("bucket")).distinct().collect())  # at most a row for each bucket
+    old = read_buckets(spark, new.schema, folder, touched)
+    kept = old.join(paths.select(key).distinct(), key, "left_anti").select(*new.columns)
     _rewrite(kept.unionByName(new), touched, folder)
 
 
@@ -123,12 +134,12 @@ def mirror_into(src: DataFrame, folder: str, key: str = "path", same: tuple[str,
     rewritten.
 
     The dataset is partitioned by a hash of the path, fixed by its first write.  Rows of the same path and ``same`` columns are
-    equal; a bucket whose rows all are stays as it is, files and names included.  Of the others the new content is staged
-    in the checkpoint folder and takes their place by dynamic partition overwrite, so a run that dies before leaves the
+    equal; a bucket whose rows all are stays as it is, files and names included.  Of the others the new content is written
+    beside them and takes their place by dynamic partition overwrite, so a run that dies before leaves the
     destination whole, and one that is repeated finds nothing to do.  Paths that the source does not have go if ``delete``,
     but for those that ``protect`` holds for (resume states, by default)."""
     spark = src.sparkSession
-    new = src.withColumn("bucket", _bucket(key, buckets))
+    new = src.withColumn("bucket", bucket_of(key, buckets))
     if not exists(spark, folder):
         spark.createDataFrame([], new.schema).write.partitionBy("bucket").parquet(folder)
     old = spark.read.schema(new.schema).parquet(folder)
@@ -144,7 +155,7 @@ def mirror_into(src: DataFrame, folder: str, key: str = "path", same: tuple[str,
     paths = changes.distinct().groupBy("bucket").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("added", "changed", "deleted")])
     touched = cut(paths)
     content = new.unionByName(staying).join(F.broadcast(touched.select("bucket")), "bucket", "left_semi")  # at most a row for each bucket
-    _rewrite(content.select(*new.columns), touched, folder)
+    _rewrite(content.select(*new.columns), [r.bucket for r in touched.select("bucket").collect()], folder)
     return touched
 
 
