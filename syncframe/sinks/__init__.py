@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from syncframe.functions import is_resume_state
 from syncframe.operators.journal import append_journal
-from syncframe.operators.scans import cut
+from syncframe.operators.scans import FREED, cut, settings
 from syncframe.sources.documents import journal_heads
 
 
@@ -138,6 +138,11 @@ def mirror_into(src: DataFrame, folder: str, key: str = "path", same: tuple[str,
     beside them and takes their place by dynamic partition overwrite, so a run that dies before leaves the
     destination whole, and one that is repeated finds nothing to do.  Paths that the source does not have go if ``delete``,
     but for those that ``protect`` holds for (resume states, by default)."""
+    with settings(src.sparkSession, FREED):
+        return _mirror_into(src, folder, key, same, delete, buckets, protect)
+
+
+def _mirror_into(src: DataFrame, folder: str, key: str, same: tuple[str, ...], delete: bool, buckets: int, protect: Column | None) -> DataFrame:
     spark = src.sparkSession
     new = src.withColumn("bucket", bucket_of(key, buckets))
     if not exists(spark, folder):
